@@ -16,11 +16,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from .shared import col
+from .shared import byte_slices, col
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -28,8 +27,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this are merged with a heap, row by row: a matrix round would cost their whole width.
 _WIDEST = 4096
-#: Characters of text whose pieces are encoded together.
-_SLICE = 8_000_000
 
 
 class _Numbers(dict):
@@ -229,18 +226,6 @@ def _loaded(rank_file: bytes, pattern: str) -> ByteBPE:
     return _LOADED[key]
 
 
-def slices(texts: pa.Array, most: int = _SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes of text each; a longer text has one to itself."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(size)
-    at = 0
-    while at < len(size):
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield at, to
-        at = to
-
-
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``carry``, then n_tokens, token_ids and round_trip of every row.
 
@@ -258,7 +243,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(ranks.value, pattern)
         for batch in batches:
-            for a, b in slices(batch.column(len(carry))):
+            for a, b in byte_slices(batch.column(len(carry))):
                 part = batch.slice(a, b - a)
                 column = part.column(len(carry))
                 null = np.array(column.is_null())

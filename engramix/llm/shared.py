@@ -10,7 +10,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
@@ -80,3 +84,14 @@ def small_rows(df: DataFrame, at_most: int) -> list | None:
     """The rows of ``df``, or None if there are more than ``at_most``; never more than that reach the driver."""
     rows = df.limit(at_most + 1).collect()
     return None if len(rows) > at_most else rows
+
+
+def byte_slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes of text each; a longer text has one to itself."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
