@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing
+from . import bpe, jaccard, langid, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near-duplicate documents."""
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.oracle(),
+    "op7_ngram_jaccard": jaccard.oracle(),
 }

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
@@ -95,3 +96,43 @@ def byte_slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, i
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield at, to
         at = to
+
+
+#: What separates words; Java, RE2 and Arrow agree on these six.
+WORD = "[^ \\t\\n\\x0B\\f\\r]+"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection on 64 bits that spreads near values far apart."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's words start (one entry more), and a 64-bit hash of every word; words are runs without ASCII white space."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = pc.list_flatten(lists)
+    at = lists.offsets.to_numpy().astype(np.int64)
+    at -= at[0]
+    if len(flat) == 0:
+        return at, np.empty(0, dtype=np.uint64)
+    coded = flat.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in words), dtype=np.uint64, count=len(words))
+    real = np.fromiter(map(bool, words), dtype=bool, count=len(words))
+    number = coded.indices.to_numpy()
+    ok = real[number]
+    before = np.concatenate([[0], np.cumsum(ok)])
+    return before[at], each[number[ok]]
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... (n[0] of them), start[1], ..."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(n) else 0, dtype=np.int64) + np.repeat(start - (ends - n), n)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
