@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, mixing
+from . import bpe, jaccard, katz, langid, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), carry=("doc_id", "lang"))
 
 
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the Katz model of all documents."""
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again to check the round trip."""
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
@@ -36,11 +41,13 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
+    "op5_katz_scores": op5_katz_scores,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ngram_jaccard": op7_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.oracle(),
+    "op5_katz_scores": katz.oracle(),
     "op7_ngram_jaccard": jaccard.oracle(),
 }

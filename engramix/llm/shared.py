@@ -110,22 +110,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text's words start (one entry more), and a 64-bit hash of every word; words are runs without ASCII white space."""
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's words start (one entry more), the number of every word, and the 64-bit hashes of the distinct words; words are runs without ASCII white space."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = pc.list_flatten(lists)
     at = lists.offsets.to_numpy().astype(np.int64)
     at -= at[0]
     if len(flat) == 0:
-        return at, np.empty(0, dtype=np.uint64)
+        return at, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     coded = flat.dictionary_encode()
     words = coded.dictionary.to_pylist()
-    each = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in words), dtype=np.uint64, count=len(words))
-    real = np.fromiter(map(bool, words), dtype=bool, count=len(words))
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
     number = coded.indices.to_numpy()
-    ok = real[number]
-    before = np.concatenate([[0], np.cumsum(ok)])
-    return before[at], each[number[ok]]
+    if "" not in words:
+        return at, number, each
+    blank = words.index("")  # white space at a text's ends leaves empty words
+    ok = number != blank
+    number = number[ok]
+    return np.concatenate([[0], np.cumsum(ok)])[at], number - (number > blank), np.delete(each, blank)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's words start (one entry more), and a 64-bit hash of every word."""
+    at, number, each = coded_words(texts)
+    return at, each[number]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers by byte planes, whose high ones compress to nearly nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
