@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, katz, langid, mixing
+from . import bpe, html_text, jaccard, katz, langid, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), carry=("doc_id", "lang"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under the Katz model of all documents."""
     return katz.score(_table(spark, sf_dir, "documents"))
@@ -41,6 +46,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
+    "op3_html_text": op3_html_text,
     "op5_katz_scores": op5_katz_scores,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ngram_jaccard": op7_ngram_jaccard,
