@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, jaccard, katz, langid, mixing
+from . import bpe, html_text, jaccard, katz, langid, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document; copies stay together."""
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under the Katz model of all documents."""
     return katz.score(_table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op3_html_text": op3_html_text,
+    "op4_shards": op4_shards,
     "op5_katz_scores": op5_katz_scores,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ngram_jaccard": op7_ngram_jaccard,
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.oracle(),
+    "op4_shards": sharding.oracle(),
     "op5_katz_scores": katz.oracle(),
     "op7_ngram_jaccard": jaccard.oracle(),
 }
