@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from .shared import byte_slices, col
+from .shared import byte_slices, col, frugal
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -255,7 +255,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
                 n = pa.array((start[1:] - start[:-1]).astype(np.int32), mask=null)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(carry))], n, lists, pa.array(same, mask=null)], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(frugal(run), schema)
 
 
 def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY, *, ids: str = "token_ids", into: str = "text") -> DataFrame:
@@ -274,4 +274,4 @@ def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY, *, ids: st
             texts = [None if x is None else bpe.decode(x) for x in lists.to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(others))], pa.array(texts, pa.string())], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(frugal(run), schema)

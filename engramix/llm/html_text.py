@@ -21,7 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .shared import byte_slices, col
+from .shared import byte_slices, col, frugal
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
@@ -576,4 +576,4 @@ def extract(pages: DataFrame, *, html: str = "html", carry: tuple[str, ...] = ("
                 texts = [None if x is None else render(x) for x in part.column(len(carry)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(carry))], pa.array(texts, pa.string())], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(frugal(run), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WORD, byte_slices, coded_words, col, free_shuffles, keep, mix64, planes, shuffle_partitions, unplanes
+from .shared import WORD, byte_slices, coded_words, col, free_shuffles, frugal, frugal_group, keep, mix64, planes, shuffle_partitions, unplanes
 
 BITS = 20
 #: Size of the closed vocabulary; ids 0, 1, 2 are <unk>, </s> and <s>.
@@ -34,7 +34,7 @@ K = 5
 LEAST_COUNT = 2
 _TINY = 1e-12
 #: Words that a mapper gathers before it sends their bigrams on.
-_BLOCK = 2_000_000
+_BLOCK = 1_500_000
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -94,7 +94,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(frugal(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, most_words: int = MOST_WORDS) -> Vocabulary:
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, most_words: int = MOST_WORDS, *, text: str = "text") ->
     spark = docs.sparkSession
     given = docs.select(col(docs, text).cast("string").alias("text")).filter("text IS NOT NULL")
     v = vocabulary(given, most_words)
-    buckets = shuffle_partitions(spark)
+    buckets = 3 * shuffle_partitions(spark)
     split = np.ceil(v.counts * (4.0 * buckets) / max(1, v.counts.sum())).clip(1, buckets).astype(np.int64)
     shared = spark.sparkContext.broadcast((v, split))
 
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, most_words: int = MOST_WORDS, *, text: str = "text") ->
         stored = n >= LEAST_COUNT
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([planes(key[stored])], pa.binary()), "counts": pa.array([n[stored].tobytes()], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
 
-    bigrams = keep(given.mapInArrow(run, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(add, "bucket int, keys binary, counts binary, few array<long>"), "lm-bigrams")
+    bigrams = keep(given.mapInArrow(frugal(run), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(frugal_group(add), "bucket int, keys binary, counts binary, few array<long>"), "lm-bigrams")
     free_shuffles(spark)
     few = bigrams.select(*[F.sum(F.col("few")[r]).alias(f"n{r}") for r in range(K + 2)]).first()
     d = discounts({r: few[r] or 0 for r in range(1, K + 2)})
@@ -225,7 +225,7 @@ def _backoff(bigrams: DataFrame, v: Vocabulary, d: np.ndarray, shared) -> tuple[
                 low = np.add.reduceat(p[key & (1 << BITS) - 1], at)
                 yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(mass), pa.array(low)], names=["ctx", "mass", "low"])
 
-    sums = bigrams.select("keys", "counts").mapInArrow(run, "ctx long, mass double, low double").groupBy("ctx").agg(F.sum("mass").alias("mass"), F.sum("low").alias("low")).toArrow()
+    sums = bigrams.select("keys", "counts").mapInArrow(frugal(run), "ctx long, mass double, low double").groupBy("ctx").agg(F.sum("mass").alias("mass"), F.sum("low").alias("low")).toArrow()
     ctx = sums.column("ctx").to_numpy()
     mass, low = np.zeros(len(v.counts)), np.zeros(len(v.counts))
     mass[ctx], low[ctx] = sums.column("mass").to_numpy(), sums.column("low").to_numpy()
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
 
         for batch in batches:
             texts = batch.column(len(names))
-            for lo, hi in byte_slices(texts, 12_000_000):
+            for lo, hi in byte_slices(texts, 8_000_000):
                 for lo in range(lo, hi, 60_000):
                     part = texts.slice(lo, min(60_000, hi - lo))
                     missing = np.array(part.is_null())
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
     out = docs.sparkSession.createDataFrame([], "key long, base double, n long").schema
     for f in ddl:
         out = out.add(f.name, f.dataType, True)
-    parts = own.mapInArrow(run, schema).groupBy("bucket").cogroup(model.bigrams.groupBy("bucket")).applyInArrow(join, out)
+    parts = own.mapInArrow(frugal(run), schema).groupBy("bucket").cogroup(model.bigrams.groupBy("bucket")).applyInArrow(join, out)
     summed = parts.groupBy("key").agg(F.sum("base").alias("logprob"), F.max("n").alias("n_tokens"), *[F.first(c, ignorenulls=True).alias(c) for c in names])
     return summed.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "n_tokens", F.round("logprob", 4).alias("logprob"), F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 4).alias("perplexity"))
 

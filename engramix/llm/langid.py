@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import byte_slices, col
+from .shared import byte_slices, col, frugal
 
 BUCKET_BITS = 18
 DIMENSIONS = 16
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, *, text: str =
                 names, confidence, coverage, out = _judge(shared.value, part.column(len(carry)))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(carry))], names, pa.array(confidence), pa.array(coverage), pa.array(out)], names=schema.names)
 
-    return docs.select(*[col(docs, c) for c in carry], col(docs, text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[col(docs, c) for c in carry], col(docs, text).cast("string").alias("__text")).mapInArrow(frugal(run), schema)
 
 
 def _judge(model: LanguageModel | None, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -245,4 +245,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None, *, text
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(~_judge(shared.value, part.column(place))[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

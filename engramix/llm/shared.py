@@ -7,10 +7,11 @@ a re-read and never the work of earlier steps.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,7 @@ def small_rows(df: DataFrame, at_most: int) -> list | None:
     return None if len(rows) > at_most else rows
 
 
-def byte_slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def byte_slices(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes of text each; a longer text has one to itself."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
@@ -153,3 +154,36 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` over batches or groups, such that a worker gives its memory back when it is done; workers stay for later tasks."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return batches_of
+
+
+def frugal_group(run: Callable) -> Callable:
+    """The same for a function of one group's table."""
+
+    def of(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return of
+
+
+def give_back() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
