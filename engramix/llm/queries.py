@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, jaccard, katz, langid, mixing, sharding
+from . import bpe, html_text, jaccard, katz, langid, media, mixing, neighbours, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,21 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every embedding."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a seekable bundle: the index, checked by reading through it."""
+    return warc.bundle_pages(_table(spark, sf_dir, "pages"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a member of an archive, read through the data source."""
+    return media.page_media(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -56,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_katz_scores": op5_katz_scores,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_warc_bundles": op9_warc_bundles,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
@@ -63,4 +81,6 @@ ORACLES: dict[str, str] = {
     "op4_shards": sharding.oracle(),
     "op5_katz_scores": katz.oracle(),
     "op7_ngram_jaccard": jaccard.oracle(),
+    "op9_warc_bundles": warc.oracle(),
+    "op10_media_columns": media.oracle(),
 }
