@@ -4,8 +4,9 @@ Every document is the set of its word n-grams. Documents with equal sets are sto
 one of the smallest id. Two sets x, y with Jaccard >= t share at least max(t|x|, t|y|) grams,
 so
 
-1. one exchange by gram finds the inverted lists of two sets or more; each such list names a
-   centre, its smallest set. A set with fewer listed grams than t|x| has no partner and goes.
+1. one exchange by gram finds the inverted lists of two documents or more; each such list
+   names a centre, its first document. A set with fewer listed grams than t|x| has no partner
+   and goes.
 2. A set keeps the centres that most of its grams name, until fewer than half of t|x| of its
    listed grams are uncovered. Two partners can't leave all their shared grams uncovered, so
    they meet at a centre.
@@ -26,13 +27,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import WORD, byte_slices, col, drop, free_shuffles, keep, mix64, shuffle_partitions, spare_name, spread, word_hashes
+from .shared import WORD, byte_slices, col, drop, free_shuffles, frugal, frugal_group, keep, mix64, planes, shuffle_partitions, spare_name, spread, unplanes, word_hashes
 
 N = 3
 THRESHOLD = 0.5
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Grams that a mapper gathers before it sends them on; one such block has fewer than 65,536 documents.
-_BLOCK = 2_500_000
+_BLOCK = 1_500_000
 #: Weight of a probe against a step of the merge, for the share of lists that DivideSkip puts aside.
 _MU = 0.0085
 #: Up to so many documents with partners, their list is broadcast to pick them; beyond, they are joined by shuffle.
@@ -68,7 +69,7 @@ def _set_id(grams: np.ndarray) -> int:
 
 
 def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(kind, part, block, a, b, c): kind 0: by bucket of grams, grams with document numbers (a), set ids (b) and sizes (c); kind 1: the ids (a) of a block's documents with set ids and sizes."""
+    """(kind, part, block, a, b, c): kind 0: for one bucket of grams, grams (48 bits) with the number of the document in its block (16); kind 1: the ids (a) of a block's documents, their set ids (b) and sizes (c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -88,9 +89,7 @@ def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             for k in np.flatnonzero(np.diff(edge)):
-                own = key[edge[k] : edge[k + 1]]
-                used, local = np.unique((own & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
-                rows.append((0, int(k), block, ((own & ~np.uint64(0xFFFF)) | local.astype(np.uint64)).tobytes(), names[used].tobytes(), size[used].tobytes()))
+                rows.append((0, int(k), block, planes(key[edge[k] : edge[k + 1]]), None, None))
             ids, sets, held, number = [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
@@ -113,7 +112,7 @@ def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         if sets:
             yield flush()
 
-    return docs.mapInArrow(run, _DDL)
+    return docs.mapInArrow(frugal(run), _DDL)
 
 
 _DDL = "kind int, part int, block long, a binary, b binary, c binary"
@@ -125,19 +124,16 @@ def _ints(x: bytes, kind: type = np.int64) -> np.ndarray:
 
 
 def _listed(table: pa.Table) -> pa.Table:
-    """For one bucket of grams: back to every block, the centre (b) named by each listed gram of its sets (a: numbers into the set ids c, with sizes d)."""
+    """For one bucket of grams: back to every block, the numbers (a) of its documents with a listed gram and the centre (b) that the gram names. Rows of kind 1 pass."""
     rows = table.to_pylist()
-    out = [{"kind": 1, "block": r["block"], "a": r["a"], "b": r["b"], "c": r["c"], "d": None} for r in rows if r["kind"] == 1]
+    out = [{k: r[k] for k in ("kind", "block", "a", "b", "c")} for r in rows if r["kind"] == 1]
     rows = [r for r in rows if r["kind"] == 0]
     if rows:
-        keys = [_ints(r["a"], np.uint64) for r in rows]
-        names = [_ints(r["b"]) for r in rows]
+        keys = [unplanes(r["a"]) for r in rows]
         gram = np.concatenate([k & ~np.uint64(0xFFFF) for k in keys])
-        base = np.cumsum([0] + [len(x) for x in names])
-        doc = np.concatenate([(k & np.uint64(0xFFFF)).astype(np.int64) + b for k, b in zip(keys, base)])
-        name = np.concatenate(names)
+        doc = np.concatenate([(k & np.uint64(0xFFFF)).astype(np.int64) | (r["block"] << 16) for k, r in zip(keys, rows)])
         order = np.argsort(gram, kind="stable")
-        gram, of = gram[order], name[doc[order]]
+        gram, of = gram[order], doc[order]
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         low, high = np.minimum.reduceat(of, start), np.maximum.reduceat(of, start)
         n = np.diff(np.append(start, len(gram)))
@@ -149,14 +145,14 @@ def _listed(table: pa.Table) -> pa.Table:
         for i, r in enumerate(rows):
             if edge[i] < edge[i + 1]:
                 own = slice(edge[i], edge[i + 1])
-                local = doc[where[own]] - base[i]
-                used, local = np.unique(local, return_inverse=True)
-                out.append({"kind": 0, "block": r["block"], "a": local.astype(np.uint16).tobytes(), "b": centre[own].tobytes(), "c": names[i][used].tobytes(), "d": _ints(r["c"])[used].tobytes()})
+                local = doc[where[own]] & 0xFFFF
+                sort = np.lexsort((centre[own], local))
+                out.append({"kind": 0, "block": r["block"], "a": local[sort].astype(np.uint16).tobytes(), "b": planes(centre[own][sort])})
     return pa.Table.from_pylist(out, _BACK)
 
 
-_BACK_DDL = "kind int, block long, a binary, b binary, c binary, d binary"
-_BACK = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_BACK_DDL = "kind int, block long, a binary, b binary, c binary"
+_BACK = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
 def cover(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,14 +178,15 @@ def cover(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, t: float) -
 
 def _centres(t: float):
     def run(table: pa.Table) -> pa.Table:
-        names, sizes, centres = [], [], []
-        for a, b, c, d in zip(*(table.column(k).to_pylist() for k in "abcd")):
-            local = _ints(a, np.uint16)
-            names.append(_ints(c)[local])
-            sizes.append(_ints(d)[local])
-            centres.append(_ints(b))
-        s, c = cover(np.concatenate(names), np.concatenate(sizes), np.concatenate(centres), t)
-        return pa.table({"set_id": pa.array(s, pa.int64()), "centre": pa.array(c, pa.int64())})
+        rows = table.to_pylist()
+        meta = next(r for r in rows if r["kind"] == 1)
+        rows = [r for r in rows if r["kind"] == 0]
+        if not rows:
+            return pa.table({"set_id": pa.array([], pa.int64()), "centre": pa.array([], pa.int64())})
+        local = np.concatenate([_ints(r["a"], np.uint16) for r in rows]).astype(np.int64)
+        centre = np.concatenate([unplanes(r["b"]).view(np.int64) for r in rows])
+        doc, c = cover(local, _ints(meta["c"])[local], centre, t)
+        return pa.table({"set_id": pa.array(_ints(meta["b"])[doc], pa.int64()), "centre": pa.array(c, pa.int64())})
 
     return run
 
@@ -272,14 +269,14 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, d
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = 3 * shuffle_partitions(spark)
     own = docs.select(col(docs, doc_id).cast("long").alias("id"), col(docs, text).cast("string").alias("text"))
     given = own.filter("id IS NOT NULL AND text IS NOT NULL")
-    back = keep(_postings(given, n, buckets).groupBy("part").applyInArrow(_listed, _BACK_DDL), "jaccard-lists")
+    back = keep(_postings(given, n, buckets).groupBy("part").applyInArrow(frugal_group(_listed), _BACK_DDL), "jaccard-lists")
     free_shuffles(spark)
     members = keep(back.filter("kind = 1").mapInArrow(_unpacked, "id long, set_id long, size long").distinct(), "jaccard-members")
     reps = members.groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    centres = back.filter("kind = 0").groupBy("block").applyInArrow(_centres(threshold), "set_id long, centre long").distinct()
+    centres = back.groupBy("block").applyInArrow(frugal_group(_centres(threshold)), "set_id long, centre long").distinct()
     chosen = keep(centres.groupBy("set_id").agg(F.collect_list("centre").alias("centres")).join(reps, "set_id").select("set_id", "rep", "centres"), "jaccard-centres")
     drop(back)
     free_shuffles(spark)
@@ -294,8 +291,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, d
                 at = pa.array(ok, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(3).take(at), pa.array([found[k].tobytes() for k in ok], pa.binary())], names=["set_id", "rep", "centres", "grams"])
 
-    searched = given.join(picked, given["id"] == picked["rep"]).select("set_id", "rep", "text", "centres").mapInArrow(sets, "set_id long, rep long, centres array<long>, grams binary")
-    pairs = searched.select("set_id", "rep", "grams", F.explode("centres").alias("centre")).groupBy("centre").applyInArrow(_search(threshold), "left_id long, right_id long, shared long, jaccard double")
+    searched = given.join(picked, given["id"] == picked["rep"]).select("set_id", "rep", "text", "centres").mapInArrow(frugal(sets), "set_id long, rep long, centres array<long>, grams binary")
+    pairs = searched.select("set_id", "rep", "grams", F.explode("centres").alias("centre")).groupBy("centre").applyInArrow(frugal_group(_search(threshold)), "left_id long, right_id long, shared long, jaccard double")
     copies = members.join(reps.filter("n > 1"), "set_id").filter("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
     best = pairs.unionByName(copies).filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.max(F.struct("jaccard", "shared")).alias("best"))
     return best.select("left_id", "right_id", "best.shared", "best.jaccard")
