@@ -1 +1,313 @@
-"""Registered queries."""
+"""The write path over whole tables: ingest, nightly upkeep, reviews, chronicles, audit, projection."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from ..functions import temporal
+from ..functions.vector import knn_pairs
+from ..operators import chronicles, doctor, graph, ingest, projection, review, upkeep
+from .graph_queries import _MENTIONS, mentions
+from .registry import query, table
+
+# documents as facts: their language stands for the tier, labels for salience, length for strength and age
+FACTS = """SELECT doc_id AS id, 'd:' || doc_id AS signature, text AS fact, CASE WHEN lang = 'en' THEN 'episodic' ELSE 'semantic' END AS class, CASE lang WHEN 'es' THEN 'detail' WHEN 'fr' THEN 'gist' END AS notes,
+ least(1.0, n_chars / 4000.0::DOUBLE) AS strength, quality * 0.6::DOUBLE AS salience_score, DATE '2024-01-01' + CAST(n_chars % 180 AS INTEGER) AS day, source, lang FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def facts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("d:"), "doc_id").alias("signature"), F.col("text").alias("fact"), F.when(F.col("lang") == "en", "episodic").otherwise("semantic").alias("class"), F.when(F.col("lang") == "es", "detail").when(F.col("lang") == "fr", "gist").alias("notes"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("strength"), (F.col("quality") * 0.6).alias("salience_score"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 180).cast("int")).alias("day"), "source", "lang")
+
+
+_NEW = "SELECT 'o:' || o_orderkey AS signature, o_orderkey AS seq FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'"
+
+
+@query("reactivation_counts", f"WITH m AS (SELECT DISTINCT * FROM ({_MENTIONS})), h AS (SELECT dst FROM m GROUP BY dst HAVING count(*) <= greatest(8, ceil(0.2 * (SELECT count(*) FROM m)))), s AS (SELECT m.* FROM m JOIN h USING (dst)), n AS ({_NEW}), f AS (SELECT dst, src AS cue FROM s JOIN n ON src = signature), o AS (SELECT * FROM s WHERE src NOT IN (SELECT signature FROM n)) SELECT o.src AS signature, count(DISTINCT cue) AS triggers FROM o JOIN f USING (dst) GROUP BY 1")
+def reactivation_counts(spark, sf_dir):
+    """DR3: older orders that new ones of the same customer bring back."""
+    m = mentions(spark, sf_dir)
+    new = table(spark, sf_dir, "orders").filter("o_orderdate >= TIMESTAMP_NTZ '2001-06-01 00:00:00'").select(F.concat(F.lit("o:"), "o_orderkey").alias("signature"), F.col("o_orderkey").alias("seq"))
+    return upkeep.reactivate(new, m, graph.hub_cap(m.count()))[0]
+
+
+@query("family_member_counts", "SELECT 'p:' || l_partkey AS family_key, 's:' || l_suppkey AS member_sig, sum(CAST(l_quantity AS BIGINT))::BIGINT AS evidence_count, max(l_orderkey) AS latest_seq FROM lineitem GROUP BY 1, 2")
+def family_member_counts(spark, sf_dir):
+    """AG8, DR4: counters of families and members, returned items added to the others."""
+    li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p:"), "l_partkey").alias("family_key"), F.concat(F.lit("s:"), "l_suppkey").alias("member_sig"), F.col("l_quantity").cast("long").alias("evidence_count"), F.col("l_orderkey").alias("latest_seq"), F.col("l_shipdate").alias("observed_at"), "l_returnflag")
+    before, more = (li.filter(c).drop("l_returnflag") for c in ("l_returnflag <> 'R'", "l_returnflag = 'R'"))
+    return upkeep.merge_counters(before, more).drop("observed_at")
+
+
+@query("example_ring", "SELECT family_key, new_sig, old_sig, observed_seq FROM (SELECT *, row_number() OVER (PARTITION BY family_key ORDER BY observed_seq DESC, new_sig DESC, old_sig DESC) AS k FROM (SELECT l_suppkey AS family_key, l_orderkey AS new_sig, l_linenumber AS old_sig, CAST(l_shipdate AS DATE) AS observed_seq FROM lineitem)) WHERE k <= 40")
+def example_ring(spark, sf_dir):
+    """WN5: each supplier's 40 newest items."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("family_key"), F.col("l_orderkey").alias("new_sig"), F.col("l_linenumber").alias("old_sig"), F.col("l_shipdate").cast("date").alias("observed_seq"))
+    return upkeep.example_ring(e)
+
+
+@query("pending_families", "SELECT 'c:' || c_custkey AS family_key, n - coalesce(r, 0) AS new_evidence FROM (SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1) LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS r FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (c_custkey) WHERE n - coalesce(r, 0) >= 2")
+def pending_families(spark, sf_dir):
+    """DR5: customers with two or more orders since those that are settled."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c:"), "o_custkey").alias("family_key"), "o_orderkey", "o_orderstatus")
+    fam = o.groupBy("family_key").agg(F.count("*").alias("evidence_count"), F.max("o_orderkey").alias("evidence_seq"))
+    rev = o.filter("o_orderstatus = 'F'").groupBy("family_key").agg(F.count("*").alias("reviewed_count"))
+    return upkeep.pending_families(fam, rev).select("family_key", "new_evidence")
+
+
+_F = f"WITH f AS ({FACTS}), p AS (SELECT signature FROM f WHERE day >= DATE '2024-06-20')"
+
+
+def _protected(f):
+    return f.filter("day >= DATE '2024-06-20'")
+
+
+@query("evaporate", _F + " SELECT signature FROM f WHERE ((class = 'episodic' AND strength < 0.32) OR (class = 'semantic' AND strength < 0.28)) AND signature NOT IN (SELECT signature FROM p)")
+def evaporate(spark, sf_dir):
+    """DR6: facts that have faded."""
+    f = facts(spark, sf_dir)
+    return upkeep.evaporating(f, _protected(f), 0.32, 0.28).select("signature")
+
+
+@query("evict_over_cap", _F + ", c AS (SELECT signature, CASE WHEN coalesce(salience_score, 0) >= 0.5 OR signature IN (SELECT signature FROM p) THEN 2 ELSE 1 END AS pass, CAST(coalesce(salience_score, 0) >= 0.5 AS INTEGER) AS s, strength, day FROM f), r AS (SELECT *, row_number() OVER (ORDER BY pass, s, strength, day, signature) AS k, count(*) OVER () AS n FROM c) SELECT signature, pass FROM r WHERE k <= n - 500")
+def evict_over_cap(spark, sf_dir):
+    """DR7, WN7: what goes when more than 500 facts are held."""
+    f = facts(spark, sf_dir).withColumn("last_decayed", F.col("day"))
+    return upkeep.over_cap(f, _protected(f), 500)
+
+
+@query("demote_over_cap", _F + ", c AS (SELECT signature, CASE WHEN coalesce(salience_score, 0) >= 0.5 OR notes = 'gist' THEN 2 ELSE 1 END AS pass, CASE WHEN notes = 'detail' THEN 0 ELSE 1 END AS d, CAST(coalesce(salience_score, 0) >= 0.5 AS INTEGER) AS s, CASE WHEN notes = 'gist' THEN 1 ELSE 0 END AS g, strength, day FROM f WHERE signature NOT IN (SELECT signature FROM p)), r AS (SELECT *, row_number() OVER (ORDER BY pass, d, s, g, strength, day, signature) AS k FROM c) SELECT signature, pass FROM r WHERE k <= (SELECT count(*) FROM f) - 500")
+def demote_over_cap(spark, sf_dir):
+    """DR8: what moves to the archive when more than 500 facts are active."""
+    f = facts(spark, sf_dir).withColumn("last_decayed", F.col("day"))
+    return upkeep.demoting(f, _protected(f), 500)
+
+
+@query("prune_hubs", "SELECT 'c:' || c_custkey AS signature FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_mktsegment <> 'BUILDING'")
+def prune_hubs(spark, sf_dir):
+    """DR9: hubs without mentions and facets."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("signature"), F.lit("entity").alias("kind"), "c_mktsegment")
+    return upkeep.unused_hubs(c, mentions(spark, sf_dir), c.filter("c_mktsegment = 'BUILDING'").select(F.col("signature").alias("entity_sig"))).select("signature")
+
+
+@query("housekeeping", "SELECT event_id, event_type FROM events WHERE (event_type = 'click' AND ts >= TIMESTAMP '2024-03-15' - INTERVAL 60 DAY) OR (event_type <> 'click' AND ts >= TIMESTAMP '2024-02-14' - INTERVAL 30 DAY)")
+def housekeeping(spark, sf_dir):
+    """DR10: what is left of tombstones after 60 days and of the journal after 30."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    t, _ = upkeep.housekeeping(e.filter("event_type = 'click'").withColumnRenamed("ts", "forgotten_at"), e.withColumnRenamed("ts", "dreamed_at"), F.lit("2024-03-15").cast("timestamp"))
+    _, j = upkeep.housekeeping(e.withColumnRenamed("ts", "forgotten_at"), e.filter("event_type <> 'click'").withColumnRenamed("ts", "dreamed_at"), F.lit("2024-02-14").cast("timestamp"))
+    return t.select("event_id", "event_type").unionByName(j.select("event_id", "event_type"))
+
+
+# the store knows the user turns; the snapshot brings all turns, assistants' ones rewritten
+@query("snapshot_upsert", "SELECT conv_id || '-' || turn AS memory_id, CASE role WHEN 'user' THEN CASE WHEN turn > 2 THEN 'revive' ELSE 'keep' END WHEN 'assistant' THEN 'update' ELSE 'insert' END AS action FROM conversations WHERE trim(text) <> ''")
+def snapshot_upsert(spark, sf_dir):
+    """ING1-ING8: what a snapshot does to each record."""
+    c = table(spark, sf_dir, "conversations").filter("trim(text) <> ''").withColumn("memory_id", F.concat_ws("-", "conv_id", "turn"))
+    nodes = c.filter("role <> 'system'").select("memory_id", F.concat(F.lit("n:"), "memory_id").alias("signature"), F.when(F.col("role") == "user", F.trim("text")).otherwise(F.concat(F.lit("was "), "text")).alias("fact"), F.lit("fact").alias("salience"), F.when((F.col("role") == "user") & (F.col("turn") > 2), "archive").alias("notes"), F.lit("fact").alias("kind"), F.lit("2024-01-01").cast("timestamp").alias("first_seen"))
+    snap = c.select("memory_id", F.col("text").alias("fact"), F.lit("fact").alias("category"), F.lit(None).cast("timestamp").alias("created_at"), F.col("turn").alias("position"))
+    return ingest.plan(snap, nodes, F.lit("2024-02-01").cast("timestamp")).select("memory_id", "action")
+
+
+@query("snapshot_prune", "SELECT 'prune' AS gate, o_orderkey AS memory_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' UNION ALL SELECT 'missing', o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '2001-01-01'")
+def snapshot_prune(spark, sf_dir):
+    """ING9, ING11: facts that left the snapshot, and records that never arrived."""
+    o = table(spark, sf_dir, "orders").withColumn("memory_id", F.col("o_orderkey").cast("string"))
+    snap = o.filter("o_orderstatus = 'F'")
+    nodes = o.select("memory_id", F.lit("fact").alias("kind"), F.when(F.col("o_orderpriority") == "5-LOW", "archive").alias("notes"), "o_orderdate")
+    lost = ingest.missing(snap, nodes.filter("o_orderdate < TIMESTAMP_NTZ '2001-01-01 00:00:00'"))
+    return ingest.prune(snap, nodes).select(F.lit("prune").alias("gate"), F.col("memory_id").cast("long").alias("memory_id")).unionByName(lost.select(F.lit("missing").alias("gate"), F.col("memory_id").cast("long").alias("memory_id")))
+
+
+@query("repaired_dates", "SELECT signature, CAST(day - 40 AS TIMESTAMP) AS first_seen, CASE WHEN notes = 'gist' THEN NULL ELSE CAST(day - 40 AS DATE) END AS source_day FROM (" + FACTS + ")")
+def repaired_dates(spark, sf_dir):
+    """ING12: first_seen moved to the earlier date that a text names."""
+    f = facts(spark, sf_dir).withColumn("fact", F.concat(F.lit("seen "), F.date_sub("day", 40).cast("string"), F.lit(" and again "), F.col("day").cast("string"), F.lit("; "), F.substring("lang", 1, 2)))
+    return ingest.repaired_dates(f.withColumn("kind", F.lit("fact")).withColumn("first_seen", F.col("day").cast("timestamp"))).select("signature", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "source_day")
+
+
+_KNN = "SELECT a.vec_id AS seed, b.vec_id AS member, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
+
+
+@query("merge_clusters", f"WITH p AS (SELECT seed, member FROM ({_KNN}) k JOIN embeddings x ON x.vec_id = seed JOIN embeddings y ON y.vec_id = member WHERE rank <= 10 AND cosine >= 0.3 AND x.label = y.label), a AS (SELECT * FROM p UNION ALL SELECT vec_id, vec_id FROM embeddings), o AS (SELECT member, min(seed) AS cluster FROM a GROUP BY member), l AS (SELECT cluster FROM o WHERE member = cluster), r AS (SELECT member, min(seed) AS cluster FROM a WHERE seed IN (SELECT cluster FROM l) GROUP BY member) SELECT cluster, member FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM r) WHERE n >= 2")
+def merge_clusters(spark, sf_dir):
+    """RA6, WN16: groups of like facts of one label, each fact claimed once."""
+    v = table(spark, sf_dir, "embeddings")
+    lab = v.select("vec_id", "label")
+    k = knn_pairs(v, 10, 0.3).join(lab, "vec_id").join(lab.select(F.col("vec_id").alias("neighbour_id"), F.col("label").alias("l2")), "neighbour_id").filter("label = l2")
+    return review.merge_clusters(k.select(F.col("vec_id").alias("seed"), F.col("neighbour_id").alias("member")), lab.select(F.col("vec_id").alias("signature")))
+
+
+@query("merge_reject_reasons", """WITH m AS (SELECT l_orderkey AS decision, l_partkey AS member FROM lineitem), d AS (SELECT o_orderkey AS decision, o_custkey AS survivor, o_orderpriority AS form FROM orders)
+SELECT decision, 'insufficient_members' AS reason FROM d LEFT JOIN (SELECT decision, count(DISTINCT member) AS n FROM m GROUP BY 1) USING (decision) WHERE coalesce(n, 0) < 2
+UNION ALL SELECT decision, 'invalid_temporal_form' FROM d
+UNION ALL SELECT DISTINCT decision, 'stale_member' FROM m WHERE member NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)
+UNION ALL SELECT decision, 'cross_cluster' FROM m LEFT JOIN (SELECT p_partkey AS member, p_brand FROM part WHERE p_size > 5) USING (member) GROUP BY 1 HAVING count(DISTINCT p_brand) > 1 OR bool_or(p_brand IS NULL)
+UNION ALL SELECT decision, 'malformed_decision' FROM d JOIN m USING (decision) GROUP BY decision, survivor HAVING NOT bool_or(member = survivor)
+UNION ALL SELECT DISTINCT decision, 'overlapping_decisions' FROM (SELECT DISTINCT * FROM m) WHERE member IN (SELECT member FROM (SELECT DISTINCT * FROM m) GROUP BY member HAVING count(*) > 1)""")
+def merge_reject_reasons(spark, sf_dir):
+    """RA7: why merge decisions are turned down; orders as decisions over parts."""
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision"), F.col("l_partkey").alias("member"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision"), F.col("o_custkey").alias("survivor"), F.col("o_orderpriority").alias("form"))
+    p = table(spark, sf_dir, "part").filter("p_size > 5")
+    return review.merge_faults(d, m, p.select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("member")), p.select(F.col("p_partkey").alias("signature")))
+
+
+@query("merged_survivors", "SELECT o_custkey AS signature, round(least(1.0, max(l_discount) + 0.05), 6) AS strength, round(max(l_tax), 6) AS salience_score, CAST(max(l_quantity) AS BIGINT) AS reactivations, CAST(min(l_shipdate) AS TIMESTAMP) AS first_seen, o_orderkey AS decision FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey")
+def merged_survivors(spark, sf_dir):
+    """AG18, RA8: what a survivor takes over from its members."""
+    li = table(spark, sf_dir, "lineitem")
+    item = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    nodes = li.select(item.alias("signature"), F.col("l_discount").alias("strength"), F.col("l_tax").alias("salience_score"), F.col("l_quantity").cast("long").alias("reactivations"), F.col("l_shipdate").alias("first_seen"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision"), F.concat_ws(":", "o_custkey", "o_orderkey").alias("survivor"))
+    out = review.merged(d, li.select(F.col("l_orderkey").alias("decision"), item.alias("member")), nodes)
+    return out.select(F.split("signature", ":")[0].cast("long").alias("signature"), F.round("strength", 6).alias("strength"), F.round("salience_score", 6).alias("salience_score"), "reactivations", "first_seen", F.split("signature", ":")[1].cast("long").alias("decision"))
+
+
+_CENTRE = "WITH e AS (SELECT label AS cluster, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT cluster, i, avg(x) AS m FROM e GROUP BY 1, 2), l AS (SELECT cluster, sqrt(sum(m * m)) AS len FROM m GROUP BY 1), d AS (SELECT cluster, vec_id, sum(x * m) AS dot FROM e JOIN m USING (cluster, i) GROUP BY 1, 2)"
+
+
+@query("dispersion", _CENTRE + " SELECT cluster, count(*) AS details, round(avg(1 - dot / len), 6) AS dispersion FROM d JOIN l USING (cluster) GROUP BY cluster")
+def dispersion(spark, sf_dir):
+    """AG10: how far a group's members lie from their centroid."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"), "embedding")
+    return review.dispersion(v).withColumn("dispersion", F.round("dispersion", 6))
+
+
+@query("synthesis_groups", "SELECT component, dormant, hot, onset, newest FROM (SELECT o_custkey AS component, count(*) FILTER (z) AS dormant, count(*) FILTER (NOT z) AS hot, min(d) FILTER (z) AS onset, max(d) FILTER (z) AS newest FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice / 400000.0::DOUBLE < 0.45 AND CASE o_orderstatus WHEN 'O' THEN 2 ELSE 0 END <= 1 AND date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') >= 14 AS z FROM orders) GROUP BY 1) WHERE dormant >= 3 AND date_diff('day', newest, DATE '2001-08-01') >= 14")
+def synthesis_groups(spark, sf_dir):
+    """RA9: customers whose dormant orders are ripe for one concept."""
+    o = table(spark, sf_dir, "orders")
+    f = o.select(F.col("o_orderkey").alias("node"), (F.col("o_totalprice") / 400000.0).alias("strength"), F.when(F.col("o_orderstatus") == "O", 2).otherwise(0).alias("reactivations"), F.col("o_orderdate").cast("date").alias("day"))
+    return review.synthesis_groups(o.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("component")), f, F.lit("2001-08-01").cast("date"))
+
+
+@query("claim_once", "SELECT pool, member FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY rank, pool) AS k FROM (SELECT l_suppkey AS pool, l_linenumber AS rank, l_partkey AS member FROM lineitem)) WHERE k = 1")
+def claim_once(spark, sf_dir):
+    """WN17: each part in its best pool alone."""
+    return review.claim_once(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pool"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("member")))
+
+
+@query("salience_caps", "WITH n AS (SELECT count(*) AS n, count(*) FILTER (l_tax >= 0.08) AS s FROM lineitem), b AS (SELECT l_partkey AS sig, max(l_discount) AS score FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, sig) AS k FROM b) SELECT sig, score FROM r, n WHERE k <= least(greatest(floor((SELECT count(*) FROM b) / 5), 3), greatest(floor(n * 15 / 100), 3) - s)")
+def salience_caps(spark, sf_dir):
+    """RA5, WN8: the parts that may be raised under both caps."""
+    li = table(spark, sf_dir, "lineitem")
+    n, s, batch = li.agg(F.count("*"), F.count(F.when(F.col("l_tax") >= 0.08, 1)), F.countDistinct("l_partkey")).first()
+    return review.salience_caps(li.select(F.col("l_partkey").alias("sig"), F.col("l_discount").alias("score")), batch, n, s)
+
+
+@query("spotlight_boost", "WITH p AS (SELECT a.event_id AS src, b.event_id AS dst, 1 - abs(a.value - b.value) / 100 AS cosine, a.ts AS t1, b.ts AS t2, b.value / 200 AS s FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(date_diff('microsecond', a.ts, b.ts)) <= 86400000000 WHERE a.event_type = 'purchase' AND b.event_type <> 'purchase'), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cosine DESC, dst) AS k FROM p WHERE cosine >= 0.6 AND s <= 0.35) SELECT src, dst, round(least(0.45, s + 0.12), 6) AS strength FROM r WHERE k <= 5")
+def spotlight_boost(spark, sf_dir):
+    """RA5, JN12: weak neighbours in time that a raised fact lifts."""
+    from ..operators.periods import band_pairs
+
+    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    near = band_pairs(e, "user_id", "ts", "event_id", 86_400)
+    both = near.unionByName(near.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
+    v = e.select("event_id", "value")
+    cos = both.join(v.select(F.col("event_id").alias("src"), F.col("value").alias("v1")), "src").join(v.select(F.col("event_id").alias("dst"), F.col("value").alias("v2")), "dst").select("src", "dst", (1 - F.abs(F.col("v1") - F.col("v2")) / 100).alias("cosine"))
+    raised = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("src"), "at")
+    weak = e.filter("event_type <> 'purchase'").select(F.col("event_id").alias("dst"), "at", (F.col("value") / 200).alias("strength"))
+    return review.spotlight(raised, weak, cos, cos.limit(0)).withColumn("strength", F.round("strength", 6))
+
+
+@query("adjudications", "SELECT sig, status, reviewed_seq FROM (SELECT o_custkey AS sig, o_orderstatus AS status, o_orderkey AS reviewed_seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def adjudications(spark, sf_dir):
+    """RA2: the latest judgement of each hub."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sig"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("reviewed_seq"), F.lit("").alias("report_id"))
+    return review.keep_last(o).drop("report_id")
+
+
+@query("rotating_review", "SELECT c_custkey AS id FROM customer ORDER BY c_custkey <= 140, c_custkey LIMIT 10")
+def rotating_review(spark, sf_dir):
+    """WN9, RA1: the ten hubs that are next for review."""
+    return review.rotating(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), 140)
+
+
+_CAND = " UNION ALL ".join(f"SELECT '{r}' AS resolution, CAST(date_trunc('{r}', d) AS DATE) AS s, CAST(date_trunc('{r}', d) + INTERVAL {step} - INTERVAL 1 DAY AS DATE) AS e, seq FROM o" for r, step in (("day", "1 DAY"), ("week", "7 DAY"), ("month", "1 MONTH"), ("quarter", "3 MONTH"), ("year", "1 YEAR")))
+
+
+@query("chronicle_candidates", f"WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey AS seq FROM orders), c AS ({_CAND}) SELECT resolution, s AS period_start, e AS period_end, count(*) AS members, max(seq) AS coverage_seq FROM c WHERE e <= DATE '2001-07-15' OR (resolution = 'day' AND s <= DATE '2001-07-15') GROUP BY 1, 2, 3")
+def chronicle_candidates(spark, sf_dir):
+    """RA12, AG16: every closed calendar period with something in it."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("seq"))
+    return chronicles.candidates(o, F.lit("2001-07-15").cast("date"))
+
+
+@query("chronicle_pending", f"WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey AS seq, o_orderstatus FROM orders), c AS (SELECT * FROM ({_CAND}) WHERE resolution = 'month'), n AS (SELECT s, max(seq) AS q FROM c GROUP BY 1), l AS (SELECT CAST(date_trunc('month', d) AS DATE) AS s, max(seq) AS seen FROM o WHERE o_orderstatus = 'F' GROUP BY 1) SELECT n.s AS period_start, n.q AS coverage_seq FROM n LEFT JOIN l USING (s) WHERE n.s + INTERVAL 1 MONTH - INTERVAL 1 DAY <= DATE '2001-07-15' AND (seen IS NULL OR seen < q)")
+def chronicle_pending(spark, sf_dir):
+    """RA12, STR2: months whose newest version doesn't cover their latest evidence."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("seq"), "o_orderstatus")
+    c = chronicles.candidates(o, F.lit("2001-07-15").cast("date")).filter("resolution = 'month'")
+    have = chronicles.candidates(o.filter("o_orderstatus = 'F'"), F.lit("2001-12-31").cast("date")).filter("resolution = 'month'")
+    return chronicles.pending(c, have).select("period_start", "coverage_seq")
+
+
+@query("chronicle_coverage", "SELECT o_orderkey AS chronicle_sig, count(DISTINCT l_partkey) AS covered, any_value(n) AS declared FROM (SELECT o_orderkey, 3 + o_custkey % 3 AS n FROM orders) JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT l_partkey) <> any_value(n)")
+def chronicle_coverage(spark, sf_dir):
+    """AG7, DC16: declared against distinct evidence."""
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chronicle_sig"), (3 + F.col("o_custkey") % 3).alias("declared"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chronicle_sig"), F.col("l_partkey").alias("evidence_sig"))
+    return chronicles.coverage(c, e).filter("covered <> declared")
+
+
+_SKY = "SELECT 'd:' || CAST(d AS VARCHAR) AS node_sig, 'day' AS resolution, d AS s, d AS e FROM o UNION ALL SELECT 'm:' || CAST(CAST(date_trunc('month', d) AS DATE) AS VARCHAR), 'month', CAST(date_trunc('month', d) AS DATE), CAST(date_trunc('month', d) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) FROM o"
+
+
+@query("chronicle_skyline", f"WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), c AS (SELECT DISTINCT * FROM ({_SKY})) SELECT DISTINCT a.node_sig, a.resolution FROM c a JOIN c b ON b.s <= a.s AND b.e >= a.e AND b.resolution = 'month' AND a.resolution = 'day' WHERE date_diff('day', a.e, DATE '2001-08-01') > 14")
+def chronicle_skyline(spark, sf_dir):
+    """DR11, JN6: days that their month stands for by now."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    day = d.select(F.concat(F.lit("d:"), F.col("d").cast("string")).alias("node_sig"), F.lit("day").alias("resolution"), F.col("d").alias("period_start"), F.col("d").alias("period_end"))
+    start = temporal.period_start("month", F.col("d"))
+    month = d.select(F.concat(F.lit("m:"), start.cast("string")).alias("node_sig"), F.lit("month").alias("resolution"), start.alias("period_start"), temporal.period_end("month", F.col("d")).alias("period_end")).distinct()
+    c = day.unionByName(month).withColumn("salience_score", F.lit(None).cast("double"))
+    none = spark.createDataFrame([], "chronicle_sig string, evidence_sig string")
+    return upkeep.skyline(c, none, F.lit("2001-08-01").cast("date"))
+
+
+@query("doctor_audit", """SELECT 'duplicate_edges' AS invariant, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS faults FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_partkey, l_returnflag, l_suppkey HAVING count(*) > 1)
+UNION ALL SELECT 'dangling_edges', count(*) FROM (SELECT DISTINCT l_partkey, l_returnflag, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0))
+UNION ALL SELECT 'fact_islands', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
+UNION ALL SELECT 'bad_vector_dimensions', count(*) FROM embeddings WHERE len(embedding) <> 64
+UNION ALL SELECT 'facts_without_vector', count(*) FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 'orphan_active_vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)""")
+def doctor_audit(spark, sf_dir):
+    """RA15: the audit's counters over parts as facts, suppliers as hubs and items as edges, with faults."""
+    part, sup, v = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "embeddings")
+    n = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("p:"), "p_partkey").alias("signature"), F.lit("fact").alias("kind"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("memory_id"))
+    hubs = sup.filter("s_acctbal > 0").select((-F.col("s_suppkey") - 1).alias("id"), F.concat(F.lit("s:"), "s_suppkey").alias("signature"), F.lit("entity").alias("kind"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("memory_id"))
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p:"), "l_partkey").alias("src"), F.col("l_returnflag").alias("rel"), F.concat(F.lit("s:"), "l_suppkey").alias("dst"))
+    from ..sources.store import Store
+
+    store = Store(spark).having(nodes=n.unionByName(hubs), edges=e, vectors=v.select(F.col("vec_id").alias("id"), F.lit("active").alias("lane"), "embedding"))
+    return doctor.audit(store, 64, only=("duplicate_edges", "dangling_edges", "fact_islands", "bad_vector_dimensions", "facts_without_vector", "orphan_active_vectors"))
+
+
+@query("pairwise_cosine", "SELECT label, count(*) AS pairs, round(avg(c), 6) AS mean, count(*) FILTER (c > 0.3) AS collapsed FROM (SELECT a.label, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) GROUP BY label")
+def pairwise_cosine(spark, sf_dir):
+    """AG11, DC22: how much the members of a group are alike."""
+    return doctor.pairwise(table(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), "embedding"), 0.3).withColumnRenamed("grp", "label")
+
+
+@query("projection_order", f"WITH f AS ({FACTS}), g AS (SELECT signature, 1 AS block, row_number() OVER (ORDER BY coalesce(salience_score, 0) >= 0.5 DESC, CASE class WHEN 'semantic' THEN 0 ELSE 1 END, strength DESC, signature) AS k FROM f WHERE notes = 'gist'), e AS (SELECT signature, 2 AS block, row_number() OVER (ORDER BY day, signature) AS k FROM f WHERE notes IS NULL) SELECT signature, block, k AS place FROM (SELECT * FROM g UNION ALL SELECT * FROM e)")
+def projection_order(spark, sf_dir):
+    """PRJ2, PRJ3: the order of gists and of episodes in a projection."""
+    return projection.order(facts(spark, sf_dir).withColumn("first_seen", F.col("day").cast("timestamp")))
+
+
+@query("projection_diff", "SELECT coalesce(a.k, b.k) AS memory_id, CASE WHEN a.k IS NULL THEN 'FORGET' WHEN b.k IS NULL THEN 'ADD' WHEN a.t = b.t THEN 'KEEP' ELSE 'UPDATE' END AS action FROM (SELECT o_orderkey AS k, o_orderpriority AS t FROM orders WHERE o_orderstatus <> 'F') a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 100000 THEN o_orderpriority ELSE 'old' END AS t FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') b ON a.k = b.k")
+def projection_diff(spark, sf_dir):
+    """ST6: what a host has to add, change and forget."""
+    o = table(spark, sf_dir, "orders")
+    want = o.filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("memory_id"), F.concat(F.lit("[this week] "), "o_orderpriority").alias("fact"))
+    have = o.filter("o_orderdate < TIMESTAMP_NTZ '2000-01-01 00:00:00'").select(F.col("o_orderkey").alias("memory_id"), F.when(F.col("o_totalprice") > 100000, F.concat(F.lit("[long ago] "), "o_orderpriority")).otherwise("old").alias("fact"))
+    return projection.diff(want, have)
+
+
+@query("restatement_collapse", f"WITH f AS ({FACTS}) SELECT max(day) AS newest, min(day) AS observed_since, count(*) AS statements, arg_max(signature, (day, signature)) AS signature FROM f GROUP BY trim(regexp_replace(regexp_replace(regexp_replace(lower(fact), '^\\s*\\[[^\\]]+\\]\\s*', ' '), '\\b20[0-9]{{2}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))")
+def restatement_collapse(spark, sf_dir):
+    """AG13, RC6: restatements of one fact collapse into the latest, with how many and since when."""
+    from ..operators import recall
+
+    return recall.collapse(facts(spark, sf_dir).withColumn("hops", F.lit(0))).select(F.col("day").alias("newest"), "observed_since", "statements", "signature")
