@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="engramix-cut-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return f"file://{_OWN[app]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without lineage: a Parquet table in the shared checkpoint folder where one is named, else as it is."""
+    """``df`` without lineage: a Parquet table in the shared folder, so that a lost executor costs a re-read."""
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        return df
-    path = f"{named.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """``df`` with each row's place, from 1, in an order over all rows; the order must be total.
+
+    Rows are sorted by ranges in parallel and numbered within their range; the ranges' sizes,
+    one number each, are added up to what goes before. No task sees more than its range.
+    """
+    at = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", 33)
+    sizes = at.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sizes.select("__part", before.alias("__before"))
+    j = at.withColumn("__part", part).join(F.broadcast(ahead), "__part")
+    return j.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(src, dst) in both directions."""
     return edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst")

@@ -6,22 +6,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import temporal, text
 from ..sources.store import not_cold
+from .graph import numbered
 from .periods import containing, latest
 
 SLOTS = 500
 
 
 def order(facts: DataFrame) -> DataFrame:
-    """(signature, block, place): gists by salience, class and strength; then episodes by time. Details, archive and chronicles aren't among them.
-
-    A projection is at most ``SLOTS`` long, so the places beyond are of no use to it; callers
-    that only project should take the first rows of the order instead of numbering all."""
+    """(signature, block, place): gists by salience, class and strength; then episodes by time. Details, archive and chronicles aren't among them."""
     f = facts.filter(not_cold())
     gist = F.coalesce(F.col("notes").rlike(r"\bgist\b"), F.lit(False))
-    salient = (F.coalesce("salience_score", F.lit(0.0)) >= 0.5).cast("int")
-    g = f.filter(gist).select("signature", F.lit(1).alias("block"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(salient), F.when(F.col("class") == "semantic", 0).otherwise(1), F.desc("strength"), "signature")).cast("long").alias("place"))
-    e = f.filter(~gist).select("signature", F.lit(2).alias("block"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first_seen", "signature")).cast("long").alias("place"))
-    return g.unionByName(e)
+    salient = F.coalesce("salience_score", F.lit(0.0)) >= 0.5
+    g = f.filter(gist).select("signature", salient.alias("__s"), F.when(F.col("class") == "semantic", 0).otherwise(1).alias("__c"), "strength")
+    e = f.filter(~gist).select("signature", "first_seen")
+    g = numbered(g, [F.desc("__s"), "__c", F.desc("strength"), "signature"]).select("signature", F.lit(1).alias("block"), "place")
+    return g.unionByName(numbered(e, ["first_seen", "signature"]).select("signature", F.lit(2).alias("block"), "place"))
 
 
 def project(facts: DataFrame, chronicles: DataFrame, now: Column, anchor: str, slots: int = SLOTS) -> DataFrame:

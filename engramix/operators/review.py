@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .graph import numbered
+
 FORMS = ("atemporal", "trajectory", "recurring", "period-bound")
 
 
@@ -85,7 +87,7 @@ def salience_caps(scores: DataFrame, batch: int, active: int, salient_now: int)
     """(sig, score) that may be raised: the best of each fact, at most a fifth of the batch (3 at least) and what is left of 15 % of the active set (3 at least)."""
     most = min(max(batch // 5, 3), max(active * 15 // 100, 3) - salient_now)
     best = scores.groupBy("sig").agg(F.max("score").alias("score"))
-    return best.orderBy(F.desc("score"), "sig").limit(max(0, most))
+    return numbered(best, [F.desc("score"), "sig"]).filter(F.col("place") <= max(0, most)).select("sig", "score")
 
 
 def spotlight(raised: DataFrame, weak: DataFrame, near: DataFrame, done: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def over_cap(facts: DataFrame, protected: DataFrame, cap: int) -> DataFrame:
     salient = F.coalesce("salience_score", F.lit(0.0)) >= scoring.SALIENT
     p = protected.select("signature", F.lit(True).alias("__p")).distinct()
     j = facts.join(p, "signature", "left").withColumn("pass", F.when(F.coalesce("__p", F.lit(False)) | salient, 2).otherwise(1)).withColumn("__s", salient.cast("int"))
-    return j.orderBy("pass", "__s", "strength", "last_decayed", "signature").limit(over).select("signature", "pass")
+    return graph.numbered(j.select("signature", "pass", "__s", "strength", "last_decayed"), ["pass", "__s", "strength", "last_decayed", "signature"]).filter(F.col("place") <= over).select("signature", "pass")
 
 
 def demoting(facts: DataFrame, protected: DataFrame, cap: int) -> DataFrame:
@@ -86,8 +86,8 @@ def demoting(facts: DataFrame, protected: DataFrame, cap: int) -> DataFrame:
     salient = F.coalesce("salience_score", F.lit(0.0)) >= scoring.SALIENT
     note = F.coalesce("notes", F.lit(""))
     j = facts.join(protected.select("signature"), "signature", "left_anti").withColumn("pass", F.when(salient | (note == "gist"), 2).otherwise(1))
-    order = ["pass", F.desc(note == "detail"), salient.asc(), (note == "gist").asc(), "strength", "last_decayed", "signature"]
-    return j.orderBy(*order).limit(over).select("signature", "pass")
+    j = j.select("signature", "pass", (note != "detail").alias("__d"), salient.alias("__s"), (note == "gist").alias("__g"), "strength", "last_decayed")
+    return graph.numbered(j, ["pass", "__d", "__s", "__g", "strength", "last_decayed", "signature"]).filter(F.col("place") <= over).select("signature", "pass")
 
 
 def unused_hubs(nodes: DataFrame, mentions: DataFrame, facets: DataFrame) -> DataFrame:
