@@ -141,9 +141,9 @@ def shelf_vectors(nodes: DataFrame, vectors: DataFrame, taken: DataFrame, q: Que
 
 def in_window(nodes: DataFrame, taken: DataFrame, terms: list[str], q: Question, archived: bool) -> DataFrame:
     """(signature, fact, day, hits) of facts of the window asked for; active ones must hold a term that isn't about time, if there is one. Nothing without a window."""
-    low, high = q.window or (date.max, date.min)
+    inside = lambda d: d.between(*map(F.lit, q.window)) if q.window else F.lit(False)
     day = temporal.fact_day(F.col("source_day"), F.col("first_seen"))
-    own = nodes.filter((F.col("kind") == "fact") & (F.col("notes") == "archive") if archived else active()).select("signature", "fact", "strength", day.alias("day")).filter(F.col("day").between(F.lit(low), F.lit(high)))
+    own = nodes.filter((F.col("kind") == "fact") & (F.col("notes") == "archive") if archived else active()).select("signature", "fact", "strength", day.alias("day")).filter(inside(F.col("day")))
     topic = [t for t in terms if t not in text.TEMPORAL_WORDS and not t.isdigit()]
     own = own.withColumn("hits", text.term_hits(F.col("fact"), topic))
     if topic and not archived:
