@@ -7,8 +7,10 @@ multiplied by its weights once, and each distinct word of a slice is summed once
 
 The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled
 documents. A second sample of the same bound calibrates it: one temperature for the softmax,
-and two thresholds (confidence, and the share of subwords met in training) that reject at most
-the fraction ``alpha`` of that sample each.
+and two thresholds (confidence, and the share of subwords met in training) that about the
+fraction ``alpha`` of such documents falls below each. That is rarer than the sample can show,
+so the sample's lowest twentieth is continued by an exponential tail, of the log odds of the
+confidence and of the logarithm of the unmet share.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ DIMENSIONS = 16
 LONGEST = 4
 #: Labelled documents of each label in the training sample and, apart from them, in the calibration sample.
 SAMPLE_PER_LABEL = 400
-ALPHA = 0.0005
+ALPHA = 0.0002
+#: Share of the calibration sample that its tail is fitted to.
+TAIL = 0.05
 #: Subwords that count as met besides a document's own, so that a few new ones don't reject a short text.
-PRIOR = 20
+PRIOR = 50
 SEED = 29
 
 _MARKS = pa.scalar("<"), pa.scalar(">"), pa.scalar("")
@@ -147,9 +151,18 @@ def train(texts: list[str], labels: list[str], calibration: list[str], calibrati
     scales = np.exp(np.linspace(-4, 2, 121))
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-300)).mean() for t in scales]
     temperature = float(scales[int(np.argmin(loss))])
-    confidence = np.sort(_softmax(logits / temperature).max(axis=1))
-    k = min(int(alpha * len(truth)), len(truth) - 1)
-    return LanguageModel(names, table.astype(np.float32), bias, seen, temperature, float(confidence[k]), float(np.sort(coverage)[k]), float((logits.argmax(axis=1) == truth).mean()))
+    confidence = np.clip(_softmax(logits / temperature).max(axis=1), 1e-12, 1 - 1e-12)
+    odds = lower_tail(np.log(confidence / (1 - confidence)), alpha)
+    return LanguageModel(names, table.astype(np.float32), bias, seen, temperature, float(1 / (1 + np.exp(-odds))), 1 + 1e-4 - math.exp(-lower_tail(-np.log(1 - coverage + 1e-4), alpha)), float((logits.argmax(axis=1) == truth).mean()))
+
+
+def lower_tail(values: np.ndarray, alpha: float, share: float = TAIL) -> float:
+    """The value that a fraction ``alpha`` lies below: a quantile of the sample, or beyond ``share`` its exponential tail."""
+    if alpha >= share:
+        return float(np.quantile(values, alpha))
+    q = float(np.quantile(values, share))
+    below = values[values < q]
+    return q - float((q - below).mean()) * math.log(share / alpha) if len(below) else q
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_per_label: int = SAMPLE_PER_LABEL, alpha: float = ALPHA, seed: int = SEED) -> LanguageModel | None:

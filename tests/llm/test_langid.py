@@ -65,6 +65,14 @@ def test_equals_a_row_by_row_average(model):
         assert coverage[i] == pytest.approx((model.seen[grams].sum() + langid.PRIOR) / (len(grams) + langid.PRIOR))
 
 
+def test_the_tail_is_continued():
+    rng = np.random.default_rng(6)
+    sample = 10 - rng.exponential(2.0, 4000)
+    assert langid.lower_tail(sample, 0.001) == pytest.approx(10 - 2 * np.log(1000), abs=2.5)
+    assert langid.lower_tail(sample, 0.2) == pytest.approx(np.quantile(sample, 0.2))
+    assert langid.lower_tail(np.ones(50), 0.001) == 1
+
+
 def test_table_and_filter(spark, model):
     rng = random.Random(4)
     rows = [(i, sentence(k, rng), k, "x") for i, k in enumerate(["aa", "bb", "cc"] * 20)] + [(1, None, "aa", "x"), (2, "", None, "x"), (None, sentence("aa", rng), None, None), (0, "日本語" * 50, "aa", "x")]
@@ -77,3 +85,13 @@ def test_table_and_filter(spark, model):
     assert langid.identify(docs.filter("text = ''")).collect()[0].rejected
     own = langid.identify(docs, sample_per_label=10, carry=("doc_id", "lang")).filter("lang = predicted").count()
     assert own >= 57
+
+
+def test_the_table_keeps_its_own_and_rejects_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = langid.fit(docs)
+    assert own.held_out_accuracy > 0.95
+    found = langid.identify(docs, own, carry=("doc_id", "lang")).collect()
+    assert sum(r.rejected for r in found) <= 5 and sum(r.lang == r.predicted for r in found) >= 950
+    others = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 4, "すべての人間は、生まれながらにして自由であり" * 5, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 4, "1234 5678"]
+    assert judged(own, others)[3].all()
