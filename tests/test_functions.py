@@ -181,3 +181,13 @@ def test_plugins(spark):
     df = plugins.embedded(spark.createDataFrame([("red apple",), ("red apples",), (None,)], "fact string"), plugins.HashingEmbedder(64))
     a, b, c = (r.embedding for r in df.collect())
     assert sum(x * x for x in a) == pytest.approx(1, abs=1e-5) and sum(x * y for x, y in zip(a, b)) > 0 and set(c) == {0.0}
+
+
+def test_many_terms_in_one_pass(spark, monkeypatch):
+    from engramix.operators import lexical
+
+    docs = spark.createDataFrame([(1, "aba bab"), (2, ""), (3, None), (1, "aba bab"), (4, "xyz")], "doc_id long, low string")
+    asked = spark.createDataFrame([("q1", ["ab", "bab", "zz"]), ("q2", ["ab"]), ("q3", [])], "item string, terms array<string>")
+    want = [(1, "q1", 4), (1, "q2", 2)]
+    assert sorted(map(tuple, lexical.term_pairs(docs, asked, "doc_id", "item").collect())) == want
+    assert lexical.term_pairs(docs, asked.limit(0), "doc_id", "item").collect() == []
