@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import FUNCTION_WORDS, normalize, slug
 
-_NAME = r"[A-Z][a-z]+\s+[A-Z][a-z]+"
+_CAPITAL = "[A-Z][a-z]+"
+_NAME = rf"{_CAPITAL}\s+{_CAPITAL}"
 _VERBS = "acting|are|confirmed|contributes|coordinates|coordinating|drives|driving|drove|focus|focuses|is|joining|joins|leads|participating|posting|removed|reported|reports|requested|sends|shared|submitted|supporting|was|works"
 _BEFORE = "alongside|and|between|by|cc|from|including|involving|join|owners?|reviewers?|welcome|with"
 _FAMILIES = (
@@ -18,7 +19,7 @@ _FAMILIES = (
     rf"\b(?:{_BEFORE})\s+((?:{_NAME})(?:\s*(?:,\s*and|,|and)\s*{_NAME})*)",
     rf"({_NAME}(?:(?:\s*,\s*and\s+|\s*,\s*|\s+and\s+){_NAME})+)",
 )
-_MAIL = r"([A-Z][a-z]+\s+[A-Z][a-z]+\s*[(<][a-z0-9._-]+)@"
+_MAIL = rf"({_NAME}\s*[(<][a-z0-9._-]+)@"
 
 
 def _is_name(name: Column) -> Column:
@@ -65,7 +66,7 @@ def new_hubs(facts: DataFrame, known: DataFrame, gone: DataFrame, least: int = 2
     at least as often as with a capital. Known hubs and ones judged away are left out.
     """
     e = extracted(facts)
-    pair = r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\b"
+    pair = rf"\b({_NAME})\b"
     wide = facts.select("signature", F.explode(F.regexp_extract_all("fact", F.lit(pair), F.lit(1))).alias("n")).filter(_is_name(F.col("n")))
     common = case_counts(facts).filter(F.col("lower") >= F.greatest(F.lit(1), F.col("upper"))).select("word")
     parts = wide.withColumn("a", F.lower(F.split("n", r"\s+")[0])).withColumn("b", F.lower(F.split("n", r"\s+")[1]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .temporal import RESOLUTIONS
 from .text import humanize, humanize_relation
 
 HEADS = {"semantic": "[semantic memory", "temporal": "[temporal memory"}
@@ -55,7 +56,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def companion(detail_of: DataFrame, chronicle_evidence: DataFrame, chronicles: DataFrame) -> DataFrame:
     """(signature, resolution, period_start, period_end): of each gist, the chronicle that shares most of its evidence; the coarser, then the later of equals."""
-    rank = F.create_map(*[F.lit(x) for k, r in enumerate(("day", "week", "month", "quarter", "year")) for x in (r, k)])[F.col("resolution")]
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(RESOLUTIONS) for x in (r, k)])[F.col("resolution")]
     shared = detail_of.select(F.col("gist_sig").alias("signature"), F.col("detail_sig").alias("evidence_sig")).join(chronicle_evidence.select("chronicle_sig", "evidence_sig").distinct(), "evidence_sig").groupBy("signature", F.col("chronicle_sig").alias("node_sig")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("signature").orderBy(F.desc("n"), rank.desc(), F.desc("period_end"), "node_sig")
     return shared.join(chronicles.select("node_sig", "resolution", "period_start", "period_end"), "node_sig").withColumn("__k", F.row_number().over(w)).filter("__k = 1").select("signature", "resolution", "period_start", "period_end")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from .text import MONTHS
 
-RESOLUTIONS = ("day", "week", "month", "quarter", "year")
+RESOLUTIONS = tuple("day week month quarter year".split())
 _WEEKDAYS = {d: k for k, d in enumerate("monday tuesday wednesday thursday friday saturday sunday".split())}
 _MONTH = "|".join(sorted(MONTHS, key=len, reverse=True))
 _DAY = "|".join(_WEEKDAYS)

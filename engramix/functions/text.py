@@ -47,9 +47,13 @@ def derive_slug(c: Column) -> Column:
     return F.substring(F.when(F.size(own) == 0, F.lit("fact")).otherwise(F.array_join(own, "-")), 1, 48)
 
 
+#: A scope in brackets at the start.
+_LEAD = r"^\s*" + r"\[[^\]]+\]" + r"\s*"
+
+
 def normalize_for_match(c: Column) -> Column:
     """For comparing statements: without a leading [scope], dates of this century and punctuation."""
-    bare = F.regexp_replace(F.lower(_text(c)), r"^\s*\[[^\]]+\]\s*", " ")
+    bare = F.regexp_replace(F.lower(_text(c)), _LEAD, " ")
     bare = F.regexp_replace(bare, r"\b20[0-9]{2}[-/][0-9]{1,2}[-/][0-9]{1,2}\b", " ")
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 

@@ -145,5 +145,5 @@ def repair(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> tuple[Data
     known = have.unionByName(hubs)
     kept = edges.join(known.withColumnRenamed("signature", "src"), "src", "left_semi").join(known.withColumnRenamed("signature", "dst"), "dst", "left_semi")
     alive = vectors.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id", "lane"])
-    missing = nodes.filter("kind = 'fact' AND (notes IS NULL OR notes <> 'archive')").join(alive.filter("lane = 'active'").select("id"), "id", "left_anti")
+    missing = nodes.filter((F.col("kind") == "fact") & ~F.coalesce(F.col("notes") == "archive", F.lit(False))).join(alive.filter("lane = 'active'").select("id"), "id", "left_anti")
     return kept, alive, hubs, missing

@@ -41,7 +41,7 @@ def woven(store: Store, seq: int, likeness: float = weave.LEAST, high: float = w
     return store.having(edges=both, evidence_transitions=weave.durable(both, store["evidence_transitions"])).moved(last_weave_seq=seq)
 
 
-def dreamt(store: Store, now: datetime, seq: int, tuning: Tuning) -> tuple[Store, DataFrame]:
+def kept_up(store: Store, now: datetime, seq: int, tuning: Tuning) -> tuple[Store, DataFrame]:
     """(the store after upkeep, a summary): decay, reactivation, then evaporation and eviction or demotion."""
     at = F.lit(now)
     facts = cut(store.facts())

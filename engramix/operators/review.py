@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import numbered
 
-FORMS = ("atemporal", "trajectory", "recurring", "period-bound")
+FORMS = tuple("atemporal trajectory recurring period-bound".split())
 
 
 def report_id(rows: DataFrame, columns: list[str]) -> str:

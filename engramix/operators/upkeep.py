@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring
+from ..functions.temporal import RESOLUTIONS
 from . import graph
 
 EXAMPLES = 40
@@ -106,7 +107,7 @@ def skyline(chronicles: DataFrame, evidence: DataFrame, today: Column) -> DataFr
 
     ``chronicles`` is the active ones: (node_sig, resolution, period_start, period_end, salience_score).
     """
-    rank = F.create_map(*[F.lit(x) for k, r in enumerate(("day", "week", "month", "quarter", "year")) for x in (r, k)])
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(RESOLUTIONS) for x in (r, k)])
     most = F.create_map(*[F.lit(x) for r, d in (("day", 14), ("week", 90), ("month", 730), ("quarter", 1460)) for x in (r, d)])
     own = chronicles.withColumn("rank", rank[F.col("resolution")])
     old = own.filter((F.coalesce("salience_score", F.lit(0.0)) < scoring.SALIENT) & (F.datediff(today, F.col("period_end")) > most[F.col("resolution")]))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import entities, rendering, text
+from ..functions.temporal import RESOLUTIONS
 from ..operators import nightly, weave
 from ..sources.tuning import Tuning
 from ..streaming import runs
@@ -20,7 +21,7 @@ def _events(spark, sf_dir):
     return spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", True).parquet(path)
 
 
-@query("stream_period_counts", " UNION ALL ".join(f"SELECT '{r}' AS resolution, CAST(date_trunc('{r}', ts) AS DATE) AS period_start, count(*) AS n FROM events GROUP BY 2" for r in ("day", "week", "month", "quarter", "year")))
+@query("stream_period_counts", " UNION ALL ".join(f"SELECT '{r}' AS resolution, CAST(date_trunc('{r}', ts) AS DATE) AS period_start, count(*) AS n FROM events GROUP BY 2" for r in RESOLUTIONS))
 def stream_period_counts(spark, sf_dir):
     """STR1-STR3, STR6: events per calendar period, batch by batch."""
     parts = runs.incremental(_events(spark, sf_dir), lambda b, n: runs.period_counts(b, F.col("ts")), runs.work_folder(spark, "periods"))
@@ -114,7 +115,7 @@ def companion_chronicles(spark, sf_dir):
 def nightly_run(spark, sf_dir):
     """Entry B, DR1-DR12: a whole night over the documents: weave, then upkeep; its summary."""
     s = nightly.woven(document_store(spark, sf_dir), 1, 0.25, 0.35)
-    return nightly.dreamt(s, datetime(2024, 7, 1), 1, Tuning.resolve({"capacity": "compact"}, {}))[1]
+    return nightly.kept_up(s, datetime(2024, 7, 1), 1, Tuning.resolve({"capacity": "compact"}, {}))[1]
 
 
 @query("entity_forms", "SELECT DISTINCT p_brand AS brand, trim(regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS form FROM part")

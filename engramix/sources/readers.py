@@ -32,7 +32,7 @@ def day_facts(spark: SparkSession, path: str) -> DataFrame:
     """(id, day, fact, category) of markdown day files: lines without bullets, numbers and bold labels, of eight characters at least; longer ones than 220 by sentences. Headers and quotes are left out."""
     w = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(20\d\d-\d\d-\d\d)", 1).alias("day"), "value")
     lines = w.select("day", F.posexplode(F.split("value", r"\r?\n")).alias("line", "t")).filter(~F.ltrim("t").rlike("^(#|>|```)"))
-    t = F.regexp_replace(F.regexp_replace(F.trim("t"), r"^(?:[-*+]|\d+[.)])\s+", ""), r"^\*\*[^*]+\*\*:?\s*", "")
+    t = F.regexp_replace(F.regexp_replace(F.trim("t"), r"^(?:[-*+]|\d+[.)])\s+", ""), r"^[*]{2}[^*]+[*]{2}:?\s*", "")
     parts = lines.select("day", "line", t.alias("t")).select("day", "line", F.posexplode(F.when(F.length("t") > 220, F.split("t", r"(?<=[.!?])\s+")).otherwise(F.array("t"))).alias("part", "fact"))
     kept = parts.filter(F.length(F.trim("fact")) >= 8)
     return kept.select(F.concat(F.lit("d"), "day", F.lit("-"), "line", F.lit("-"), "part").alias("id"), "day", F.trim("fact").alias("fact"), categorize(F.col("fact")).alias("category"))

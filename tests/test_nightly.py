@@ -26,14 +26,14 @@ def test_a_night_leaves_no_island_and_is_sound(spark):
     assert {("f0", "mentions", "topic:pump"), ("f1", "mentions", "topic:pump"), ("f2", "mentions", "topic:pump")} <= e and any("f3" in (a, b) for a, _, b in e)
     again = nightly.woven(s, 3)
     assert {(r.src, r.rel, r.dst) for r in again["edges"].collect()} == e
-    after, summary = nightly.dreamt(s, NOW, 2, Tuning.resolve({}, {}))
+    after, summary = nightly.kept_up(s, NOW, 2, Tuning.resolve({}, {}))
     assert {r.what: r.n for r in summary.collect()} == {"facts": 4, "reactivated": 0, "ready for review": 0, "gone": 0, "demoted": 0, "hubs pruned": 0}
     assert after.cursor("last_dream_seq") == 2
     faults = {r.invariant: r.faults for r in doctor.audit(after, 2).collect()}
     assert not any(faults.values())
     # the next night only one fact is new: it brings back the others of its hub, once each
     later = after.having(nodes=after["nodes"].withColumn("dirty_seq", F.when(F.col("signature") == "f2", 5).otherwise(F.col("dirty_seq"))))
-    third, summary = nightly.dreamt(later, NOW + timedelta(days=1), 5, Tuning.resolve({}, {}))
+    third, summary = nightly.kept_up(later, NOW + timedelta(days=1), 5, Tuning.resolve({}, {}))
     assert {r.what: r.n for r in summary.collect()}["reactivated"] == 2
     assert {r.signature: r.reactivations for r in third.facts().collect()} == {"f0": 1, "f1": 1, "f2": 0, "f3": 0}
 
@@ -41,13 +41,13 @@ def test_a_night_leaves_no_island_and_is_sound(spark):
 def test_prune_and_preserve(spark):
     s = nightly.woven(small(spark), 2).moved(last_dream_seq=2)
     tight = Tuning(2, 3, 2, 1.0, True, True)
-    kept, summary = nightly.dreamt(s, NOW, 3, tight)
+    kept, summary = nightly.kept_up(s, NOW, 3, tight)
     assert kept["nodes"].filter("kind = 'fact'").count() == 4 and kept.facts().count() == 2
     moved = {r.lane: r.n for r in kept["vectors"].groupBy("lane").agg(F.count("*").alias("n")).collect()}
     assert moved == {"active": 2, "archive": 2}
     before = {r.id: r.embedding for r in s["vectors"].collect()}
     assert {r.id: r.embedding for r in kept["vectors"].collect()} == before
-    pruned, _ = nightly.dreamt(s, NOW, 3, Tuning(2, 3, 2, 1.0, False, True))
+    pruned, _ = nightly.kept_up(s, NOW, 3, Tuning(2, 3, 2, 1.0, False, True))
     assert pruned.facts().count() == 0 and pruned["tombstones"].count() == 4 and pruned["edges"].count() == 0
 
 
