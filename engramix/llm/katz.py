@@ -34,7 +34,7 @@ K = 5
 LEAST_COUNT = 2
 _TINY = 1e-12
 #: Words that a mapper gathers before it sends their bigrams on.
-_BLOCK = 1_500_000
+_BLOCK = 1_000_000
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
 
         for batch in batches:
             texts = batch.column(len(names))
-            for lo, hi in byte_slices(texts, 8_000_000):
+            for lo, hi in byte_slices(texts):
                 for lo in range(lo, hi, 60_000):
                     part = texts.slice(lo, min(60_000, hi - lo))
                     missing = np.array(part.is_null())
