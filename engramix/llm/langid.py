@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import byte_slices, col, frugal
+from .shared import byte_slices, col, frugal, give_back
 
 BUCKET_BITS = 18
 DIMENSIONS = 16
@@ -84,7 +84,11 @@ def _subwords(words: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarr
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, counts) of each text, whole."""
+    """(buckets, counts) of each text, whole; a hundred texts at a time, for the driver's memory."""
+    return [bag for lo in range(0, len(texts), 100) for bag in _bags_of(texts[lo : lo + 100])]
+
+
+def _bags_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     at, number, words = _words(pa.array(texts, pa.large_string()))
     per_word: list[np.ndarray] = []
     for start, grams in _subwords(words):
@@ -184,7 +188,11 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: s
         own = [r for r in rows if r.y == y][:want]
         first += own[0::2]
         second += own[1::2]
-    return train([r.x for r in first], [r.y for r in first], [r.x for r in second], [r.y for r in second], alpha=alpha, seed=seed)
+    del rows, given
+    model = train([r.x for r in first], [r.y for r in first], [r.x for r in second], [r.y for r in second], alpha=alpha, seed=seed)
+    del first, second
+    give_back()
+    return model
 
 
 def score(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
