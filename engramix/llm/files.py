@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyarrow import fs
 
 
@@ -29,3 +33,34 @@ def write_whole(uri: str, write: Callable) -> None:
 def make_dir(uri: str) -> None:
     system, path = at(uri)
     system.create_dir(path, recursive=True)
+
+
+def join_whole(uri: str, parts: Iterable[str | bytes]) -> None:
+    """One file of the parts, in their order: bytes, or the names of files, which are deleted."""
+    used = []
+
+    def write(stream) -> None:
+        for part in parts:
+            if isinstance(part, bytes):
+                stream.write(part)
+                continue
+            system, path = at(part)
+            used.append((system, path))
+            with system.open_input_stream(path) as own:
+                shutil.copyfileobj(own, stream, 1 << 20)
+
+    write_whole(uri, write)
+    for system, path in used:
+        system.delete_file(path)
+
+
+def mapped(uri: str, dtype) -> np.ndarray:
+    """A whole file as an array that stays on disk; from a remote file system it is first copied to this machine's temporary folder, once."""
+    system, path = at(uri)
+    if not isinstance(system, fs.LocalFileSystem):
+        own = os.path.join(tempfile.gettempdir(), f"engramix-{uuid.uuid5(uuid.NAMESPACE_URL, uri).hex}")
+        if not os.path.exists(own):
+            with system.open_input_stream(path) as given:
+                write_whole(own, lambda stream: shutil.copyfileobj(given, stream, 1 << 20))
+        path = own
+    return np.asarray(np.memmap(path, dtype=dtype, mode="r")) if os.path.getsize(path) else np.empty(0, dtype=dtype)

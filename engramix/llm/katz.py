@@ -1,7 +1,9 @@
 """Language-model scoring with a Katz backoff bigram model.
 
-Counts cover every word of every document. Unigram counts give a closed vocabulary (all words,
-or with more than ``MOST_WORDS`` the most frequent ones; the others are one class, <unk>).
+Counts cover every word of every document. Unigram counts give the vocabulary: all words, at
+every size (only a caller that names ``most_words`` closes it; the others are then one class,
+<unk>). What is known of each word lies in files in the shared folder, sorted by hash, which
+workers map into memory; nothing of it is broadcast or gathered by the driver.
 Bigram counts are gathered by an exchange of each block's distinct bigrams and stored as a
 table of buckets. Bigrams seen once are left out, as is usual; counts up to K are discounted
 by Good-Turing from the exact counts of counts, and what that frees goes to the words a
@@ -17,24 +19,28 @@ bigram if there is one, else the context's backoff weight and the unigram, else
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WORD, byte_slices, coded_words, col, free_shuffles, frugal, frugal_group, keep, mix64, planes, shuffle_partitions, unplanes
+from . import files
+from .shared import WORD, byte_slices, coded_words, col, drop, free_shuffles, fresh_path, frugal, frugal_group, keep, mix64, planes, shuffle_partitions, unplanes
 
-BITS = 20
-#: Size of the closed vocabulary; ids 0, 1, 2 are <unk>, </s> and <s>.
-MOST_WORDS = (1 << BITS) - 3
+#: Of a word's id; ids 0, 1, 2 are <unk>, </s> and <s>. Two ids make a bigram's key.
+BITS = 31
 K = 5
 LEAST_COUNT = 2
 _TINY = 1e-12
 #: Words that a mapper gathers before it sends their bigrams on.
 _BLOCK = 1_000_000
+#: Ids whose entries one task writes, or the driver at once.
+_CHUNK = 1 << 20
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -50,9 +56,28 @@ def discounts(n: dict[int, int]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    hashes: np.ndarray  # sorted; the word at place i has id i + 3
-    counts: np.ndarray  # by id; of <s>, the number of texts
-    p: np.ndarray  # unigram probability by id; 0 for <s>
+    """Files in ``folder``, mapped where they are read; only the folder's name is sent to the workers."""
+
+    folder: str
+    total: int  # of all counts, <s> included
+
+    def __reduce__(self):
+        return Vocabulary, (self.folder, self.total)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Sorted; the word at place i has id i + 3."""
+        return files.mapped(f"{self.folder}/hashes", np.uint64)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """By id; of <s>, the number of texts."""
+        return files.mapped(f"{self.folder}/counts", np.int64)
+
+    @cached_property
+    def p(self) -> np.ndarray:
+        """Unigram probability by id; 0 for <s>."""
+        return files.mapped(f"{self.folder}/p", np.float64)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -60,17 +85,47 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at + 3, 0)
 
+    def split(self, ctx: np.ndarray, buckets: int) -> np.ndarray:
+        """Over how many buckets each context's bigrams are spread."""
+        return np.ceil(self.counts[ctx] * (4.0 * buckets) / max(1, self.total)).clip(1, buckets).astype(np.uint64)
+
+
+@dataclass(frozen=True)
+class Weights:
+    """By context, in the vocabulary's folder."""
+
+    folder: str
+
+    def __reduce__(self):
+        return Weights, (self.folder,)
+
+    @cached_property
+    def alpha(self) -> np.ndarray:
+        """Log backoff weight."""
+        return files.mapped(f"{self.folder}/alpha", np.float64)
+
+    @cached_property
+    def total(self) -> np.ndarray:
+        """Divisor."""
+        return files.mapped(f"{self.folder}/total", np.float64)
+
 
 @dataclass(frozen=True)
 class KatzModel:
     vocabulary: Vocabulary
-    alpha: np.ndarray  # log backoff weight by context
-    total: np.ndarray  # divisor by context
+    weights: Weights
     d: np.ndarray
     buckets: int
-    split: np.ndarray  # over how many buckets a context's bigrams are spread
     bigrams: DataFrame  # (bucket, keys, counts): ctx << BITS | word, stored only
 
+    @property
+    def alpha(self) -> np.ndarray:
+        return self.weights.alpha
+
+    @property
+    def total(self) -> np.ndarray:
+        return self.weights.total
+
 
 def _word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,39 +152,65 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(frugal(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, most_words: int = MOST_WORDS) -> Vocabulary:
-    """Of the column text, whose nulls are left out. Only the histogram of counts and the vocabulary reach the driver."""
+def vocabulary(docs: DataFrame, most_words: int | None = None) -> Vocabulary:
+    """Of the column text, whose nulls are left out. Only the histogram of counts and the sizes of the parts reach the driver's memory."""
+    spark = docs.sparkSession
     texts = docs.count()
     words = keep(_word_counts(docs), "lm-words")
     histogram = {r.n: r.k for r in words.groupBy("n").agg(F.count("*").alias("k")).collect()}
     least, held = 1, sum(histogram.values())
     for n in sorted(histogram):
-        if held <= most_words:
+        if most_words is None or held <= most_words:
             break
         held -= histogram[n]
         least = n + 1
-    table = words.filter(F.col("n") >= least).toArrow()
-    order = np.argsort(h := table.column("word").to_numpy().view(np.uint64))
-    counts = np.concatenate([[0, texts, texts], table.column("n").to_numpy()[order]]).astype(np.int64)
+    if held + 3 > 1 << BITS:
+        raise ValueError(f"{held} distinct words; ids have {BITS} bits")
+    folder = fresh_path(spark, "lm-vocabulary")
+    files.make_dir(folder)
+    bits = max(1, math.ceil(math.log2(max(2 * shuffle_partitions(spark), held / _CHUNK))))
+
+    def write(table: pa.Table) -> pa.Table:
+        h = table.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        part, n = table.column("part")[0].as_py(), table.column("n").to_numpy()
+        for name, x in (("hashes", h[order]), ("counts", n[order])):
+            files.write_whole(f"{folder}/{name}-{part}", lambda stream, x=x: stream.write(x.tobytes()))
+        return pa.table({"part": pa.array([part]), "n": pa.array([int(n.sum())])})
+
+    parts = words.filter(F.col("n") >= least).withColumn("part", F.shiftrightunsigned("word", 64 - bits)).groupBy("part").applyInArrow(frugal_group(write), "part long, n long").collect()
+    drop(words)
     total = sum(n * k for n, k in histogram.items()) + texts
-    counts[0] = total - counts[1] - counts[3:].sum()
+    special = np.array([total - texts - sum(r.n for r in parts), texts, texts], dtype=np.int64)
+    names = sorted(r.part for r in parts)
+    files.join_whole(f"{folder}/hashes", [f"{folder}/hashes-{k}" for k in names])
+    files.join_whole(f"{folder}/counts", [special.tobytes(), *[f"{folder}/counts-{k}" for k in names]])
+    v = Vocabulary(folder, int(total + texts))
     if texts:
         histogram[texts] = histogram.get(texts, 0) + 1
     d = discounts(histogram)
-    p = np.where(counts <= K, d[np.minimum(counts, K)], 1.0) * counts / max(total, 1)
-    p[0] = p[2] = 0
-    if 1 - p.sum() > _TINY:
-        p[0] = 1 - p.sum()
-    else:
-        p = counts / (total + 1)
-        p[0], p[2] = 1 / (total + 1), 0
-    return Vocabulary(h[order], counts, p)
 
+    def discounted(counts: np.ndarray) -> np.ndarray:
+        return np.where(counts <= K, d[np.minimum(counts, K)], 1.0) * counts / max(total, 1)
+
+    chunks = [slice(lo, lo + _CHUNK) for lo in range(0, len(v.counts), _CHUNK)]
+    freed = 1 - math.fsum(discounted(v.counts[c]).sum() for c in chunks) + discounted(v.counts[[0, 2]]).sum()
+
+    def write_p(stream) -> None:
+        for c in chunks:
+            p = discounted(v.counts[c]) if freed > _TINY else v.counts[c] / (total + 1)
+            if c.start == 0:
+                p[0], p[2] = freed if freed > _TINY else 1 / (total + 1), 0
+            stream.write(p.tobytes())
 
-def _bucket(ctx: np.ndarray, word: np.ndarray, split: np.ndarray, buckets: int) -> np.ndarray:
+    files.write_whole(f"{folder}/p", write_p)
+    return v
+
+
+def _bucket(ctx: np.ndarray, word: np.ndarray, v: Vocabulary, buckets: int) -> np.ndarray:
     """Bigrams of a context meet in one bucket; those of a frequent context are spread over several by word."""
     own = mix64(ctx.astype(np.uint64) + np.uint64(1))
-    part = mix64(word.astype(np.uint64) + np.uint64(77)) % split[ctx].astype(np.uint64)
+    part = mix64(word.astype(np.uint64) + np.uint64(77)) % v.split(ctx, buckets)
     return ((own + part) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -154,25 +235,22 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_[edge], np.diff(np.append(edge, len(sorted_)))
 
 
-def _by_bucket(ctx: np.ndarray, word: np.ndarray, split: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = _bucket(ctx, word, split, buckets)
+def _by_bucket(key: np.ndarray, v: Vocabulary, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = _bucket(key >> BITS, key & (1 << BITS) - 1, v, buckets)
     order = np.argsort(bucket, kind="stable")
     edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edge)):
         yield int(k), order[edge[k] : edge[k + 1]]
 
 
-def fit(docs: DataFrame, most_words: int = MOST_WORDS, *, text: str = "text") -> KatzModel:
+def fit(docs: DataFrame, most_words: int | None = None, *, text: str = "text") -> KatzModel:
     """The model of all texts of ``docs``. Two passes; each sends on only the distinct words or bigrams of a block with their counts."""
     spark = docs.sparkSession
     given = docs.select(col(docs, text).cast("string").alias("text")).filter("text IS NOT NULL")
     v = vocabulary(given, most_words)
     buckets = 3 * shuffle_partitions(spark)
-    split = np.ceil(v.counts * (4.0 * buckets) / max(1, v.counts.sum())).clip(1, buckets).astype(np.int64)
-    shared = spark.sparkContext.broadcast((v, split))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, split = shared.value
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -181,7 +259,7 @@ def fit(docs: DataFrame, most_words: int = MOST_WORDS, *, text: str = "text") ->
             key.sort()
             key, n = _runs(key)
             held = []
-            rows = [(k, planes(key[own]), n[own].astype(np.uint32).tobytes()) for k, own in _by_bucket(key >> BITS, key & (1 << BITS) - 1, split, buckets)]
+            rows = [(k, planes(key[own]), n[own].astype(np.uint32).tobytes()) for k, own in _by_bucket(key, v, buckets)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
 
         for batch in batches:
@@ -207,13 +285,12 @@ def fit(docs: DataFrame, most_words: int = MOST_WORDS, *, text: str = "text") ->
     free_shuffles(spark)
     few = bigrams.select(*[F.sum(F.col("few")[r]).alias(f"n{r}") for r in range(K + 2)]).first()
     d = discounts({r: few[r] or 0 for r in range(1, K + 2)})
-    alpha, total = _backoff(bigrams, v, d, shared)
-    return KatzModel(v, alpha, total, d, buckets, split, bigrams.select("bucket", "keys", "counts"))
+    return KatzModel(v, _backoff(bigrams, v, d), d, buckets, bigrams.select("bucket", "keys", "counts"))
 
 
-def _backoff(bigrams: DataFrame, v: Vocabulary, d: np.ndarray, shared) -> tuple[np.ndarray, np.ndarray]:
+def _backoff(bigrams: DataFrame, v: Vocabulary, d: np.ndarray) -> Weights:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value[0].p
+        p = v.p
         for batch in batches:
             for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 key, n = unplanes(keys).view(np.int64), np.frombuffer(counts, dtype=np.int64)
@@ -225,13 +302,29 @@ def _backoff(bigrams: DataFrame, v: Vocabulary, d: np.ndarray, shared) -> tuple[
                 low = np.add.reduceat(p[key & (1 << BITS) - 1], at)
                 yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(mass), pa.array(low)], names=["ctx", "mass", "low"])
 
-    sums = bigrams.select("keys", "counts").mapInArrow(frugal(run), "ctx long, mass double, low double").groupBy("ctx").agg(F.sum("mass").alias("mass"), F.sum("low").alias("low")).toArrow()
-    ctx = sums.column("ctx").to_numpy()
-    mass, low = np.zeros(len(v.counts)), np.zeros(len(v.counts))
-    mass[ctx], low[ctx] = sums.column("mass").to_numpy(), sums.column("low").to_numpy()
-    total = np.maximum(v.counts, 1).astype(np.float64)
-    total = np.where(1 - mass / total <= _TINY, total + 1, total)
-    return np.log((1 - mass / total) / np.maximum(1 - low, _TINY)), total
+    size = min(_CHUNK, -(-len(v.counts) // shuffle_partitions(bigrams.sparkSession)))
+
+    def weights(part: int, ctx: np.ndarray, its_mass: np.ndarray, its_low: np.ndarray) -> dict[str, np.ndarray]:
+        counts = v.counts[part * size : (part + 1) * size]
+        mass, low = np.zeros(len(counts)), np.zeros(len(counts))
+        mass[ctx - part * size], low[ctx - part * size] = its_mass, its_low
+        total = np.maximum(counts, 1).astype(np.float64)
+        total = np.where(1 - mass / total <= _TINY, total + 1, total)
+        return {"alpha": np.log((1 - mass / total) / np.maximum(1 - low, _TINY)), "total": total}
+
+    def write(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        for name, x in weights(part, *(table.column(c).to_numpy() for c in ("ctx", "mass", "low"))).items():
+            files.write_whole(f"{v.folder}/{name}-{part}", lambda stream, x=x: stream.write(x.tobytes()))
+        return pa.table({"part": pa.array([part])})
+
+    sums = bigrams.select("keys", "counts").mapInArrow(frugal(run), "ctx long, mass double, low double").groupBy("ctx").agg(F.sum("mass").alias("mass"), F.sum("low").alias("low"))
+    made = {r.part for r in sums.withColumn("part", F.floor(F.col("ctx") / size).cast("long")).groupBy("part").applyInArrow(frugal_group(write), "part long").collect()}
+    nothing = np.empty(0, dtype=np.int64)
+    for name in ("alpha", "total"):
+        parts = range(-(-len(v.counts) // size))
+        files.join_whole(f"{v.folder}/{name}", (f"{v.folder}/{name}-{k}" if k in made else weights(k, nothing, nothing, nothing)[name].tobytes() for k in parts))
+    return Weights(v.folder)
 
 
 def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -239,7 +332,7 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
 
     Each mapper scores its tokens as if all backed off; the buckets of the stored bigrams send
     back, for each text, what their tokens have above that. Neither the texts nor the bigrams
-    are broadcast; the vocabulary's arrays are (24 bytes a word, ``MOST_WORDS`` at most).
+    nor the vocabulary are broadcast.
 
     Defined results: null text gives nulls; a text without a word has one token, its end;
     words outside the vocabulary count as <unk>; repeated rows are each scored; an empty
@@ -248,23 +341,21 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
     model = model or fit(docs, text=text)
     spark = docs.sparkSession
     buckets, d = model.buckets, model.d
-    with np.errstate(divide="ignore"):
-        shared = spark.sparkContext.broadcast((model.vocabulary, model.alpha, np.log(model.vocabulary.p), model.total, model.split))
+    v, weights = model.vocabulary, model.weights
     names = [f"c{i}" for i in range(len(carry))]
     own = docs.select(*[col(docs, c).alias(n) for c, n in zip(carry, names)], col(docs, text).cast("string").alias("text"))
     ddl = own.select(*names).schema
-    schema = own.sparkSession.createDataFrame([], "bucket int, block long, keys binary, key long, base double, n long").schema
+    schema = own.sparkSession.createDataFrame([], "bucket int, block long, keys binary, texts binary, key long, base double, n long").schema
     for f in ddl:
         schema = schema.add(f.name, f.dataType, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, alpha, logp, _, split = shared.value
         block = TaskContext.get().partitionId() << 32
 
-        def made(bucket, keys, key, base, n, others):
+        def made(bucket, keys, of, key, base, n, others):
             k = len(others[0]) if others else len(key if key is not None else bucket)
             null = lambda t: pa.nulls(k, t)
-            return pa.RecordBatch.from_arrays([bucket, pa.array([block] * k, pa.int64()), keys if keys is not None else null(pa.binary()), key if key is not None else null(pa.int64()), base if base is not None else null(pa.float64()), n if n is not None else null(pa.int64()), *others], names=schema.names)
+            return pa.RecordBatch.from_arrays([bucket, pa.array([block] * k, pa.int64()), keys if keys is not None else null(pa.binary()), of if of is not None else null(pa.binary()), key if key is not None else null(pa.int64()), base if base is not None else null(pa.float64()), n if n is not None else null(pa.int64()), *others], names=schema.names)
 
         for batch in batches:
             texts = batch.column(len(names))
@@ -273,32 +364,31 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
                     part = texts.slice(lo, min(60_000, hi - lo))
                     missing = np.array(part.is_null())
                     ctx, word, of = _sequences(v, part)
-                    base = np.bincount(of, weights=alpha[ctx] + logp[word], minlength=len(part))
-                    yield made(pa.array((block + np.arange(len(part))) % buckets, pa.int32()), None, pa.array(block + np.arange(len(part))), pa.array(base, mask=missing), pa.array(np.bincount(of, minlength=len(part)), mask=missing), [batch.column(i).slice(lo, len(part)) for i in range(len(names))])
+                    base = np.bincount(of, weights=weights.alpha[ctx] + np.log(v.p[word]), minlength=len(part))
+                    yield made(pa.array((block + np.arange(len(part))) % buckets, pa.int32()), None, None, pa.array(block + np.arange(len(part))), pa.array(base, mask=missing), pa.array(np.bincount(of, minlength=len(part)), mask=missing), [batch.column(i).slice(lo, len(part)) for i in range(len(names))])
                     live = ~missing[of]
-                    key = (ctx[live] << (BITS + 16)) | (word[live] << 16) | of[live]
-                    key.sort()
-                    rows = [(k, planes(key[own])) for k, own in _by_bucket(key >> (BITS + 16), (key >> 16) & (1 << BITS) - 1, split, buckets)]
+                    key, of = (ctx[live] << BITS) | word[live], of[live].astype(np.uint16)
+                    order = np.argsort(key, kind="stable")
+                    key, of = key[order], of[order]
+                    rows = [(k, planes(key[own]), of[own].tobytes()) for k, own in _by_bucket(key, v, buckets)]
                     if rows:
-                        yield made(pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), None, None, None, [pa.nulls(len(rows), batch.column(i).type) for i in range(len(names))])
+                        yield made(*[pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], None, None, None, [pa.nulls(len(rows), batch.column(i).type) for i in range(len(names))])
                     block += len(part)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, alpha, logp, total, _ = shared.value
         tables = [left.select(["key", "base", "n", *names]).filter(left.column("key").is_valid())]
         stored = [unplanes(x).view(np.int64) for x in right.column("keys").to_pylist()]
         if stored and len(stored[0]):
             stored, n = stored[0], np.frombuffer(right.column("counts")[0].as_py(), dtype=np.int64)
             ctx, word = stored >> BITS, stored & (1 << BITS) - 1
-            above = np.log(np.where(n <= K, d[np.minimum(n, K)], 1.0) * n / total[ctx]) - alpha[ctx] - logp[word]
-            for block, keys in zip(left.column("block").to_pylist(), left.column("keys").to_pylist()):
+            above = np.log(np.where(n <= K, d[np.minimum(n, K)], 1.0) * n / weights.total[ctx]) - weights.alpha[ctx] - np.log(v.p[word])
+            for block, keys, of in zip(*(left.column(c).to_pylist() for c in ("block", "keys", "texts"))):
                 if keys is None:
                     continue
-                key = unplanes(keys).view(np.int64)
-                pair, times = _runs(key >> 16)
+                pair, times = _runs(unplanes(keys).view(np.int64))
                 at = np.minimum(np.searchsorted(stored, pair), len(stored) - 1)
                 gain = np.repeat(np.where(stored[at] == pair, above[at], 0.0), times)
-                of = key & 0xFFFF
+                of = np.frombuffer(of, dtype=np.uint16).astype(np.int64)
                 used = np.unique(of[gain != 0])
                 sums = np.bincount(of, weights=gain, minlength=65536)[used]
                 tables.append(pa.Table.from_arrays([pa.array(block + used), pa.array(sums), pa.nulls(len(used), pa.int64()), *[pa.nulls(len(used), left.schema.field(c).type) for c in names]], schema=tables[0].schema))
@@ -325,7 +415,7 @@ def _pick(prefix: str) -> str:
 
 
 def oracle() -> str:
-    """DuckDB SQL for :func:`score` over documents, as long as its words fit the vocabulary."""
+    """DuckDB SQL for :func:`score` over documents."""
     return f"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS row, ['s'] || list_transform(regexp_extract_all(text, '{WORD}'), lambda w: 'w' || w) || ['e'] AS w FROM documents WHERE text IS NOT NULL),
 tokens AS (SELECT row, unnest(w[:-2]) AS ctx, unnest(w[2:]) AS word FROM texts),

@@ -86,3 +86,12 @@ def test_discounts():
     d = katz.discounts({1: 1000, 2: 300, 3: 150, 4: 90, 5: 60, 6: 45})
     a = 6 * 45 / 1000
     assert d[1] == pytest.approx((2 * 300 / 1000 - a) / (1 - a)) and (d[1:] < 1).all()
+
+
+def test_no_word_is_dropped_beyond_a_million(spark):
+    texts = [" ".join(f"n{i}" for i in range(lo, lo + 20_000)) for lo in range(0, 1_100_000, 20_000)] + ["n7 n8 n9", "n7 n8 n1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert len(katz.fit(docs).vocabulary.hashes) == 1_100_000
+    found = {r.doc_id: r.logprob for r in katz.score(docs).collect()}
+    for i, lp in enumerate(brute(texts)):
+        assert found[i] == pytest.approx(lp, rel=1e-7, abs=1e-3)
