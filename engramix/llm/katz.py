@@ -5,7 +5,8 @@ every size (only a caller that names ``most_words`` closes it; the others are th
 <unk>). What is known of each word lies in files in the shared folder, sorted by hash, which
 workers map into memory; nothing of it is broadcast or gathered by the driver.
 Bigram counts are gathered by an exchange of each block's distinct bigrams and stored as a
-table of buckets. Bigrams seen once are left out, as is usual; counts up to K are discounted
+table of buckets. Bigrams seen less than ``least_count`` times are left out: by default those seen once, as in
+the oracle; with 1 all are stored. Counts up to K are discounted
 by Good-Turing from the exact counts of counts, and what that frees goes to the words a
 context wasn't stored with:
 
@@ -243,7 +244,7 @@ def _by_bucket(key: np.ndarray, v: Vocabulary, buckets: int) -> Iterator[tuple[i
         yield int(k), order[edge[k] : edge[k + 1]]
 
 
-def fit(docs: DataFrame, most_words: int | None = None, *, text: str = "text") -> KatzModel:
+def fit(docs: DataFrame, most_words: int | None = None, *, text: str = "text", least_count: int = LEAST_COUNT) -> KatzModel:
     """The model of all texts of ``docs``. Two passes; each sends on only the distinct words or bigrams of a block with their counts."""
     spark = docs.sparkSession
     given = docs.select(col(docs, text).cast("string").alias("text")).filter("text IS NOT NULL")
@@ -278,7 +279,7 @@ def fit(docs: DataFrame, most_words: int | None = None, *, text: str = "text") -
         key, size = _runs(key[order])
         n = np.add.reduceat(n[order].astype(np.int64), np.cumsum(size) - size)
         few = np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]
-        stored = n >= LEAST_COUNT
+        stored = n >= least_count
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([planes(key[stored])], pa.binary()), "counts": pa.array([n[stored].tobytes()], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
 
     bigrams = keep(given.mapInArrow(frugal(run), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(frugal_group(add), "bucket int, keys binary, counts binary, few array<long>"), "lm-bigrams")
@@ -327,7 +328,7 @@ def _backoff(bigrams: DataFrame, v: Vocabulary, d: np.ndarray) -> Weights:
     return Weights(v.folder)
 
 
-def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",), least_count: int = LEAST_COUNT) -> DataFrame:
     """Columns ``carry``, then n_tokens, logprob (natural) and perplexity of every row; without ``model``, that of ``docs`` itself.
 
     Each mapper scores its tokens as if all backed off; the buckets of the stored bigrams send
@@ -338,7 +339,7 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
     words outside the vocabulary count as <unk>; repeated rows are each scored; an empty
     table gives an empty table. logprob and perplexity are rounded to 4 places.
     """
-    model = model or fit(docs, text=text)
+    model = model or fit(docs, text=text, least_count=least_count)
     spark = docs.sparkSession
     buckets, d = model.buckets, model.d
     v, weights = model.vocabulary, model.weights

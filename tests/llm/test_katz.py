@@ -95,3 +95,20 @@ def test_no_word_is_dropped_beyond_a_million(spark):
     found = {r.doc_id: r.logprob for r in katz.score(docs).collect()}
     for i, lp in enumerate(brute(texts)):
         assert found[i] == pytest.approx(lp, rel=1e-7, abs=1e-3)
+
+
+def test_bigrams_seen_once_are_stored_and_discounted_on_request(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seqs = [["<s>"] + ["w" + x for x in t.split()] + ["</s>"] for t in texts]
+    big = collections.Counter((a, b) for s in seqs for a, b in zip(s, s[1:]))
+    d = katz.discounts(collections.Counter(big.values()))
+    assert 0 < d[1] < 1
+    mass = {k: (d[c] if c <= katz.K else 1.0) * c for k, c in big.items()}
+    n, m = collections.Counter(), collections.Counter()
+    for k, c in big.items():
+        n[k[0]] += c
+        m[k[0]] += mass[k]
+    t = {a: c + 1 if 1 - m[a] / c <= 1e-12 else c for a, c in n.items()}
+    found = {r.doc_id: r.logprob for r in katz.score(docs, least_count=1).collect()}
+    for i, s in enumerate(seqs):
+        assert found[i] == pytest.approx(sum(math.log(mass[k] / t[k[0]]) for k in zip(s, s[1:])), abs=1e-3)
