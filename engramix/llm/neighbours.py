@@ -90,8 +90,35 @@ def _leaves(proj: np.ndarray) -> list[np.ndarray]:
     return done
 
 
+def _firsts(*sorted_: np.ndarray) -> np.ndarray:
+    """Whether an entry differs from the one before it in any of the arrays."""
+    new = np.ones(len(sorted_[0]), dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in sorted_], axis=0)
+    return new
+
+
+def _merged(d2: np.ndarray, place: np.ndarray, ids: np.ndarray, repeated: bool, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, places) of the k nearest of each row, an id once, by its nearest."""
+    if not repeated:
+        top = np.argpartition(d2, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(d2, top, axis=1), axis=1, kind="stable"), axis=1)
+        return np.take_along_axis(d2, top, axis=1), np.take_along_axis(place, top, axis=1)
+    row, col = np.nonzero(np.isfinite(d2))
+    d, to = d2[row, col], place[row, col]
+    order = np.lexsort((d, ids[to], row))
+    order = order[_firsts(row[order], ids[to][order])]
+    row, d, to = row[order], d[order], to[order]
+    order = np.lexsort((ids[to], d, row))
+    row, d, to = row[order], d[order], to[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    best, at = np.full((len(d2), k), np.inf), np.full((len(d2), k), -1, dtype=np.int64)
+    ok = rank < k
+    best[row[ok], rank[ok]], at[row[ok], rank[ok]] = d[ok], to[ok]
+    return best, at
+
+
 def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarray, q_vecs: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(places, squared distances), k per query, of the nearest among one cell's points below ``bound``; -1 and inf where there are fewer."""
+    """(places, squared distances), k per query, of the nearest among one cell's points below ``bound``, each id once; -1 and inf where there are fewer."""
     n = len(q_ids)
     best = np.full((n, k), np.inf)
     place = np.full((n, k), -1, dtype=np.int64)
@@ -103,6 +130,7 @@ def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarr
         gap += np.maximum(0, np.maximum(low[None, :, d] - q_proj[:, d, None], q_proj[:, d, None] - high[None, :, d])) ** 2
     order = np.argsort(gap, axis=1, kind="stable")
     norm, q_norm = (vecs**2).sum(axis=1), (q_vecs**2).sum(axis=1)
+    repeated = len(np.unique(ids)) < len(ids)
     live = np.arange(n)
     for step in range(len(leaves)):
         leaf = order[live, step]
@@ -117,10 +145,7 @@ def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarr
             d2[d2 > bound[rows, None]] = np.inf
             both = np.concatenate([best[rows], d2], axis=1)
             where = np.concatenate([place[rows], np.broadcast_to(points, (len(rows), len(points)))], axis=1)
-            top = np.argpartition(both, k - 1, axis=1)[:, :k]
-            top = np.take_along_axis(top, np.argsort(np.take_along_axis(both, top, axis=1), axis=1, kind="stable"), axis=1)
-            best[rows] = np.take_along_axis(both, top, axis=1)
-            place[rows] = np.take_along_axis(where, top, axis=1)
+            best[rows], place[rows] = _merged(both, where, ids, repeated, k)
     return np.where(np.isfinite(best), place, -1), best
 
 

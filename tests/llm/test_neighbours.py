@@ -70,3 +70,23 @@ def test_quantile_and_tree():
     assert len(n) == 16 and n.min() > 200
     same = np.ones((100, 8))
     assert nb.cell_of(same, *nb.split(same, 4)).max() <= 3
+
+
+@pytest.mark.parametrize("cell", [10_000, 60])
+def test_repeated_rows_of_an_id_take_one_place(spark, cell):
+    rng = np.random.default_rng(4)
+    v = vectors(rng, 300)
+    ids = [7] * 40 + list(range(100, 360))
+    v[:40] = v[45] + 0.001 * rng.normal(size=(40, v.shape[1]))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>").repartition(3)
+    found = nb.nearest(table, k=10, cell=cell).collect()
+    want = brute(ids, v, 10)
+    got = {}
+    for r in found:
+        got.setdefault(r.vec_id, {})[r.neighbour_id] = r.distance
+    assert {len(x) for x in got.values()} == {10} and len(got) == 261
+    hits = sum(j in got[i] for i, near in want.items() for _, j in near)
+    assert hits / 2610 >= 0.9
+    for near, j in want[105]:
+        if j == 7:
+            assert got[105][7] == pytest.approx(near, abs=1e-5)
