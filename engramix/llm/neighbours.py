@@ -29,6 +29,8 @@ SURE = 0.95
 CELL = 4096
 LEAF = 256
 SEED = 41
+#: Of a projected point's square: equal vectors may be projected with another rounding in another batch.
+SLACK = 1e-10
 #: Points for the splits of the tree's upper levels; any splits give the same result, even ones give even cells.
 SPLIT_SAMPLE = 50_000
 
@@ -97,26 +99,40 @@ def _firsts(*sorted_: np.ndarray) -> np.ndarray:
     return new
 
 
-def _merged(d2: np.ndarray, place: np.ndarray, ids: np.ndarray, repeated: bool, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, places) of the k nearest of each row, an id once, by its nearest."""
-    if not repeated:
-        top = np.argpartition(d2, k - 1, axis=1)[:, :k]
-        top = np.take_along_axis(top, np.argsort(np.take_along_axis(d2, top, axis=1), axis=1, kind="stable"), axis=1)
-        return np.take_along_axis(d2, top, axis=1), np.take_along_axis(place, top, axis=1)
-    row, col = np.nonzero(np.isfinite(d2))
-    d, to = d2[row, col], place[row, col]
-    order = np.lexsort((d, ids[to], row))
-    order = order[_firsts(row[order], ids[to][order])]
-    row, d, to = row[order], d[order], to[order]
+def _ranked(row: np.ndarray, d: np.ndarray, to: np.ndarray, ids: np.ndarray, repeated: bool, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, places) of the nearest of each row by (distance, id), an id once, by its nearest."""
+    if repeated:
+        order = np.lexsort((d, ids[to], row))
+        order = order[_firsts(row[order], ids[to][order])]
+        row, d, to = row[order], d[order], to[order]
     order = np.lexsort((ids[to], d, row))
     row, d, to = row[order], d[order], to[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
-    best, at = np.full((len(d2), k), np.inf), np.full((len(d2), k), -1, dtype=np.int64)
-    ok = rank < k
+    best, at = np.full(shape, np.inf), np.full(shape, -1, dtype=np.int64)
+    ok = rank < shape[1]
     best[row[ok], rank[ok]], at[row[ok], rank[ok]] = d[ok], to[ok]
     return best, at
 
 
+def _squared(a: np.ndarray, row: np.ndarray, b: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """As in the result, so that equal vectors are equally far."""
+    return np.concatenate([((a[row[x]].astype(np.float64) - b[to[x]].astype(np.float64)) ** 2).sum(axis=1) for x in (slice(lo, lo + 65_536) for lo in range(0, max(1, len(row)), 65_536))])
+
+
+def _merged(d2: np.ndarray, place: np.ndarray, ids: np.ndarray, repeated: bool, k: int, error: np.ndarray, q_vecs: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of each row's entries, whose first k are exact and the others within ``error``."""
+    if repeated:
+        row, col = np.nonzero(np.isfinite(d2))
+        kth = _ranked(row, d2[row, col], place[row, col], ids, True, (len(d2), k))[0][:, -1:]
+    else:
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(np.isfinite(d2) & (d2 <= kth + 2 * error[:, None]))
+    d, to = d2[row, col].astype(np.float64), place[row, col]
+    new = col >= k
+    d[new] = _squared(q_vecs, row[new], vecs, to[new])
+    return _ranked(row, d, to, ids, repeated, (len(d2), k))
+
+
 def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarray, q_vecs: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """(places, squared distances), k per query, of the nearest among one cell's points below ``bound``, each id once; -1 and inf where there are fewer."""
     n = len(q_ids)
@@ -130,22 +146,24 @@ def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarr
         gap += np.maximum(0, np.maximum(low[None, :, d] - q_proj[:, d, None], q_proj[:, d, None] - high[None, :, d])) ** 2
     order = np.argsort(gap, axis=1, kind="stable")
     norm, q_norm = (vecs**2).sum(axis=1), (q_vecs**2).sum(axis=1)
+    error = (vecs.shape[1] + 8) * 1.2e-7 * (q_norm.astype(np.float64) + norm.max())
+    slack = SLACK * (q_proj**2).sum(axis=1)
     repeated = len(np.unique(ids)) < len(ids)
     live = np.arange(n)
     for step in range(len(leaves)):
         leaf = order[live, step]
         reach = np.minimum(best[live, -1], bound[live])
-        live, leaf = (x[gap[live, leaf] <= reach * limit] for x in (live, leaf))
+        live, leaf = (x[gap[live, leaf] <= reach * limit + slack[live]] for x in (live, leaf))
         if not len(live):
             break
         for one in np.unique(leaf):
             rows, points = live[leaf == one], leaves[one]
             d2 = np.maximum(q_norm[rows, None] + norm[None, points] - 2 * (q_vecs[rows] @ vecs[points].T), 0)
             d2[q_ids[rows, None] == ids[None, points]] = np.inf
-            d2[d2 > bound[rows, None]] = np.inf
+            d2[d2 > (bound + error)[rows, None]] = np.inf
             both = np.concatenate([best[rows], d2], axis=1)
             where = np.concatenate([place[rows], np.broadcast_to(points, (len(rows), len(points)))], axis=1)
-            best[rows], place[rows] = _merged(both, where, ids, repeated, k)
+            best[rows], place[rows] = _merged(both, where, ids, repeated, k, error[rows], q_vecs[rows], vecs)
     return np.where(np.isfinite(best), place, -1), best
 
 
@@ -157,7 +175,7 @@ def _matrix(column, width: int) -> np.ndarray:
 def _pairs(ids, q_ids, q_vecs, vecs, place) -> pa.Table:
     row, _ = np.nonzero(place >= 0)
     to = place[place >= 0]
-    d = np.sqrt(((q_vecs[row].astype(np.float64) - vecs[to].astype(np.float64)) ** 2).sum(axis=1))
+    d = np.sqrt(_squared(q_vecs, row, vecs, to))
     return pa.table({"vec_id": pa.array(q_ids[row], pa.int64()), "neighbour_id": pa.array(ids[to], pa.int64()), "distance": pa.array(d, pa.float64())})
 
 
@@ -230,7 +248,7 @@ def nearest(vectors: DataFrame, k: int = K, sure: float = SURE, seed: int = SEED
                     part = batch.slice(lo, 512)
                     p, bound = _matrix(part.column(2), M), part.column(4).to_numpy()
                     gap = sum(np.maximum(0, np.maximum(low[None, :, d] - p[:, d, None], p[:, d, None] - high[None, :, d])) ** 2 for d in range(M))
-                    row, to = np.nonzero((gap <= bound[:, None] * limit) & (cells[None, :] != part.column(0).to_numpy()[:, None]))
+                    row, to = np.nonzero((gap <= bound[:, None] * limit + SLACK * (p**2).sum(axis=1)[:, None]) & (cells[None, :] != part.column(0).to_numpy()[:, None]))
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(cells[to], pa.int32()), *[part.column(i).take(at) for i in (1, 2, 3, 4)]], names=["cell", "id", "p", "v", "bound"])
 

@@ -90,3 +90,18 @@ def test_repeated_rows_of_an_id_take_one_place(spark, cell):
     for near, j in want[105]:
         if j == 7:
             assert got[105][7] == pytest.approx(near, abs=1e-5)
+
+
+@pytest.mark.parametrize("cell", [10_000, 60])
+def test_more_equal_vectors_than_places_are_ranked_by_id(spark, cell):
+    rng = np.random.default_rng(6)
+    v = vectors(rng, 700)
+    v[:400] = v[0]
+    ids = rng.permutation(700).tolist()
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in nb.nearest(table, k=10, cell=cell).collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour_id))
+    same = sorted(ids[:400])
+    for i in same:
+        assert [j for _, j in sorted(got[i])] == [j for j in same if j != i][:10]
