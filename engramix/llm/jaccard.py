@@ -258,7 +258,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, d
 
     Documents with equal gram sets: the smallest id is paired with each of the others
     (jaccard 1), and only it takes part in further pairs, so that thousands of copies give
-    thousands of rows and not millions; nothing is lost, as the others' pairs are the same.
+    thousands of rows and not millions; :func:`with_all_copies` gives the others' pairs too.
 
     Defined results: rows with a null id and texts without a word (null, empty) are in no
     pair; repeated rows give no pair of an id with itself and no repeated pair; texts of fewer
@@ -298,6 +298,22 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, d
     return best.select("left_id", "right_id", "best.shared", "best.jaccard")
 
 
+def with_all_copies(pairs: DataFrame) -> DataFrame:
+    """Rows of :func:`jaccard_join` and those of the other copies, which follow from them: every pair of near duplicates has a row.
+
+    Copies are known by jaccard = 1, of which the smaller id is the representative. m copies
+    have m(m - 1)/2 rows here. The documents' ids must be distinct.
+    """
+    copies = pairs.filter("jaccard = 1").select(F.col("left_id").alias("rep"), F.col("right_id").alias("id"), "shared")
+    members = copies.select("rep", "id").unionByName(copies.select("rep", F.col("rep").alias("id")).distinct())
+    left, right = (members.select(F.col("rep").alias(f"{side}_id"), F.col("id").alias(f"{side}_own")) for side in ("left", "right"))
+    apart = pairs.filter("jaccard < 1").join(left, "left_id", "left").join(right, "right_id", "left").select(F.coalesce("left_own", "left_id").alias("a"), F.coalesce("right_own", "right_id").alias("b"), "shared", "jaccard")
+    size = copies.select("rep", "shared").distinct()
+    alike = left.join(right, left["left_id"] == right["right_id"]).filter("left_own < right_own").join(size, F.col("left_id") == size["rep"]).select(F.col("left_own").alias("a"), F.col("right_own").alias("b"), "shared", F.lit(1.0).alias("jaccard"))
+    both = apart.unionByName(alike).filter("a <> b").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "shared", "jaccard")
+    return both.groupBy("left_id", "right_id").agg(F.max(F.struct("jaccard", "shared")).alias("best")).select("left_id", "right_id", "best.shared", "best.jaccard")
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, c in zip(*(batch.column(k).to_pylist() for k in "abc")):

@@ -44,7 +44,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-duplicate documents."""
+    """Pairs of near-duplicate documents; of equal ones, the smallest id stands for the others (``jaccard.with_all_copies`` gives all pairs)."""
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 

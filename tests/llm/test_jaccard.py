@@ -94,3 +94,19 @@ def test_components_and_one_of_each(spark):
     assert sorted((r.doc_id or 0, r.near_id) for r in kept.collect()) == [(0, "f"), (1, "a"), (4, "d"), (5, "e"), (6, "g"), (7, "e")]
     assert jaccard.keep_one_of_each(docs.limit(0)).collect() == []
     assert jaccard.jaccard_join(docs.limit(0)).collect() == []
+
+
+def test_all_pairs_of_all_copies_on_request(spark):
+    rows = corpus(random.Random(8))
+    rows += [(i + 1000 * k, x) for i, x in rows[::4] for k in (1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: sets_of(x, 3) for i, x in rows}
+    want = {}
+    for a in sets:
+        for b in sets:
+            o = len(sets[a] & sets[b])
+            if a < b and (j := o / (len(sets[a]) + len(sets[b]) - o)) >= 0.5:
+                want[a, b] = (o, j)
+    found = jaccard.with_all_copies(jaccard.jaccard_join(docs)).collect()
+    assert len(found) == len(want) > len(brute(rows, 3, 0.5))
+    assert {(r.left_id, r.right_id): (r.shared, r.jaccard) for r in found} == want
