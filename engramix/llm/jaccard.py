@@ -1,19 +1,21 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Every document is the set of its word n-grams. Documents with equal sets are stood for by the
-one of the smallest id. Two sets x, y with Jaccard >= t share at least max(t|x|, t|y|) grams,
+Every document is the set of its word n-grams. Documents with equal sets are one node, stood
+for by the smallest id. Two sets x, y with Jaccard >= t share at least max(t|x|, t|y|) grams,
 so
 
 1. one exchange by gram finds the inverted lists of two documents or more; each such list
    names a centre, its first document. A set with fewer listed grams than t|x| has no partner
    and goes.
-2. A set keeps the centres that most of its grams name, until fewer than half of t|x| of its
-   listed grams are uncovered. Two partners can't leave all their shared grams uncovered, so
-   they meet at a centre.
+2. A set keeps centres until fewer than half of t|x| of its listed grams are uncovered: first
+   those of lists that aren't long, the ones that most of its grams name before others, then
+   the long lists' (a license line's, say) from the shortest on. Two partners can't leave all
+   their shared grams uncovered, so they meet at a centre.
 3. The sets of a centre are searched by DivideSkip: with sets in order of size, the partners of
    x that are no smaller share T = 2t/(1+t)|x| grams or more. The longest lists (at most T-1)
    are put aside, the short ones are merged, and what occurs often enough in them is probed in
-   the long ones by binary search.
+   the long ones by binary search. A centre with more than ``HEAVY`` grams is searched by
+   pairs of blocks of its sets, so that no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .shared import WORD, byte_slices, col, drop, free_shuffles, frugal, frugal_group, keep, mix64, planes, shuffle_partitions, spare_name, spread, unplanes, word_hashes
+from .shared import WORD, byte_slices, col, drop, enough_parts, free_shuffles, frugal, frugal_group, keep, mix64, planes, settled, spare_name, spread, unplanes, word_hashes
 
 N = 3
 THRESHOLD = 0.5
@@ -36,8 +38,12 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BLOCK = 1_500_000
 #: Weight of a probe against a step of the merge, for the share of lists that DivideSkip puts aside.
 _MU = 0.0085
-#: Up to so many documents with partners, their list is broadcast to pick them; beyond, they are joined by shuffle.
-MOST_BROADCAST = 1_000_000
+#: Lists of at most 2 to this power documents aren't long.
+_LONG = 12
+#: Grams of the sets that one task searches at a time.
+HEAVY = 1_000_000
+#: A table of up to so many bytes, by its own count, is broadcast; beyond, it is joined by shuffle.
+MOST_BROADCAST = 32_000_000
 
 
 def least(t: float, size: int | np.ndarray) -> int | np.ndarray:
@@ -69,7 +75,7 @@ def _set_id(grams: np.ndarray) -> int:
 
 
 def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(kind, part, block, a, b, c): kind 0: for one bucket of grams, grams (48 bits) with the number of the document in its block (16); kind 1: the ids (a) of a block's documents, their set ids (b) and sizes (c)."""
+    """(kind, part, block, a, b, c): kind 0: for one bucket of grams, grams (48 bits) with the number of the document in its block (16); kind 1: the ids (a) of a block's documents, their set ids (b) and sizes (c); kind 2: ids (a) of texts without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -98,6 +104,8 @@ def _postings(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 own = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
                 found = gram_sets(batch.column(1).slice(a, b - a), n)
                 full = np.array([len(s) > 0 for s in found], dtype=bool)
+                if not full.all():
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((2, (task + number) % buckets, -1, own[~full].astype(np.int64).tobytes(), None, None), _SCHEMA.types)], schema=_SCHEMA)
                 for k in range(0, len(found), 60_000):
                     part = [s for s in found[k : k + 60_000] if len(s)]
                     if not part:
@@ -124,9 +132,9 @@ def _ints(x: bytes, kind: type = np.int64) -> np.ndarray:
 
 
 def _listed(table: pa.Table) -> pa.Table:
-    """For one bucket of grams: back to every block, the numbers (a) of its documents with a listed gram and the centre (b) that the gram names. Rows of kind 1 pass."""
+    """For one bucket of grams: back to every block, the numbers (a) of its documents with a listed gram, the centre (b) that the gram names and by how much its list is long (c). Rows of other kinds pass."""
     rows = table.to_pylist()
-    out = [{k: r[k] for k in ("kind", "block", "a", "b", "c")} for r in rows if r["kind"] == 1]
+    out = [{k: r[k] for k in ("kind", "block", "a", "b", "c")} for r in rows if r["kind"]]
     rows = [r for r in rows if r["kind"] == 0]
     if rows:
         keys = [unplanes(r["a"]) for r in rows]
@@ -139,15 +147,16 @@ def _listed(table: pa.Table) -> pa.Table:
         n = np.diff(np.append(start, len(gram)))
         listed = np.repeat(low < high, n)
         where, centre = order[listed], np.repeat(low, n)[listed]
+        long_ = np.repeat(np.maximum(0, np.ceil(np.log2(n)) - _LONG).astype(np.uint8), n)[listed]
         place = np.argsort(where)
-        where, centre = where[place], centre[place]
+        where, centre, long_ = where[place], centre[place], long_[place]
         edge = np.searchsorted(where, np.cumsum([0] + [len(k) for k in keys]))
         for i, r in enumerate(rows):
             if edge[i] < edge[i + 1]:
                 own = slice(edge[i], edge[i + 1])
                 local = doc[where[own]] & 0xFFFF
                 sort = np.lexsort((centre[own], local))
-                out.append({"kind": 0, "block": r["block"], "a": local[sort].astype(np.uint16).tobytes(), "b": planes(centre[own][sort])})
+                out.append({"kind": 0, "block": r["block"], "a": local[sort].astype(np.uint16).tobytes(), "b": planes(centre[own][sort]), "c": long_[own][sort].tobytes()})
     return pa.Table.from_pylist(out, _BACK)
 
 
@@ -155,16 +164,16 @@ _BACK_DDL = "kind int, block long, a binary, b binary, c binary"
 _BACK = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def cover(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(set, centre) that are kept, from the (set, size, centre) of all listed grams of some sets."""
+def cover(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, long_: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, centre) that are kept, from the (set, size, centre, excess length) of all listed grams of some sets."""
     if not len(names):
         return names, centres
     order = np.lexsort((centres, names))
-    s, size, c = names[order], sizes[order], centres[order]
+    s, size, c, long_ = names[order], sizes[order], centres[order], long_[order]
     run = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])]))
     n = np.diff(np.append(run, len(s)))
-    s, size, c = s[run], size[run], c[run]
-    order = np.lexsort((c, -n, s))
+    s, size, c, long_ = s[run], size[run], c[run], np.maximum.reduceat(long_, run)
+    order = np.lexsort((c, -n, long_, s))
     s, size, c, n = s[order], size[order], c[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     k = np.diff(np.append(first, len(s)))
@@ -185,7 +194,8 @@ def _centres(t: float):
             return pa.table({"set_id": pa.array([], pa.int64()), "centre": pa.array([], pa.int64())})
         local = np.concatenate([_ints(r["a"], np.uint16) for r in rows]).astype(np.int64)
         centre = np.concatenate([unplanes(r["b"]).view(np.int64) for r in rows])
-        doc, c = cover(local, _ints(meta["c"])[local], centre, t)
+        long_ = np.concatenate([_ints(r["c"], np.uint8) for r in rows])
+        doc, c = cover(local, _ints(meta["c"])[local], centre, long_, t)
         return pa.table({"set_id": pa.array(_ints(meta["b"])[doc], pa.int64()), "centre": pa.array(c, pa.int64())})
 
     return run
@@ -238,66 +248,125 @@ def divide_skip(sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+_FOUND = pa.schema([(c, pa.int64()) for c in ("left_set", "right_set", "left_id", "right_id", "left_n", "right_n", "shared")] + [("jaccard", pa.float64())])
+_FOUND_DDL = "left_set long, right_set long, left_id long, right_id long, left_n long, right_n long, shared long, jaccard double"
+
+
 def _search(t: float):
     def run(table: pa.Table) -> pa.Table:
-        names = table.column("set_id").to_numpy()
-        _, one = np.unique(names, return_index=True)
-        ids = table.column("rep").to_numpy()[one]
+        _, one = np.unique(table.column("set_id").to_numpy(), return_index=True)
+        names, ids, copies = (table.column(c).to_numpy()[one] for c in ("set_id", "rep", "n"))
+        blocks = table.column("blocks")[0].as_py()
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
         sets = [_ints(x, np.uint64) for x in table.column("grams").take(pa.array(one)).to_pylist()]
-        order = np.lexsort((ids, [len(s) for s in sets]))
-        ids, sets = ids[order], [sets[k] for k in order]
-        i, j, shared = divide_skip(sets, t) if len(sets) > 1 else (np.empty(0, dtype=np.int64),) * 3
         size = np.array([len(s) for s in sets], dtype=np.int64)
-        return pa.table({"left_id": np.minimum(ids[i], ids[j]), "right_id": np.maximum(ids[i], ids[j]), "shared": shared, "jaccard": shared / (size[i] + size[j] - shared)}, schema=pa.schema([("left_id", pa.int64()), ("right_id", pa.int64()), ("shared", pa.int64()), ("jaccard", pa.float64())]))
+        order = np.lexsort((names, size))
+        names, ids, copies, size, sets = names[order], ids[order], copies[order], size[order], [sets[k] for k in order]
+        i, j, shared = divide_skip(sets, t) if len(sets) > 1 else (np.empty(0, dtype=np.int64),) * 3
+        if across:
+            other = names[i] % blocks != names[j] % blocks
+            i, j, shared = i[other], j[other], shared[other]
+        low, high = np.where(names[i] < names[j], i, j), np.where(names[i] < names[j], j, i)
+        return pa.table([names[low], names[high], ids[low], ids[high], copies[low], copies[high], shared, shared / (size[i] + size[j] - shared)], schema=_FOUND)
 
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(left_id, right_id, shared, jaccard) with left_id < right_id, exact over 64-bit gram hashes and whole texts.
-
-    Documents with equal gram sets: the smallest id is paired with each of the others
-    (jaccard 1), and only it takes part in further pairs, so that thousands of copies give
-    thousands of rows and not millions; :func:`with_all_copies` gives the others' pairs too.
-
-    Defined results: rows with a null id and texts without a word (null, empty) are in no
-    pair; repeated rows give no pair of an id with itself and no repeated pair; texts of fewer
-    than n words are compared by all their words; an empty table gives an empty table. Ids
-    must be integers. Nothing is broadcast but the ids of documents with possible partners
-    while there are at most ``MOST_BROADCAST``.
-    """
+def _matches(docs: DataFrame, n: int, threshold: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kept tables. members: (id, set_id, size), a row for each id and set, set_id null for texts without a word; nodes: (set_id, size, rep, n), the smallest id and the number of ids of each set; pairs of nodes, as ``_FOUND_DDL``, left_set < right_set."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     spark = docs.sparkSession
-    buckets = 3 * shuffle_partitions(spark)
-    own = docs.select(col(docs, doc_id).cast("long").alias("id"), col(docs, text).cast("string").alias("text"))
-    given = own.filter("id IS NOT NULL AND text IS NOT NULL")
+    own = docs.select(col(docs, doc_id).cast("long").alias("id"), col(docs, text).cast("string").alias("text")).filter("id IS NOT NULL")
+    given = settled(own, "jaccard-texts")
+    buckets = enough_parts(given, "text")
     back = keep(_postings(given, n, buckets).groupBy("part").applyInArrow(frugal_group(_listed), _BACK_DDL), "jaccard-lists")
     free_shuffles(spark)
-    members = keep(back.filter("kind = 1").mapInArrow(_unpacked, "id long, set_id long, size long").distinct(), "jaccard-members")
-    reps = members.groupBy("set_id").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    centres = back.groupBy("block").applyInArrow(frugal_group(_centres(threshold)), "set_id long, centre long").distinct()
-    chosen = keep(centres.groupBy("set_id").agg(F.collect_list("centre").alias("centres")).join(reps, "set_id").select("set_id", "rep", "centres"), "jaccard-centres")
+    members = keep(back.filter("kind > 0").mapInArrow(_unpacked, "id long, set_id long, size long").distinct(), "jaccard-members")
+    nodes = keep(members.filter("set_id IS NOT NULL").groupBy("set_id", "size").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "jaccard-nodes")
+    centres = back.filter("kind < 2").groupBy("block").applyInArrow(frugal_group(_centres(threshold)), "set_id long, centre long").distinct()
+    chosen = keep(centres.groupBy("set_id").agg(F.collect_list("centre").alias("centres")).join(nodes, "set_id"), "jaccard-centres")
     drop(back)
     free_shuffles(spark)
-    picked = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
+    heavy = keep(chosen.select(F.explode("centres").alias("centre"), "size").groupBy("centre").agg(F.sum("size").alias("grams")).filter(F.col("grams") > HEAVY).select("centre", F.ceil(F.col("grams") / HEAVY).cast("long").alias("blocks")), "jaccard-heavy")
+    picked = _light(chosen, F.size("centres") * 8 + 48)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in byte_slices(batch.column(2), 2_000_000):
+            for a, b in byte_slices(batch.column(3), 2_000_000):
                 part = batch.slice(a, b - a)
-                found = gram_sets(part.column(2), n)
+                found = gram_sets(part.column(3), n)
                 ok = [k for k, (s, name) in enumerate(zip(found, part.column(0).to_pylist())) if len(s) and _set_id(s) == name]
                 at = pa.array(ok, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(3).take(at), pa.array([found[k].tobytes() for k in ok], pa.binary())], names=["set_id", "rep", "centres", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in (0, 1, 2, 4)), pa.array([found[k].tobytes() for k in ok], pa.binary())], names=["set_id", "rep", "n", "centres", "grams"])
+
+    searched = given.filter("text IS NOT NULL").join(picked, given["id"] == picked["rep"]).select("set_id", "rep", "n", "text", "centres").mapInArrow(frugal(sets), "set_id long, rep long, n long, centres array<long>, grams binary")
+    each = searched.select("set_id", "rep", "n", "grams", F.explode("centres").alias("centre"))
+    if heavy.isEmpty():
+        placed = each.select("*", F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    else:
+        blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+        mine = F.pmod("set_id", "blocks")
+        placed = each.join(_light(heavy, F.lit(16)), "centre", "left").withColumn("blocks", blocks).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("set_id", "rep", "n", "grams", "centre", "blocks", F.least(mine, "to").alias("i"), F.greatest(mine, "to").alias("j"))
+    best = placed.groupBy("centre", "i", "j").applyInArrow(frugal_group(_search(threshold)), _FOUND_DDL).groupBy("left_set", "right_set").agg(*[F.max(c).alias(c) for c in _FOUND.names[2:]])
+    return members, nodes, keep(best, "jaccard-pairs")
+
+
+def _light(kept: DataFrame, row_bytes: Column) -> DataFrame:
+    """A kept table, to be broadcast only if its rows have at most ``MOST_BROADCAST`` bytes together."""
+    total = kept.agg(F.sum(row_bytes).alias("b")).first().b or 0
+    return F.broadcast(kept) if total <= MOST_BROADCAST else kept
+
+
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(left_id, right_id, shared, jaccard) with left_id < right_id, exact over 64-bit gram hashes and whole texts.
 
-    searched = given.join(picked, given["id"] == picked["rep"]).select("set_id", "rep", "text", "centres").mapInArrow(frugal(sets), "set_id long, rep long, centres array<long>, grams binary")
-    pairs = searched.select("set_id", "rep", "grams", F.explode("centres").alias("centre")).groupBy("centre").applyInArrow(frugal_group(_search(threshold)), "left_id long, right_id long, shared long, jaccard double")
-    copies = members.join(reps.filter("n > 1"), "set_id").filter("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
-    best = pairs.unionByName(copies).filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.max(F.struct("jaccard", "shared")).alias("best"))
+    Documents with equal gram sets: the smallest id is paired with each of the others
+    (jaccard 1), and only it takes part in further pairs, so that thousands of copies give
+    thousands of rows and not millions; :func:`with_all_copies` gives the others' pairs too,
+    :func:`near_classes` a row for each document.
+
+    Defined results: rows with a null id and texts without a word (null, empty) are in no
+    pair; repeated rows give no pair of an id with itself and no repeated pair; texts of fewer
+    than n words are compared by all their words; an empty table gives an empty table. Ids
+    must be integers. Only tables of at most ``MOST_BROADCAST`` bytes are broadcast.
+    """
+    members, nodes, found = _matches(docs, n, threshold, doc_id, text)
+    pairs = found.filter("left_id <> right_id").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "shared", "jaccard")
+    copies = members.join(nodes.filter("n > 1").select("set_id", "rep"), "set_id").filter("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
+    best = pairs.unionByName(copies).groupBy("left_id", "right_id").agg(F.max(F.struct("jaccard", "shared")).alias("best"))
     return best.select("left_id", "right_id", "best.shared", "best.jaccard")
 
 
+def _classes(members: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """members of sets that have copies or partners, with (rep, n, links, class_id, class_set): of the class, the smallest id and its set."""
+    ends = pairs.select(F.col("left_set").alias("set_id"), F.col("right_n").alias("m")).unionByName(pairs.select(F.col("right_set").alias("set_id"), F.col("left_n").alias("m")))
+    links = ends.groupBy("set_id").agg(F.sum("m").alias("links"))
+    roots = components(pairs.select(F.col("left_set").alias("left_id"), F.col("right_set").alias("right_id"))).select(F.col("id").alias("set_id"), "root")
+    own = nodes.join(links, "set_id", "left").join(roots, "set_id", "left").filter("n > 1 OR links IS NOT NULL").select("set_id", "rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "set_id").alias("root"))
+    own = keep(own, "jaccard-own")
+    first = own.groupBy("root").agg(F.min(F.struct("rep", "set_id")).alias("first"))
+    info = own.join(first, "root").select("set_id", "rep", "n", "links", F.col("first.rep").alias("class_id"), F.col("first.set_id").alias("class_set"))
+    return members.join(info, "set_id", "left")
+
+
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links), a row for each document.
+
+    A document's links are all other documents within the threshold (every copy counts, and
+    every copy of a partner); documents joined by a chain of links are a class, named by its
+    smallest id; copy_of is the smallest id with an equal gram set. The links themselves
+    between different sets are the rows of :func:`jaccard_join` with jaccard below 1.
+
+    Defined results: as for :func:`jaccard_join`; a text without a word is a class of its own
+    without a link; repeated rows of an id and set are one document; an id with several
+    different sets has a row for each; rows with a null id have none.
+    """
+    members, nodes, pairs = _matches(docs, n, threshold, doc_id, text)
+    found = _classes(members, nodes, pairs)
+    return found.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("rep", "id").alias("copy_of"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def with_all_copies(pairs: DataFrame) -> DataFrame:
     """Rows of :func:`jaccard_join` and those of the other copies, which follow from them: every pair of near duplicates has a row.
 
@@ -317,7 +386,8 @@ def with_all_copies(pairs: DataFrame) -> DataFrame:
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, c in zip(*(batch.column(k).to_pylist() for k in "abc")):
-            yield pa.RecordBatch.from_arrays([pa.array(_ints(a)), pa.array(_ints(b)), pa.array(_ints(c))], names=["id", "set_id", "size"])
+            ids = pa.array(_ints(a))
+            yield pa.RecordBatch.from_arrays([ids, *((pa.nulls(len(ids), pa.int64()),) * 2 if b is None else (pa.array(_ints(b)), pa.array(_ints(c))))], names=["id", "set_id", "size"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -346,35 +416,54 @@ def components(edges: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one of the smallest id; all columns as they were.
 
-    A group is a connected component of :func:`jaccard_join`. Rows that are in no pair stay,
-    those with a null id or without a word among them; of rows with the same id and text one stays.
+    A group is a class of :func:`near_classes`. A row is judged by its id and its own gram
+    set, so that of an id that occurs with different texts each text is judged by itself. Rows
+    that are in no pair stay, those with a null id or without a word among them; of rows with
+    the same id and gram set (or, without a word, the same text) one stays, the first by text
+    and then by a hash of the row.
     """
-    spark = docs.sparkSession
-    groups = components(jaccard_join(docs, n, threshold, doc_id=doc_id, text=text))
-    key = spare_name(docs, "near_id")
-    gone = keep(groups.filter("id <> root").select(F.col("id").alias(key)), "jaccard-gone")
-    few = gone.count() <= MOST_BROADCAST
-    left = docs.join(F.broadcast(gone) if few else gone, col(docs, doc_id).cast("long") == F.col(key), "left_anti")
-    again = left.filter(col(left, doc_id).isNotNull()).groupBy(col(left, doc_id).cast("long").alias(key)).count().filter("count > 1").select(key)
-    again = keep(again, "jaccard-again")
+    kept = settled(docs, "jaccard-docs")
+    found = _classes(*_matches(kept, n, threshold, doc_id, text))
+    gone = keep(found.filter("class_id IS NOT NULL AND (id <> class_id OR set_id <> class_set)").select("id", "set_id"), "jaccard-gone")
+    key, name = spare_name(docs, "near_id"), spare_name(docs, "near_set")
+    own = col(kept, doc_id).cast("long")
+    again = keep(kept.filter(own.isNotNull()).groupBy(own.alias(key)).count().filter("count > 1").select(key), "jaccard-again")
+    ids = gone.select(F.col("id").alias(key))
     if again.isEmpty():
-        return left
-    same = col(left, doc_id).cast("long") == F.col(key)
-    once = left.join(again, same, "left_semi").dropDuplicates([doc_id, text])
-    return left.join(again, same, "left_anti").unionByName(once)
+        return kept.join(_light(keep(ids, "jaccard-gone-ids"), F.lit(16)), own == F.col(key), "left_anti")
+    single = kept.join(_light(again, F.lit(16)), own == F.col(key), "left_anti").join(_light(keep(ids.distinct(), "jaccard-gone-ids"), F.lit(16)), own == F.col(key), "left_anti")
+
+    at = kept.columns.index(text)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in byte_slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                sets = gram_sets(part.column(at).cast(pa.string()), n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*part.schema.names, name])
+
+    several = kept.join(_light(again, F.lit(16)), own == F.col(key), "left_semi")
+    several = several.mapInArrow(frugal(named), T.StructType([*several.schema.fields, T.StructField(name, T.LongType())]))
+    left = several.join(gone, (own == gone["id"]) & (F.col(name) == gone["set_id"]), "left_anti")
+    rank = spare_name(left, "near_rank")
+    same = Window.partitionBy(own, name, F.when(F.col(name).isNull(), col(left, text))).orderBy(col(left, text), F.xxhash64(*[col(left, c) for c in docs.columns if "map<" not in dict(docs.dtypes)[c]]))
+    once = left.withColumn(rank, F.row_number().over(same)).filter(F.col(rank) == 1).select(*[col(left, c) for c in docs.columns])
+    return single.unionByName(once)
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for :func:`jaccard_join` over the table documents, whose ids are distinct."""
+    """DuckDB SQL for :func:`near_classes` over the table documents, whose ids are distinct."""
     return f"""
-WITH words AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 grams AS (SELECT DISTINCT doc_id, g FROM (
   SELECT doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - {n - 1})), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g FROM words WHERE len(w) > 0)),
 sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS s FROM grams GROUP BY doc_id),
-reps AS (SELECT s, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY s),
-own AS (SELECT g, rep, n FROM grams JOIN reps ON doc_id = rep),
-pairs AS (SELECT a.rep AS left_id, b.rep AS right_id, count(*) AS shared, any_value(a.n) + any_value(b.n) AS sizes FROM own a JOIN own b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep)
-SELECT left_id, right_id, CAST(shared AS BIGINT) AS shared, CAST(shared AS DOUBLE) / (sizes - shared) AS jaccard FROM pairs WHERE CAST(shared AS DOUBLE) / (sizes - shared) >= {threshold}
-UNION ALL
-SELECT rep, doc_id, CAST(sets.n AS BIGINT), 1.0::DOUBLE FROM sets JOIN reps USING (s) WHERE doc_id <> rep
+reps AS (SELECT s, min(doc_id) AS rep, any_value(n) AS n, count(*) AS m FROM sets GROUP BY s),
+own AS (SELECT g, rep, n, m FROM grams JOIN reps ON doc_id = rep),
+pairs AS (SELECT a.rep AS a, b.rep AS b, any_value(b.m) AS m FROM own a JOIN own b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep HAVING CAST(count(*) AS DOUBLE) / (any_value(a.n) + any_value(b.n) - count(*)) >= {threshold}),
+links AS (SELECT a, sum(m) AS m FROM pairs GROUP BY a),
+reach AS (SELECT DISTINCT a, a AS b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT doc_id, coalesce(root, rep, doc_id) AS class_id, coalesce(rep, doc_id) AS copy_of, CAST(coalesce(reps.m, 1) - 1 + coalesce(links.m, 0) AS BIGINT) AS n_links
+FROM (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN sets USING (doc_id) LEFT JOIN reps USING (s) LEFT JOIN links ON links.a = rep LEFT JOIN roots ON roots.a = rep
 """

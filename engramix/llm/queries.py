@@ -44,8 +44,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of near-duplicate documents; of equal ones, the smallest id stands for the others (``jaccard.with_all_copies`` gives all pairs)."""
-    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+    """Class of near duplicates and number of links of every document."""
+    return jaccard.near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

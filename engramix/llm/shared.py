@@ -60,6 +60,23 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it is read straight from files, else kept: rows that a shuffle brings come in any order, and a task that is run again must see its rows in the same one."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    straight = all(x not in plan for x in ("Exchange", "Aggregate", "Join")) and ("FileScan" in plan or "LocalTableScan" in plan)
+    return df if straight else keep(df, name)
+
+
+#: Text bytes that one bucket of an exchange holds, where there are more of them than the session's shuffles need.
+BUCKET_BYTES = 64_000_000
+
+
+def enough_parts(df: DataFrame, text: str) -> int:
+    """Buckets for what is made of the column's texts: three for each shuffle partition, more where there is so much text."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first().n or 0
+    return max(3 * shuffle_partitions(df.sparkSession), -(-total // BUCKET_BYTES))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM collects the plans that made them; ask it to, between large steps."""
     import gc

@@ -69,10 +69,14 @@ def test_cover_leaves_less_than_half_of_the_least_overlap():
     rng = np.random.default_rng(5)
     size = 40
     centres = rng.integers(0, 12, 33) ** 2 // 12
-    s, c = jaccard.cover(np.zeros(33, dtype=np.int64), np.full(33, size), centres, 0.5)
+    short = np.zeros(33, dtype=np.uint8)
+    s, c = jaccard.cover(np.zeros(33, dtype=np.int64), np.full(33, size), centres, short, 0.5)
     assert set(s) == {0} and (~np.isin(centres, c)).sum() <= (20 - 1) // 2
-    s, _ = jaccard.cover(np.zeros(19, dtype=np.int64), np.full(19, size), np.zeros(19, dtype=np.int64), 0.5)
+    s, _ = jaccard.cover(np.zeros(19, dtype=np.int64), np.full(19, size), np.zeros(19, dtype=np.int64), short[:19], 0.5)
     assert len(s) == 0
+    line = np.array([0] * 9 + [1] * 24)
+    _, c = jaccard.cover(np.zeros(33, dtype=np.int64), np.full(33, size), line, np.where(line, 0, 3).astype(np.uint8), 0.5)
+    assert c.tolist() == [1]
 
 
 def test_short_and_long_texts():
@@ -110,3 +114,63 @@ def test_all_pairs_of_all_copies_on_request(spark):
     found = jaccard.with_all_copies(jaccard.jaccard_join(docs)).collect()
     assert len(found) == len(want) > len(brute(rows, 3, 0.5))
     assert {(r.left_id, r.right_id): (r.shared, r.jaccard) for r in found} == want
+
+
+def classes(rows, n, t):
+    """(id, set) -> (class, copy_of, links) over all pairs of (id, set)."""
+    nodes = sorted({(i, frozenset(sets_of(x or "", n))) for i, x in rows if i is not None}, key=lambda x: (x[0], sorted(x[1])))
+    links, root = {x: 0 for x in nodes}, {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(nodes):
+        for b in nodes[k + 1 :]:
+            o = len(a[1] & b[1])
+            if o and o / (len(a[1]) + len(b[1]) - o) >= t:
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)), key=lambda z: nodes.index(z))
+                root[y] = x
+    return sorted((i, find((i, s))[0], min(j for j, z in nodes if z == s) if s else i, links[i, s]) for i, s in nodes)
+
+
+@pytest.mark.parametrize("heavy", [jaccard.HEAVY, 150])
+def test_classes_equal_all_pairs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    rng = random.Random(9)
+    rows = corpus(rng)
+    rows += [(i + 1000 * k, x) for i, x in rows[::4] for k in (1, 2, 3)]
+    rows += [(1, "a b"), (2, "a b"), (3, ""), (4, None), (4, " "), (None, "a b"), rows[0], (rows[0][0], rows[5][1]), (rows[0][0], "nothing like the others at all")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, x, 5, "c") for i, x in rows], "doc_id long, text string, class_id int, centre string").repartition(3)
+    found = jaccard.near_classes(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.copy_of, r.n_links) for r in found) == classes(rows, 3, 0.5)
+    assert max(r.n_links for r in found) >= 8
+    assert jaccard.near_classes(docs.limit(0)).collect() == []
+
+
+def test_a_line_that_half_of_the_texts_hold(spark, monkeypatch):
+    """Its list is long and its centre is split; every near copy is found all the same."""
+    monkeypatch.setattr(jaccard, "HEAVY", 2_000)
+    rng = random.Random(12)
+    line = " ".join(f"license{k}" for k in range(40))
+    rows = []
+    for k in range(300):
+        own = " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([15, 60])))
+        rows.append((k, own if k % 2 else f"{line} {own}"))
+    rows += [(1000 + i, x + " tail") for i, x in rows[:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {(r.left_id, r.right_id): (r.shared, r.jaccard) for r in jaccard.jaccard_join(docs).collect()}
+    assert found == brute(rows, 3, 0.5) and len(found) > 1000
+
+
+def test_each_text_of_a_repeated_id_is_judged_by_itself(spark):
+    text, other = "one two three four five six seven eight nine ten", "a text that is unlike all of the others here"
+    rows = [(1, text, "a"), (5, text, "b"), (5, other, "c"), (5, other, "c"), (6, other + " too", "d"), (7, "", "e"), (7, None, "f"), (8, "   ", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    kept = jaccard.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.id) for r in kept.collect()) == [(1, "a"), (5, "c"), (7, "e"), (7, "f"), (8, "g")]
