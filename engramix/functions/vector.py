@@ -26,13 +26,14 @@ def top_k(vectors: DataFrame, query: list[float], k: int, *, vec_id: str = "vec_
     return vectors.select(F.col(vec_id).alias("vec_id"), F.round(dot(F.col(embedding), q), 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
-def knn_pairs(vectors: DataFrame, k: int, least: float | None = None, *, vec_id: str = "vec_id", embedding: str = "embedding", blocks: int | None = None) -> DataFrame:
-    """(vec_id, neighbour_id, cosine, rank) of the k nearest others of every unit vector, exact.
+def knn_pairs(vectors: DataFrame, k: int, least: float | None = None, *, of: DataFrame | None = None, vec_id: str = "vec_id", embedding: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, cosine, rank) of the k nearest others of every unit vector, exact; with ``of`` (vec_id) only of those rows, against all.
 
     Every pair of blocks is one group: B blocks give B(B+1)/2 groups of two blocks each, so a
     task holds two blocks and multiplies them in numpy; per block and vector only k rows go
     on to the ranking. All pairs are inherent to exact search: what grows with the square is
-    arithmetic at matrix speed, and each vector is sent B times.
+    arithmetic at matrix speed, and each vector is sent B times. With ``of``, its A blocks meet
+    all B, so that each vector is sent A times and the work grows with what is asked.
     """
     spark = vectors.sparkSession
     n = vectors.count()
@@ -40,6 +41,12 @@ def knn_pairs(vectors: DataFrame, k: int, least: float | None = None, *, vec_id:
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
     sent = own.withColumn("g", F.explode(others)).select("g.i", "g.j", "b", "id", "v")
+    if of is not None:
+        asked = of.select(F.col(vec_id).cast("long").alias("id")).distinct()
+        parts = max(1, -(-asked.count() // 4096))
+        left = own.join(asked, "id", "left_semi").select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(-1).alias("b"), "id", "v")
+        sent = left.unionByName(own.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.col("b").alias("j"), "b", "id", "v"))
+    some = of is not None
 
     def best(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -47,7 +54,7 @@ def knn_pairs(vectors: DataFrame, k: int, least: float | None = None, *, vec_id:
         ids = table.column("id").to_numpy()
         v = np.stack([np.asarray(x, dtype=np.float64) for x in table.column("v").to_pylist()])
         out = []
-        for a, b in {(i, j), (j, i)}:
+        for a, b in {(-1, j)} if some else {(i, j), (j, i)}:
             left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
             if not len(left) or not len(right):
                 continue

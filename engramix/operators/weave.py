@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import text
+from ..functions import scoring, text
 
 K, LEAST, HIGH = 3, 0.45, 0.62
 
@@ -27,6 +27,71 @@ def co_mentions(facts: DataFrame, forms: DataFrame, longest: int = 4) -> DataFra
     return runs.select(F.col("signature").alias("src"), F.explode(F.array_distinct(grams)).alias("form")).join(forms, "form").select("src", F.col("sig").alias("dst")).distinct()
 
 
+def specific_caps(facts: int) -> tuple[int, int]:
+    """How many mentions a hub, and how many facts a scope, may have and still tell one subject from another."""
+    return max(4, round(0.01 * facts)), max(4, round(0.02 * facts))
+
+
+def evidence_window(facts: DataFrame, changed: DataFrame, tier2: int) -> DataFrame:
+    """The changed facts, filled up with the most recently changed others, so that what recurs over several nights is seen together."""
+    fill = max(500, min(2500, tier2)) - changed.count()
+    if fill <= 0:
+        return changed
+    rest = facts.join(changed.select("signature"), "signature", "left_anti").select(facts.columns)
+    return changed.unionByName(rest.orderBy(F.desc(F.coalesce("dirty_seq", F.lit(0))), "signature").limit(fill))
+
+
+def versions(pairs: DataFrame, facts: DataFrame, mentions: DataFrame, total: int) -> DataFrame:
+    """Each fact (src) with its older neighbours (dst): (src, dst, rank, cosine, jaccard, shared, containment, shared_hub, same_scope, correction, at).
+
+    ``pairs`` is (src, dst, cosine, rank), ``facts`` (signature, fact, first_seen). Hubs and
+    scopes that many of the ``total`` facts have are no sign of one subject and are left out.
+    """
+    of_hub, of_scope = specific_caps(total)
+    specific = mentions.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") <= of_hub).select("dst")
+    hubs = mentions.join(specific, "dst").groupBy(F.col("src").alias("signature")).agg(F.collect_set("dst").alias("hubs"))
+    scope = text.scope_of(F.col("fact"))
+    scopes = facts.select(scope.alias("scope")).filter("scope <> ''").groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") <= of_scope).select("scope", F.lit(True).alias("narrow"))
+    own = facts.select("signature", "first_seen", text.content_words(F.col("fact")).alias("w"), scope.alias("scope"), text.is_correction(F.col("fact")).alias("correction"))
+    own = own.join(hubs, "signature", "left").join(scopes, "scope", "left")
+    side = lambda s: own.select(F.col("signature").alias({"a": "src", "b": "dst"}[s]), *[F.col(c).alias(f"{s}_{c}") for c in ("first_seen", "w", "scope", "correction", "hubs", "narrow")])
+    j = pairs.join(side("a"), "src").join(side("b"), "dst").filter("b_first_seen < a_first_seen")
+    words = (F.col("a_w"), F.col("b_w"))
+    return j.select(
+        "src", "dst", "rank", "cosine", text.jaccard(*words).alias("jaccard"), F.size(F.array_intersect(*words)).alias("shared"), text.containment(*words).alias("containment"),
+        F.coalesce(F.arrays_overlap("a_hubs", "b_hubs"), F.lit(False)).alias("shared_hub"), (F.coalesce("a_narrow", F.lit(False)) & (F.col("a_scope") == F.col("b_scope"))).alias("same_scope"),
+        F.col("a_correction").alias("correction"), F.col("b_first_seen").alias("at"),
+    )
+
+
+def corrections(near: DataFrame, existing: DataFrame, k: int = 11) -> DataFrame:
+    """(src, dst, weight): new corrections out of :func:`versions`, each to the most alike of the older facts it may replace."""
+    found = supersedes(near.filter(F.col("correction") & (F.col("rank") <= k)))
+    return found.join(existing.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "weight")
+
+
+def lineage(near: DataFrame, existing: DataFrame, k: int = 39) -> DataFrame:
+    """(src, dst, weight): from the nearest older version of each fact to the fact, out of :func:`versions`."""
+    c = near.filter(F.col("rank") <= k).select(F.col("dst").alias("older"), F.col("src").alias("newer"), "cosine", "shared", "containment", "at")
+    return sequences(c, existing)
+
+
+def corrected(nodes: DataFrame, links: DataFrame, now) -> DataFrame:
+    """``nodes`` after corrections (src, dst): the correcting fact is strengthened and kept as knowledge, the corrected one cued, less strongly."""
+    up = links.select(F.col("src").alias("signature"), F.lit(0.18).alias("__by")).distinct()
+    down = links.select(F.col("dst").alias("signature"), F.lit(0.05).alias("__by")).distinct()
+    by = up.unionByName(down).groupBy("signature").agg(F.max("__by").alias("__by"))
+    j = nodes.join(by, "signature", "left")
+    led = F.coalesce(F.col("__by") == 0.18, F.lit(False))
+    new = {
+        "strength": F.when(F.col("__by").isNull(), F.col("strength")).otherwise(scoring.clamp01(F.coalesce("strength", F.lit(0.0)) + F.col("__by"))),
+        "class": F.when(led & (F.col("class") == "episodic"), "semantic").otherwise(F.col("class")),
+        "reactivations": F.when(led, F.coalesce("reactivations", F.lit(0)) + 1).otherwise(F.col("reactivations")),
+        "last_reactivated": F.when(F.col("__by").isNotNull(), now).otherwise(F.col("last_reactivated")),
+    }
+    return j.withColumns(new).select(nodes.columns)
+
+
 def siblings(pairs: DataFrame, hubs: DataFrame, k: int = K, least: float = LEAST, high: float = HIGH) -> DataFrame:
     """(src, rel, dst, weight): up to k of a fact's neighbours: related if they share a hub, else similar if very near."""
     h = hubs.groupBy("src").agg(F.collect_set("dst").alias("h"))

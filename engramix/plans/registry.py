@@ -30,4 +30,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import graph_queries, maintenance_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
+    from . import graph_queries, maintenance_queries, report_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401

@@ -27,7 +27,7 @@ def test_a_night_leaves_no_island_and_is_sound(spark):
     again = nightly.woven(s, 3)
     assert {(r.src, r.rel, r.dst) for r in again["edges"].collect()} == e
     after, summary = nightly.kept_up(s, NOW, 2, Tuning.resolve({}, {}))
-    assert {r.what: r.n for r in summary.collect()} == {"facts": 4, "reactivated": 0, "ready for review": 0, "gone": 0, "demoted": 0, "hubs pruned": 0}
+    assert {r.what: r.n for r in summary.collect()} == {"facts": 4, "reactivated": 0, "ready for review": 0, "gone": 0, "demoted": 0, "hubs pruned": 0, "chronicles demoted": 0, "active": 4, "archived": 0}
     assert after.cursor("last_dream_seq") == 2
     faults = {r.invariant: r.faults for r in doctor.audit(after, 2).collect()}
     assert not any(faults.values())
