@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -54,13 +53,15 @@ def join_whole(uri: str, parts: Iterable[str | bytes]) -> None:
         system.delete_file(path)
 
 
+def whole(uri: str) -> bytes:
+    system, path = at(uri)
+    with system.open_input_stream(path) as stream:
+        return stream.read()
+
+
 def mapped(uri: str, dtype) -> np.ndarray:
-    """A whole file as an array that stays on disk; from a remote file system it is first copied to this machine's temporary folder, once."""
+    """A whole file as an array that stays on disk where the shared folder is mounted; from a remote file system it is read into the worker's memory."""
     system, path = at(uri)
     if not isinstance(system, fs.LocalFileSystem):
-        own = os.path.join(tempfile.gettempdir(), f"engramix-{uuid.uuid5(uuid.NAMESPACE_URL, uri).hex}")
-        if not os.path.exists(own):
-            with system.open_input_stream(path) as given:
-                write_whole(own, lambda stream: shutil.copyfileobj(given, stream, 1 << 20))
-        path = own
+        return np.frombuffer(whole(uri), dtype=dtype)
     return np.asarray(np.memmap(path, dtype=dtype, mode="r")) if os.path.getsize(path) else np.empty(0, dtype=dtype)

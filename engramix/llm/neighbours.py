@@ -6,11 +6,15 @@ the order of their projected distance, and the visit stops when a point that is
 the k-th best so far would, with probability ``SURE``, have had a smaller projected distance
 than all that is left: projected^2 >= d_k^2 * quantile(SURE). No number of candidates is fixed.
 
-The projected points are indexed by a kd-tree. Its upper levels cut the points into cells, one
-group of an exchange each; its lower levels cut a cell into leaves. A query first searches its
-own cell, then with the distance found there exactly those other cells whose boxes the test
-can't rule out. Leaves are visited in the order of their boxes' distance, the points of a leaf
-together.
+The projected points are indexed by a kd-tree. Its upper levels cut the points into cells, each
+a file of the index in the shared folder, written by one exchange of the points; its lower
+levels cut a cell into leaves. Cells are visited in the order of their boxes' distance, in
+rounds of 1, 4, 16, ... of them: a round takes only those that the test can't rule out with the
+distance found so far, and only queries are exchanged. Leaves are visited in the same order,
+the points of a leaf together.
+
+Equal vectors are one query, and one point with as many of its smallest ids as can be of use,
+so a vector that a third of all rows have costs no more than another.
 """
 
 from __future__ import annotations
@@ -19,9 +23,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import col, frugal, frugal_group, keep
+from . import files
+from .shared import col, drop, free_shuffles, fresh_path, frugal, frugal_group, keep
 
 K = 10
 M = 8
@@ -31,8 +36,12 @@ LEAF = 256
 SEED = 41
 #: Of a projected point's square: equal vectors may be projected with another rounding in another batch.
 SLACK = 1e-10
-#: Points for the splits of the tree's upper levels; any splits give the same result, even ones give even cells.
-SPLIT_SAMPLE = 50_000
+#: Points of the sample that the splits of the tree's upper levels are fitted to (32 MB); every point is indexed.
+SPLIT_SAMPLE = 1_000_000
+#: Points of the sample for each cell at least.
+_PER_CELL = 16
+#: Times as many cells in each round as in all before.
+_FACTOR = 4
 
 
 def quantile(p: float, m: int = M) -> float:
@@ -133,9 +142,9 @@ def _merged(d2: np.ndarray, place: np.ndarray, ids: np.ndarray, repeated: bool,
     return _ranked(row, d, to, ids, repeated, (len(d2), k))
 
 
-def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarray, q_vecs: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(places, squared distances), k per query, of the nearest among one cell's points below ``bound``, each id once; -1 and inf where there are fewer."""
-    n = len(q_ids)
+def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarray, q_vecs: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places, squared distances), k per query, of the nearest among one cell's points within ``bound``, each id once; -1 and inf where there are fewer."""
+    n = len(q_proj)
     best = np.full((n, k), np.inf)
     place = np.full((n, k), -1, dtype=np.int64)
     leaves = _leaves(proj)
@@ -159,7 +168,6 @@ def search(proj: np.ndarray, vecs: np.ndarray, ids: np.ndarray, q_proj: np.ndarr
         for one in np.unique(leaf):
             rows, points = live[leaf == one], leaves[one]
             d2 = np.maximum(q_norm[rows, None] + norm[None, points] - 2 * (q_vecs[rows] @ vecs[points].T), 0)
-            d2[q_ids[rows, None] == ids[None, points]] = np.inf
             d2[d2 > (bound + error)[rows, None]] = np.inf
             both = np.concatenate([best[rows], d2], axis=1)
             where = np.concatenate([place[rows], np.broadcast_to(points, (len(rows), len(points)))], axis=1)
@@ -172,18 +180,32 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(b"".join(c.to_pylist()), dtype=np.float32).reshape(-1, width) for c in chunks] or [np.empty((0, width), np.float32)])
 
 
-def _pairs(ids, q_ids, q_vecs, vecs, place) -> pa.Table:
-    row, _ = np.nonzero(place >= 0)
-    to = place[place >= 0]
-    d = np.sqrt(_squared(q_vecs, row, vecs, to))
-    return pa.table({"vec_id": pa.array(q_ids[row], pa.int64()), "neighbour_id": pa.array(ids[to], pa.int64()), "distance": pa.array(d, pa.float64())})
+def few_of_equal(ids: np.ndarray, vecs: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows that are left if of equal vectors the ``most`` smallest ids stay, once each."""
+    raw = np.ascontiguousarray(vecs).view(np.dtype((np.void, vecs.shape[1] * vecs.itemsize))).ravel()
+    _, same = np.unique(raw, return_inverse=True)
+    order = np.lexsort((ids, same))
+    order = order[_firsts(same[order], ids[order])]
+    rank = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+    return np.sort(order[rank < most])
 
 
-def nearest(vectors: DataFrame, k: int = K, sure: float = SURE, seed: int = SEED, cell: int = CELL, *, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance) of the k nearest others of every row, by Euclidean distance.
+def _write_cell(folder: str, cell: int, ids: np.ndarray, p: np.ndarray, v: np.ndarray) -> None:
+    files.write_whole(f"{folder}/cell-{cell}", lambda stream: [stream.write(np.ascontiguousarray(x).tobytes()) for x in (ids, p, v)])
 
-    Each true neighbour is found with a probability of ``sure`` at least. Only the cells'
-    boxes are broadcast (72 bytes for each ``cell`` points).
+
+def _read_cell(folder: str, cell: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = files.whole(f"{folder}/cell-{cell}")
+    n = len(raw) // (8 + 4 * M + 4 * width)
+    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.float32, n * M, 8 * n).reshape(n, M), np.frombuffer(raw, np.float32, n * width, (8 + 4 * M) * n).reshape(n, width)
+
+
+def nearest(vectors: DataFrame, k: int = K, sure: float = SURE, seed: int = SEED, cell: int = CELL, *, vec_id: str = "vec_id", embedding: str = "embedding", queries: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance) of the k nearest others of the rows for which ``queries`` holds (of every row without it), by Euclidean distance; all rows are searched.
+
+    Each true neighbour is found with a probability of ``sure`` at least. The splits are
+    fitted to a sample of ``SPLIT_SAMPLE`` points at most, every row is indexed. Only the
+    cells' boxes are broadcast: 72 bytes for each, at most ``SPLIT_SAMPLE`` / 16 of them.
 
     Defined results: rows with a null id or a null, empty or non-finite vector, and vectors of
     another length than the most frequent (of equally frequent ones the shortest), are left
@@ -193,7 +215,8 @@ def nearest(vectors: DataFrame, k: int = K, sure: float = SURE, seed: int = SEED
     """
     spark = vectors.sparkSession
     limit = quantile(sure)
-    own = vectors.select(col(vectors, vec_id).cast("long").alias("id"), col(vectors, embedding).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    own = vectors.select(col(vectors, vec_id).cast("long").alias("id"), asked.alias("asked"), col(vectors, embedding).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     sizes = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
         return spark.createDataFrame([], "vec_id long, rank int, neighbour_id long, distance double")
@@ -203,73 +226,86 @@ def nearest(vectors: DataFrame, k: int = K, sure: float = SURE, seed: int = SEED
 
     def project(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
             p = flat @ basis
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in p], pa.binary()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "p", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in p], pa.binary()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "asked", "p", "v"])
 
-    points = own.filter(F.size("v") == width).mapInArrow(frugal(project), "id long, p binary, v binary")
+    points = own.filter(F.size("v") == width).mapInArrow(frugal(project), "id long, asked boolean, p binary, v binary")
     share = min(1.0, 1.3 * SPLIT_SAMPLE / total)
     sample = points.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(10**6)) < int(share * 10**6) + 1).select("p").limit(2 * SPLIT_SAMPLE).toArrow()
-    parts = 1 << max(0, math.ceil(math.log2(total / cell)))
+    parts = 1 << max(0, math.ceil(math.log2(max(1, min(total / cell, max(sample.num_rows, 1) / _PER_CELL)))))
     dims, values = split(_matrix(sample.column("p"), M) if sample.num_rows else np.zeros((1, M), np.float32), parts)
+    del sample
+    most = k + 1
 
     def place(batches):
         for batch in batches:
-            cells = cell_of(_matrix(batch.column(1), M), dims, values)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), *batch.columns], names=["cell", "id", "p", "v"])
-
-    placed = keep(points.mapInArrow(frugal(place), "cell int, id long, p binary, v binary"), "ann-points")
-
-    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return table.column("id").to_numpy(), _matrix(table.column("p"), M), _matrix(table.column("v"), width)
-
-    def first(table: pa.Table) -> pa.Table:
-        ids, p, v = read(table)
-        at, best = search(p, v, ids, p, v, ids, np.full(len(ids), np.inf), k, limit)
-        pairs = _pairs(ids, ids, v, v, at)
-        bound = pa.table({"cell": table.column("cell"), "id": table.column("id"), "p": table.column("p"), "v": table.column("v"), "bound": pa.array(best[:, -1])})
-        n = len(pairs)
-        return pa.concat_tables([bound.append_column("vec_id", pa.nulls(len(ids), pa.int64())).append_column("neighbour_id", pa.nulls(len(ids), pa.int64())).append_column("distance", pa.nulls(len(ids), pa.float64())), pa.table({"cell": pa.array([int(table.column("cell")[0].as_py())] * n, pa.int32()), "id": pa.nulls(n, pa.int64()), "p": pa.nulls(n, pa.binary()), "v": pa.nulls(n, pa.binary()), "bound": pa.nulls(n, pa.float64()), "vec_id": pairs.column("vec_id"), "neighbour_id": pairs.column("neighbour_id"), "distance": pairs.column("distance")})])
-
-    near = keep(placed.groupBy("cell").applyInArrow(frugal_group(first), "cell int, id long, p binary, v binary, bound double, vec_id long, neighbour_id long, distance double"), "ann-first")
-    if parts > 1:
-
-        def box(table: pa.Table) -> pa.Table:
-            p = _matrix(table.column("p"), M)
-            return pa.table({"cell": pa.array([table.column("cell")[0].as_py()], pa.int32()), "low": pa.array([p.min(axis=0).tobytes()], pa.binary()), "high": pa.array([p.max(axis=0).tobytes()], pa.binary())})
-
-        boxes = placed.select("cell", "p").groupBy("cell").applyInArrow(frugal_group(box), "cell int, low binary, high binary").toArrow()
-        shared = spark.sparkContext.broadcast((boxes.column("cell").to_numpy(), _matrix(boxes.column("low"), M), _matrix(boxes.column("high"), M)))
-
-        def send(batches):
-            cells, low, high = shared.value
+            ids, p, v = batch.column(0).to_numpy(), _matrix(batch.column(1), M), _matrix(batch.column(2), width)
+            left = few_of_equal(ids, v, most)
+            at = pa.array(left)
+            yield pa.RecordBatch.from_arrays([pa.array(cell_of(p[left], dims, values), pa.int32()), *[c.take(at) for c in batch.columns]], names=["cell", "id", "p", "v"])
+
+    folder = fresh_path(spark, "ann-index")
+    files.make_dir(folder)
+
+    def write(table: pa.Table) -> pa.Table:
+        ids, p, v = table.column("id").to_numpy(), _matrix(table.column("p"), M), _matrix(table.column("v"), width)
+        left = few_of_equal(ids, v, most)
+        number = table.column("cell")[0].as_py()
+        _write_cell(folder, number, ids[left], p[left], v[left])
+        return pa.table({"cell": pa.array([number], pa.int32()), "low": pa.array([p.min(axis=0).tobytes()], pa.binary()), "high": pa.array([p.max(axis=0).tobytes()], pa.binary())})
+
+    boxes = points.select("id", "p", "v").mapInArrow(frugal(place), "cell int, id long, p binary, v binary").groupBy("cell").applyInArrow(frugal_group(write), "cell int, low binary, high binary").toArrow()
+    shared = spark.sparkContext.broadcast((boxes.column("cell").to_numpy(), _matrix(boxes.column("low"), M), _matrix(boxes.column("high"), M)))
+    cells = boxes.num_rows
+    ids = keep(points.filter("asked").select("id", F.md5("v").alias("key"), "p", "v"), "ann-asked")
+    distinct = ids.groupBy("key").agg(F.first("p").alias("p"), F.first("v").alias("v"))
+    distinct = keep(distinct, "ann-queries")
+
+    def send(start: int, stop: int):
+        def run(batches):
+            numbers, low, high = shared.value
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    p, bound = _matrix(part.column(2), M), part.column(4).to_numpy()
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    p, bound = _matrix(part.column(1), M), part.column(3).to_numpy(zero_copy_only=False)
                     gap = sum(np.maximum(0, np.maximum(low[None, :, d] - p[:, d, None], p[:, d, None] - high[None, :, d])) ** 2 for d in range(M))
-                    row, to = np.nonzero((gap <= bound[:, None] * limit + SLACK * (p**2).sum(axis=1)[:, None]) & (cells[None, :] != part.column(0).to_numpy()[:, None]))
+                    order = np.argsort(gap, axis=1, kind="stable")[:, start:stop]
+                    row, rank = np.nonzero(np.take_along_axis(gap, order, axis=1) <= bound[:, None] * limit + SLACK * (p**2).sum(axis=1)[:, None])
                     at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[to], pa.int32()), *[part.column(i).take(at) for i in (1, 2, 3, 4)]], names=["cell", "id", "p", "v", "bound"])
-
-        asked = near.filter("id IS NOT NULL").select("cell", "id", "p", "v", "bound").mapInArrow(frugal(send), "cell int, id long, p binary, v binary, bound double")
-
-        def other(queries: pa.Table, points: pa.Table) -> pa.Table:
-            if not queries.num_rows or not points.num_rows:
-                return _pairs(*(np.empty(0, dtype=np.int64),) * 2, *(np.empty((0, width), np.float32),) * 2, np.empty((0, k), dtype=np.int64))
-            ids, p, v = read(points)
-            out = []
-            for lo in range(0, queries.num_rows, 4096):
-                part = queries.slice(lo, 4096)
-                q_ids, q_p, q_v = read(part)
-                at, _ = search(p, v, ids, q_p, q_v, q_ids, part.column("bound").to_numpy(), k, limit)
-                out.append(_pairs(ids, q_ids, q_v, v, at))
-            return pa.concat_tables(out)
-
-        far = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInArrow(lambda a, b: frugal_group(lambda _: other(a, b))(a), "vec_id long, neighbour_id long, distance double")
-        found = near.filter("vec_id IS NOT NULL").select("vec_id", "neighbour_id", "distance").unionByName(far)
-    else:
-        found = near.filter("vec_id IS NOT NULL").select("vec_id", "neighbour_id", "distance")
-    best = found.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("distance"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))).filter(F.col("rank") <= k)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[order[row, rank]], pa.int32()), *[part.column(i).take(at) for i in range(4)]], names=["cell", "key", "p", "v", "bound"])
+
+        return run
+
+    def look(table: pa.Table) -> pa.Table:
+        ids, p, v = _read_cell(folder, table.column("cell")[0].as_py(), width)
+        out = []
+        for lo in range(0, table.num_rows, 1024):
+            part = table.slice(lo, 1024)
+            q_v = _matrix(part.column("v"), width)
+            at, best = search(p, v, ids, _matrix(part.column("p"), M), q_v, part.column("bound").to_numpy(), most, limit)
+            row, rank = np.nonzero(at >= 0)
+            out.append(pa.table({"key": part.column("key").take(pa.array(row)), "neighbour_id": pa.array(ids[at[row, rank]], pa.int64()), "square": pa.array(best[row, rank])}))
+        return pa.concat_tables(out)
+
+    found, start = None, 0
+    while start < cells:
+        stop = max(1, _FACTOR * start)
+        if found is None:
+            state = distinct.withColumn("bound", F.lit(float("inf")))
+        else:
+            bounds = found.groupBy("key").agg(F.count("*").alias("n"), F.max("square").alias("far")).filter(F.col("n") >= most).select("key", "far")
+            state = distinct.join(bounds, "key", "left").select("key", "p", "v", F.coalesce("far", F.lit(float("inf"))).alias("bound"))
+        sent = state.mapInArrow(frugal(send(start, stop)), "cell int, key string, p binary, v binary, bound double")
+        new = sent.groupBy("cell").applyInArrow(frugal_group(look), "key string, neighbour_id long, square double")
+        both = new if found is None else found.unionByName(new)
+        both = both.groupBy("key", "neighbour_id").agg(F.min("square").alias("square"))
+        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("square", "neighbour_id"))).filter(F.col("rank") <= most).drop("rank")
+        last, found = found, keep(ranked, "ann-found")
+        if last is not None:
+            drop(last)
+        free_shuffles(spark)
+        start = stop
+    near = ids.select(F.col("id").alias("vec_id"), "key").distinct().join(found, "key").filter("vec_id <> neighbour_id").groupBy("vec_id", "neighbour_id").agg(F.sqrt(F.min("square")).alias("distance"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))).filter(F.col("rank") <= k)
     return ranked.select("vec_id", "rank", "neighbour_id", F.round("distance", 5).alias("distance"))

@@ -105,3 +105,40 @@ def test_more_equal_vectors_than_places_are_ranked_by_id(spark, cell):
     same = sorted(ids[:400])
     for i in same:
         assert [j for _, j in sorted(got[i])] == [j for j in same if j != i][:10]
+
+
+def test_a_hundred_thousand_equal_vectors(spark):
+    """They are one query and a few points; the others' neighbours are found in the same cells."""
+    rng = np.random.default_rng(8)
+    v = vectors(rng, 1000)
+    other = spark.createDataFrame([(200_000 + i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    same = spark.range(100_000).selectExpr("id AS vec_id", f"array({', '.join(f'float({float(x)!r})' for x in v[3])}) AS embedding")
+    got = {}
+    for r in nb.nearest(same.unionByName(other).repartition(6), cell=2000, queries=nb.F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour_id, r.distance))
+    assert len(got) == 1010 and all(len(x) == 10 for x in got.values())
+    for i in (0, 500, 99_900):
+        assert [j for _, j, _ in sorted(got[i])] == [j for j in range(11) if j != i][:10] and {d for *_, d in got[i]} == {0.0}
+    d = np.sqrt(((v[:, None, :].astype(float) - v[None, :, :]) ** 2).sum(axis=2))
+    hits = want = 0
+    for i in range(0, 1000, 100):
+        near = sorted([(d[i, 3], j) for j in range(10)] + [(d[i, j], 200_000 + j) for j in range(1000) if j != i])[:10]
+        hits += len({j for _, j in near} & {j for _, j, _ in got[200_000 + i]})
+        want += 10
+    assert hits / want >= 0.9
+
+
+def test_the_query_takes_every_hundredth_against_all(spark):
+    from engramix.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    v, ids = np.array([r.embedding for r in rows], dtype=np.float64), [r.vec_id for r in rows]
+    found = queries.QUERIES["op8_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect()
+    asked = [i for i in ids if i % 100 == 0]
+    assert len(found) == 10 * len(asked) and {r.vec_id for r in found} == set(asked)
+    hits = 0
+    for i in asked:
+        d = np.sqrt(((v - v[ids.index(i)]) ** 2).sum(axis=1))
+        near = sorted((x, j) for x, j in zip(d, ids) if j != i)[:10]
+        hits += len({j for _, j in near} & {r.neighbour_id for r in found if r.vec_id == i})
+    assert hits / len(found) >= 0.9
