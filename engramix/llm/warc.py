@@ -25,6 +25,8 @@ from .shared import byte_slices, col, fresh_path, frugal, keep
 
 BUNDLE_BYTES = 32 * 1024 * 1024
 FRAME_BYTES = 256 * 1024
+#: Tasks that write bundles; with more bundles than that a task writes several, one after another.
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -94,22 +96,24 @@ def bundle_path(folder: str, number: int) -> str:
 def write_bundles(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write ``pages`` as bundles into ``folder`` and return the index: (record_id, page_id, url, bundle, frame, offset, length).
 
-    One exchange brings each bundle's pages together, about ``bundle_bytes`` of them. A frame
-    takes the records that start in the same ``frame_bytes`` of the bundle's content.
+    One exchange brings each bundle's pages together, about ``bundle_bytes`` of them, in
+    ``MOST_TASKS`` tasks at most. A frame takes the records that start in the same
+    ``frame_bytes`` of the bundle's content.
 
     Defined results: a page without html (null) has no record, one of empty html has an empty
     one; a null url leaves its header out; equal rows have one record each, numbered apart in
-    their identifiers; a record longer than a frame has a frame that is as long as it takes;
+    their identifiers; a null url or id is another than an empty one; a record longer than a frame has a frame that is as long as it takes;
     an empty table gives no bundle and an empty index.
     """
     files.make_dir(folder)
     body = col(pages, html).cast("binary")
     own = pages.select(col(pages, page_id).alias("page_id"), col(pages, url).cast("string").alias("url"), body.alias("html"), F.md5(body).alias("digest")).filter("html IS NOT NULL")
-    ident = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col("url"), F.lit("")), F.lit(" "), F.col("digest"))
+    # can be taken apart again, so that no two different rows have the same: null isn't empty, the url's length comes before it
+    ident = F.concat("digest", F.lit(" "), F.coalesce(F.concat(F.octet_length("url"), F.lit(":"), "url"), F.lit("-")), F.coalesce(F.concat(F.lit(" "), F.col("page_id").cast("string")), F.lit("")))
     total = own.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     bundles = max(1, -(-total // bundle_bytes))
     number = (F.conv(F.substring(F.md5(ident.cast("binary")), 1, 8), 16, 10).cast("long") % bundles).cast("int")
-    placed = own.withColumn("ident", ident).withColumn("bundle", number).repartitionById(bundles, F.col("bundle")).sortWithinPartitions("bundle", "page_id", "url", "digest")
+    placed = own.withColumn("ident", ident).withColumn("bundle", number).repartitionById(min(bundles, MOST_TASKS), F.pmod("bundle", F.lit(MOST_TASKS)).cast("int")).sortWithinPartitions("bundle", "page_id", "url", "digest")
     schema = own.select("page_id").schema
     schema = T.StructType([T.StructField("record_id", T.StringType()), schema[0], *(T.StructField(n, t) for n, t in (("url", T.StringType()), ("bundle", T.IntegerType()), ("frame", T.IntegerType()), ("offset", T.LongType()), ("length", T.LongType())))])
 
@@ -204,7 +208,7 @@ def bundle_pages(pages: DataFrame, **options) -> DataFrame:
 def oracle(bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> str:
     """DuckDB SQL for :func:`bundle_pages` over pages, whose urls have no blanks or control characters."""
     return f"""
-WITH own AS (SELECT page_id, url, md5(html) AS digest, strlen(html) AS n, coalesce(CAST(page_id AS VARCHAR), '') || ' ' || coalesce(url, '') || ' ' || md5(html) AS ident FROM pages WHERE html IS NOT NULL),
+WITH own AS (SELECT page_id, url, md5(html) AS digest, strlen(html) AS n, md5(html) || ' ' || coalesce(strlen(url) || ':' || url, '-') || coalesce(' ' || CAST(page_id AS VARCHAR), '') AS ident FROM pages WHERE html IS NOT NULL),
 total AS (SELECT greatest(1, CAST(ceil(sum(n) / {bundle_bytes}::DOUBLE) AS BIGINT)) AS bundles FROM own),
 named AS (SELECT *, row_number() OVER (PARTITION BY ident) - 1 AS again, ('0x' || substr(md5(ident), 1, 8))::BIGINT % bundles AS bundle FROM own, total),
 ids AS (SELECT *, md5(ident || ' ' || again) AS h FROM named),

@@ -8,6 +8,7 @@ from engramix.llm import files, warc
 from engramix.llm.shared import fresh_path
 
 ROWS = [(k, f"http://h{k % 3}.example/p/{k}", "<p>" + f"text {k} " * (k * 7 % 50)) for k in range(60)] + [(7, "http://h1.example/p/7", "<p>" + "text 7 " * 49), (90, None, "x"), (91, "http://a b\n", "é"), (None, "u", "y"), (92, "u", None), (93, "u", ""), (94, "u", "z" * 5000)]
+ROWS += [(1, None, "A"), (1, None, "B"), (1, "", "A"), (1, None, "A"), (None, None, "A"), (1, f"2:{7 * 'x'} 1", "A")]
 DDL = "page_id long, url string, html string, bundle string"
 
 
@@ -22,7 +23,7 @@ def layout(rows, bundle_bytes, frame_bytes):
     bundles = {}
     for p, u, h in rows:
         d = hashlib.md5(h.encode()).hexdigest()
-        ident = f"{'' if p is None else p} {u or ''} {d}"
+        ident = f"{d} {'-' if u is None else f'{len(u.encode())}:{u}'}{'' if p is None else f' {p}'}"
         bundles.setdefault(int(hashlib.md5(ident.encode()).hexdigest()[:8], 16) % count, []).append((p is not None, p or 0, u is not None, u or "", d, ident, p, u, h))
     out = {}
     for b, own in bundles.items():
@@ -76,3 +77,10 @@ def test_nothing_and_damage(spark):
     assert warc.bundle_pages(pages(spark).limit(0)).collect() == []
     with pytest.raises(ValueError):
         warc.parse_record(b"HTTP/1.1 200\r\n\r\n")
+
+
+def test_more_bundles_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_TASKS", 3)
+    found = warc.bundle_pages(pages(spark), bundle_bytes=900, frame_bytes=300).collect()
+    got = {r.record_id: (r.page_id, r.url, r.bundle, r.frame, r.offset, r.length, r.payload_bytes, r.payload_md5) for r in found}
+    assert got == layout(ROWS, 900, 300) and len({r.bundle for r in found}) > 3
