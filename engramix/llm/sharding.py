@@ -138,12 +138,18 @@ def shard(docs: DataFrame, capacity: int = CAPACITY, *, doc_id: str = "doc_id",
     ahead = Window.partitionBy("group_bytes").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     within = Window.partitionBy("group_bytes", "part").orderBy("group_key")
-    numbered = groups.withColumn("k", F.row_number().over(within) - 1).join(offsets, ["group_bytes", "part"]).select("group_key", "group_bytes", (F.col("k") + F.col("ahead")).alias("at"))
-    # a run holds for all numbers up to the next run of its size: the last run at or before each group
-    both = numbered.select("group_bytes", "at", F.lit(1).alias("kind"), "group_key", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("each")).unionByName(plan.select("group_bytes", F.col("first").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("group_key"), "low", "each"))
+    # a run holds for all numbers up to the next run of its size. Runs meet the parts' first numbers, and each part its own runs: no task has all groups of a size
+    nothing = F.lit(None)
+    marks = plan.select("group_bytes", F.col("first").alias("at"), F.lit(0).alias("kind"), nothing.cast("string").alias("part"), F.struct("first", "low", "each").alias("run"))
+    marks = marks.unionByName(offsets.select("group_bytes", F.col("ahead").alias("at"), F.lit(1).alias("kind"), "part", nothing.cast("struct<first:long,low:long,each:long>").alias("run")))
     so_far = Window.partitionBy("group_bytes").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct("at", "low", "each")), ignorenulls=True).over(so_far)
-    placed = both.withColumn("run", last).filter("kind = 1").select("group_key", "group_bytes", (F.col("run.low") + F.floor((F.col("at") - F.col("run.at")) / F.col("run.each"))).cast("long").alias("shard"))
+    marks = marks.select("group_bytes", "kind", F.last("run", ignorenulls=True).over(so_far).alias("run"), F.last("part", ignorenulls=True).over(so_far).alias("part"))
+    begun = offsets.join(marks.filter("kind = 1").select("group_bytes", "part", "run"), ["group_bytes", "part"])
+    numbered = groups.withColumn("k", F.row_number().over(within) - 1).join(begun, ["group_bytes", "part"]).select("group_bytes", "part", (F.col("k") + F.col("ahead")).alias("at"), F.lit(1).alias("kind"), "group_key", "run")
+    inner = marks.filter("kind = 0 AND part IS NOT NULL").select("group_bytes", "part", F.col("run.first").alias("at"), "kind", nothing.cast("string").alias("group_key"), "run")
+    of_part = Window.partitionBy("group_bytes", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.last(F.when(F.col("kind") == 0, F.col("run")), ignorenulls=True).over(of_part), F.col("run"))
+    placed = numbered.unionByName(inner).withColumn("run", last).filter("kind = 1").select("group_key", "group_bytes", (F.col("run.low") + F.floor((F.col("at") - F.col("run.first")) / F.col("run.each"))).cast("long").alias("shard"))
     return rows.select("doc_id", "group_key").join(placed, "group_key").select("doc_id", "group_key", "group_bytes", "shard", (F.col("group_bytes") > capacity).alias("oversize"))
 
 

@@ -83,3 +83,14 @@ def test_given_groups_and_nothing(spark):
     found = sharding.shard(docs, 3, group="g").collect()
     assert len({r.shard for r in found if r.group_key == "=g"}) == 1 and len({r.shard for r in found}) == 2
     assert sharding.shard(docs.limit(0)).collect() == []
+
+
+def test_many_groups_of_one_size(spark):
+    """Numbered and placed in parts of a size, not in one task; three to a shard, in the order of the keys' hashes."""
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "lpad(CAST(id AS STRING), 8, '0') AS text").unionByName(spark.createDataFrame([(200_000, "x" * 20)], "doc_id long, text string"))
+    found = sharding.shard(docs, 27)
+    rows = found.collect()
+    load = collections.Counter(r.shard for r in rows if r.group_bytes == 8)
+    assert len(rows) == 100_001 and set(load.values()) == {3, 1} and sorted(load) == list(range(1, 33_335)) and [r.shard for r in rows if r.group_bytes == 20] == [0]
+    order = sorted((hashlib.md5(r.group_key.encode()).hexdigest()[:3], r.group_key, r.shard) for r in rows if r.group_bytes == 8)
+    assert [s for *_, s in order] == [1 + k // 3 for k in range(100_000)]
