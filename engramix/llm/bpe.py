@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from .shared import byte_slices, col, frugal
+from .shared import byte_slices, col, frugal, with_fields
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -232,13 +232,14 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     round_trip says whether decoding the ids gives the text's bytes again; it is true for
     every text. No shuffle: each batch of rows is encoded where it is read; the vocabulary
     (fixed, about 1 MB) is broadcast. Null text gives null in all three; empty text an empty
-    list, 0 and true; repeated rows are encoded each.
+    list, 0 and true; repeated rows are encoded each; a carried column keeps its name, and a new
+    one of the same name gets underscores.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     picked = docs.select(*[col(docs, c) for c in carry], col(docs, text).cast("string").alias("__text"))
-    schema = docs.select(*[col(docs, c) for c in carry]).schema.add("n_tokens", T.IntegerType()).add("token_ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+    schema = with_fields(docs.select(*[col(docs, c) for c in carry]), n_tokens=T.IntegerType(), token_ids=T.ArrayType(T.IntegerType()), round_trip=T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(ranks.value, pattern)
@@ -265,7 +266,7 @@ def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY, *, ids: st
         ranks = spark.sparkContext.broadcast(f.read())
     others = [c for c in tokens.columns if c != ids]
     picked = tokens.select(*[col(tokens, c) for c in others], col(tokens, ids).cast("array<int>").alias("__ids"))
-    schema = tokens.select(*[col(tokens, c) for c in others]).schema.add(into, T.StringType())
+    schema = with_fields(tokens.select(*[col(tokens, c) for c in others]), **{into: T.StringType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(ranks.value, PATTERN)

@@ -21,7 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .shared import byte_slices, col, frugal
+from .shared import byte_slices, col, frugal, with_fields
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
@@ -564,10 +564,11 @@ def extract(pages: DataFrame, *, html: str = "html", carry: tuple[str, ...] = ("
     """Columns ``carry``, then the visible text of every page. No shuffle; whole pages.
 
     Null pages give null, pages without visible text (empty ones too) an empty string;
-    repeated rows are each rendered; depth and length of a page are unbounded.
+    repeated rows are each rendered; depth and length of a page are unbounded; a carried
+    column keeps its name, and the text's gets underscores if it is the same.
     """
     picked = pages.select(*[col(pages, c) for c in carry], col(pages, html).cast("string").alias("__html"))
-    schema = pages.select(*[col(pages, c) for c in carry]).schema.add(into, T.StringType())
+    schema = with_fields(pages.select(*[col(pages, c) for c in carry]), **{into: T.StringType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

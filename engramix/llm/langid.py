@@ -22,9 +22,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .shared import byte_slices, col, frugal, give_back
+from .shared import byte_slices, col, frugal, give_back, with_fields
 
 BUCKET_BITS = 18
 DIMENSIONS = 16
@@ -170,7 +170,8 @@ def lower_tail(values: np.ndarray, alpha: float, share: float = TAIL) -> float:
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_per_label: int = SAMPLE_PER_LABEL, alpha: float = ALPHA, seed: int = SEED) -> LanguageModel | None:
-    """Fit to the labels of ``docs``. The sample is bounded by 2 * ``sample_per_label`` documents of each label, drawn by a hash of their ids.
+    """Fit to the labels of ``docs``. The sample is bounded by 2 * ``sample_per_label`` documents of each label, the first by a hash of id and
+    length; repeated documents count once.
 
     None if no labelled document has a letter.
     """
@@ -179,8 +180,9 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: s
     if not counts:
         return None
     want = 2 * sample_per_label
-    share = F.create_map(*[F.lit(v) for y, n in sorted(counts.items()) for v in (y, int(min(1.0, 1.3 * want / n) * 10**9))])
-    rows = given.filter(F.col("h") < F.element_at(share, F.col("y"))).limit(4 * want * len(counts)).collect()
+    share = F.create_map(*[F.lit(v) for y, n in sorted(counts.items()) for v in (y, int(min(1.0, 4 * want / n) * 10**9))])
+    drawn = given.filter(F.col("h") < F.element_at(share, F.col("y"))).groupBy("y", "h").agg(F.min("x").alias("x"))
+    rows = drawn.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h"))).filter(F.col("k") <= want).collect()
     rows.sort(key=lambda r: (r.y, r.h, r.x))
     first: list = []
     second: list = []
@@ -230,11 +232,12 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, *, text: str =
     size, a few MB) is broadcast and whole texts are scored. Null and empty texts and texts
     without a letter have a null prediction, confidence and coverage 0, and are rejected;
     so is everything if there was nothing to train on. Repeated rows are judged alike, and
-    equal scores take the label that sorts first.
+    equal scores take the label that sorts first. A carried column keeps its name; a new one
+    of the same name gets underscores.
     """
     model = model or fit(docs, text=text, **fitting)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*[col(docs, c) for c in carry]).schema.add("predicted", T.StringType()).add("confidence", T.DoubleType()).add("coverage", T.DoubleType()).add("rejected", T.BooleanType())
+    schema = with_fields(docs.select(*[col(docs, c) for c in carry]), predicted=T.StringType(), confidence=T.DoubleType(), coverage=T.DoubleType(), rejected=T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _OWN: dict[str, str] = {}
 
@@ -94,6 +94,12 @@ def spare_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def with_fields(df: DataFrame, **new: T.DataType) -> T.StructType:
+    """``df``'s schema and the new fields, under names that it doesn't have."""
+    fields = list(df.schema.fields)
+    return T.StructType([*fields, *(T.StructField(spare_name(df, n), t) for n, t in new.items())])
+
+
 def col(df: DataFrame, name: str) -> Column:
     """A column of ``df`` by its exact name, dots and back quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -57,3 +57,12 @@ def test_documents(spark):
     back = bpe.decode_documents(found.select("doc_id", "token_ids")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back if r.text is not None) == [(1, "the theme"), (1, "the theme"), (3, "")]
     assert bpe.encode_documents(docs.limit(0)).collect() == []
+
+
+def test_carried_columns_keep_their_names(spark):
+    docs = spark.createDataFrame([(1, "one two", 7)], "doc_id long, text string, n_tokens int")
+    found = bpe.encode_documents(docs, carry=("doc_id", "n_tokens", "text"))
+    row = found.first()
+    assert found.columns == ["doc_id", "n_tokens", "text", "n_tokens_", "token_ids", "round_trip"] and (row.n_tokens, row.n_tokens_, row.text) == (7, 2, "one two")
+    back = bpe.decode_documents(found).first()
+    assert (back.text, back.text_) == ("one two", "one two")

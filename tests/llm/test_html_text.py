@@ -89,3 +89,8 @@ def test_table_edges(spark):
     rows = html_text.extract(pages).collect()
     assert sorted((r.page_id or 0, r.url or "", r.text if r.text is not None else "NULL") for r in rows) == [(0, "v", ""), (1, "u", "x"), (1, "u", "x"), (2, "", "NULL")]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_carried_columns_keep_their_names(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "own")], "page_id long, html string, text string")
+    assert html_text.extract(pages, carry=("page_id", "text", "html")).collect() == [(1, "own", "<p>a", "a")]
