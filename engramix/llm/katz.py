@@ -5,8 +5,8 @@ every size (only a caller that names ``most_words`` closes it; the others are th
 <unk>). What is known of each word lies in files in the shared folder, sorted by hash, which
 workers map into memory; nothing of it is broadcast or gathered by the driver.
 Bigram counts are gathered by an exchange of each block's distinct bigrams and stored as a
-table of buckets. Bigrams seen less than ``least_count`` times are left out: by default those seen once, as in
-the oracle; with 1 all are stored. Counts up to K are discounted
+table of buckets. All are stored; only a caller that names a higher ``least_count`` leaves the
+rarer ones to backoff. Counts up to K are discounted
 by Good-Turing from the exact counts of counts, and what that frees goes to the words a
 context wasn't stored with:
 
@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import files
-from .shared import WORD, byte_slices, coded_words, col, drop, free_shuffles, fresh_path, frugal, frugal_group, keep, mix64, planes, shuffle_partitions, unplanes
+from .shared import WORD, byte_slices, coded_words, col, drop, enough_parts, free_shuffles, fresh_path, frugal, frugal_group, keep, mix64, planes, settled, shuffle_partitions, spare_name, unplanes
 
 #: Of a word's id; ids 0, 1, 2 are <unk>, </s> and <s>. Two ids make a bigram's key.
 BITS = 31
 K = 5
-LEAST_COUNT = 2
+LEAST_COUNT = 1
 _TINY = 1e-12
 #: Words that a mapper gathers before it sends their bigrams on.
 _BLOCK = 1_000_000
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, most_words: int | None = None, *, text: str = "text", l
     spark = docs.sparkSession
     given = docs.select(col(docs, text).cast("string").alias("text")).filter("text IS NOT NULL")
     v = vocabulary(given, most_words)
-    buckets = 3 * shuffle_partitions(spark)
+    buckets = enough_parts(given, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -337,14 +337,15 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
 
     Defined results: null text gives nulls; a text without a word has one token, its end;
     words outside the vocabulary count as <unk>; repeated rows are each scored; an empty
-    table gives an empty table. logprob and perplexity are rounded to 4 places.
+    table gives an empty table; a carried column keeps its name, and a new one of the same name
+    gets underscores. logprob and perplexity are rounded to 4 places.
     """
     model = model or fit(docs, text=text, least_count=least_count)
     spark = docs.sparkSession
     buckets, d = model.buckets, model.d
     v, weights = model.vocabulary, model.weights
     names = [f"c{i}" for i in range(len(carry))]
-    own = docs.select(*[col(docs, c).alias(n) for c, n in zip(carry, names)], col(docs, text).cast("string").alias("text"))
+    own = settled(docs.select(*[col(docs, c).alias(n) for c, n in zip(carry, names)], col(docs, text).cast("string").alias("text")), "lm-texts")
     ddl = own.select(*names).schema
     schema = own.sparkSession.createDataFrame([], "bucket int, block long, keys binary, texts binary, key long, base double, n long").schema
     for f in ddl:
@@ -400,7 +401,9 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
         out = out.add(f.name, f.dataType, True)
     parts = own.mapInArrow(frugal(run), schema).groupBy("bucket").cogroup(model.bigrams.groupBy("bucket")).applyInArrow(join, out)
     summed = parts.groupBy("key").agg(F.sum("base").alias("logprob"), F.max("n").alias("n_tokens"), *[F.first(c, ignorenulls=True).alias(c) for c in names])
-    return summed.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "n_tokens", F.round("logprob", 4).alias("logprob"), F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 4).alias("perplexity"))
+    carried = docs.select(*[col(docs, c) for c in carry])
+    count, sum_, each = (spare_name(carried, c) for c in ("n_tokens", "logprob", "perplexity"))
+    return summed.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], F.col("n_tokens").alias(count), F.round("logprob", 4).alias(sum_), F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 4).alias(each))
 
 
 def _d_sql(n: str) -> str:

@@ -8,7 +8,7 @@ import pytest
 from engramix.llm import katz
 
 
-def brute(texts):
+def brute(texts, least=katz.LEAST_COUNT):
     """logprob of each text by the formulas, one token at a time."""
     seqs = [["<s>"] + ["w" + x for x in t.split()] + ["</s>"] for t in texts]
     uni = collections.Counter(w for s in seqs for w in s[1:])
@@ -22,7 +22,7 @@ def brute(texts):
     p = {w: disc(d1, c) * c / n for w, c in uni.items()}
     if 1 - sum(p.values()) <= 1e-12:
         p = {w: c / (n + 1) for w, c in uni.items()}
-    stored = {k: disc(d2, c) * c for k, c in big.items() if c >= 2}
+    stored = {k: disc(d2, c) * c for k, c in big.items() if c >= least}
     mass, low = collections.Counter(), collections.Counter()
     for (a, b), m in stored.items():
         mass[a] += m
@@ -47,11 +47,12 @@ def texts():
     return [zipf(rng, rng.randint(0, 60)) for _ in range(150)] + ["", "v1 v1 v1", "v1 v1 v1", "x " * 5000]
 
 
-def test_equals_brute_force(spark, texts):
+@pytest.mark.parametrize("least", [1, 2])
+def test_equals_brute_force(spark, texts, least):
     rows = list(enumerate(texts)) + [(None, "v1 v2"), (900, None)]
     docs = spark.createDataFrame([(i, t, "a", 7) for i, t in rows], "doc_id long, text string, key string, base int").repartition(3)
-    found = katz.score(docs).collect()
-    want = brute([t for _, t in rows if t is not None])
+    found = katz.score(docs, least_count=least).collect()
+    want = brute([t for _, t in rows if t is not None], least)
     assert len(found) == len(rows)
     got = {r.doc_id: r for r in found}
     for (i, t), lp in zip([x for x in rows if x[1] is not None], want):
@@ -60,6 +61,8 @@ def test_equals_brute_force(spark, texts):
         assert got[i].perplexity == pytest.approx(math.exp(-lp / got[i].n_tokens), rel=1e-4)
     assert got[900].n_tokens is None and got[900].logprob is None and got[900].perplexity is None
     assert katz.score(docs.limit(0)).collect() == []
+    clash = katz.score(docs.withColumnRenamed("base", "n_tokens"), carry=("doc_id", "n_tokens"), least_count=least)
+    assert clash.columns == ["doc_id", "n_tokens", "n_tokens_", "logprob", "perplexity"] and {r.n_tokens for r in clash.collect()} == {7}
 
 
 def test_model_adds_up_and_scores_other_texts(spark, texts):
@@ -97,7 +100,7 @@ def test_no_word_is_dropped_beyond_a_million(spark):
         assert found[i] == pytest.approx(lp, rel=1e-7, abs=1e-3)
 
 
-def test_bigrams_seen_once_are_stored_and_discounted_on_request(spark, texts):
+def test_bigrams_seen_once_are_stored_and_discounted(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     seqs = [["<s>"] + ["w" + x for x in t.split()] + ["</s>"] for t in texts]
     big = collections.Counter((a, b) for s in seqs for a, b in zip(s, s[1:]))
@@ -109,6 +112,6 @@ def test_bigrams_seen_once_are_stored_and_discounted_on_request(spark, texts):
         n[k[0]] += c
         m[k[0]] += mass[k]
     t = {a: c + 1 if 1 - m[a] / c <= 1e-12 else c for a, c in n.items()}
-    found = {r.doc_id: r.logprob for r in katz.score(docs, least_count=1).collect()}
+    found = {r.doc_id: r.logprob for r in katz.score(docs).collect()}
     for i, s in enumerate(seqs):
         assert found[i] == pytest.approx(sum(math.log(mass[k] / t[k[0]]) for k in zip(s, s[1:])), abs=1e-3)
