@@ -33,6 +33,12 @@ def semantic(gists: DataFrame, spans: DataFrame, landmarks: DataFrame, companion
     return j.select("signature", F.concat_ws("\n", head, "fact", F.transform(F.coalesce("m", F.array()), lambda x: x["line"]), span).alias("text"))
 
 
+def spans(detail_of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(signature, first_day, last_day, n): since when and until when a gist (signature) has evidence (detail_sig), and how much of it is dated."""
+    d = nodes.filter("source_day IS NOT NULL").select(F.col("signature").alias("detail_sig"), "source_day")
+    return detail_of.select("signature", "detail_sig").join(d, "detail_sig").groupBy("signature").agg(F.min("source_day").alias("first_day"), F.max("source_day").alias("last_day"), F.count("*").alias("n"))
+
+
 def temporal(chronicles: DataFrame, entries: DataFrame, most: int = ENTRIES) -> DataFrame:
     """(node_sig, text): period and notice, then the first and last entries, and how many are left out between."""
     n = F.count("*").over(Window.partitionBy("chronicle_sig"))

@@ -11,7 +11,7 @@ from ..functions.vector import knn_pairs
 from ..sources import plugins
 from ..sources.store import Store, dirty
 from ..sources.tuning import Tuning
-from . import graph, upkeep, weave
+from . import graph, recall, upkeep, weave
 from .graph import cut
 
 ANCHOR = "memory-usage-anchor"
@@ -121,7 +121,9 @@ def woven(store: Store, seq: int, likeness: float = weave.LEAST, high: float = w
     lost = bad.select(F.col("src").alias("src_sig"), "rel", F.col("dst").alias("dst_sig"))
     durable = weave.durable(both, store["evidence_transitions"].join(lost, ["src_sig", "rel", "dst_sig"], "left_anti").select(store["evidence_transitions"].columns))
     nodes = weave.corrected(store["nodes"], sup, at)
-    return repaired(store.having(nodes=nodes, edges=both, evidence_transitions=cut(durable)), at).moved(last_weave_seq=seq)
+    durable = cut(durable)
+    linked = recall.sequence_members(both, durable)
+    return repaired(store.having(nodes=nodes, edges=both, evidence_transitions=durable, chains=cut(linked)), at).moved(last_weave_seq=seq)
 
 
 def fold_aliases(store: Store, aliases: DataFrame) -> Store:

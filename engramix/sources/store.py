@@ -31,6 +31,7 @@ SCHEMAS = {
     "reactivation_families": "family_key string, evidence_seq long, evidence_count long, observed_at timestamp",
     "reactivation_members": "family_key string, member_sig string, evidence_count long, latest_seq long, observed_at timestamp",
     "reactivation_examples": "family_key string, new_sig string, old_sig string, observed_seq long, observed_at timestamp",
+    "chains": "signature string, chain string",
     "reactivation_reviews": "family_key string, decision string, gist_sigs array<string>, reviewed_seq long, reviewed_count long, reviewed_at timestamp, report_id string",
 }
 LANES = ("active", "archive", "chron", "chron_archive")

@@ -87,8 +87,8 @@ def test_restatements_collapse(spark):
 def test_every_parent_keeps_evidence(spark):
     facts_ = [(f"g{k}", f"gist {k}", 0.5, {"notes": "gist"}) for k in range(3)] + [(f"g{k}d{j}", f"detail {k} {j}", 0.2, {"notes": "detail"}) for k in range(3) for j in range(9)]
     n = nodes(spark, facts_)
-    links = spark.createDataFrame([(f"g{k}", f"g{k}d{j}") for k in range(3) for j in range(9)], "parent string, child string")
-    parents = spark.createDataFrame([("g0", 0.9), ("g1", 0.2), ("g2", 0.1)], "signature string, activation double")
+    links = spark.createDataFrame([(f"g{k}", f"g{k}d{j}", -0.001 * j, 0) for k in range(3) for j in range(9)], "parent string, child string, axis_score double, depth int")
+    parents = spark.createDataFrame([("g0", 0.9, "semantic"), ("g1", 0.2, "semantic"), ("g2", 0.1, "temporal")], "signature string, activation double, axis string")
     cos = spark.createDataFrame([(3, 0.9)], "id long, cosine double")
     got = recall.evidence(parents, links, n, cos, ask("x"), per_parent=2).collect()
     assert sorted(r.parent for r in got) == ["g0", "g0", "g1", "g1", "g2", "g2"] and {r.parent for r in got if r["rank"] <= 3} == {"g0", "g1", "g2"}
@@ -137,3 +137,45 @@ def test_bands(spark, seconds, n):
 
     df = spark.createDataFrame([(1, "k", datetime(2024, 1, 1, 0, 0, 0)), (2, "k", datetime(2024, 1, 1, 0, 0, 59)), (3, "k", datetime(2024, 1, 1, 0, 59, 30)), (4, "j", datetime(2024, 1, 1))], "i int, k string, t timestamp")
     assert band_pairs(df, "k", "t", "i", seconds).count() == n
+
+
+def test_the_episode_of_a_day(spark):
+    rows = [("hit", "the budget review moved to Friday", 0.5, {"source_day": date(2024, 6, 20)}), ("far", "garden party", 0.5, {"source_day": date(2024, 6, 1)})]
+    rows += [(f"e{k}", f"budget item {k} was noted", 0.2, {"notes": "detail", "source_day": date(2024, 6, 20)}) for k in range(14)]
+    rows += [("other", "budget item noted elsewhere", 0.2, {"notes": "detail", "source_day": date(2024, 5, 2)}), ("off", "nothing of it", 0.2, {"notes": "detail", "source_day": date(2024, 6, 20)})]
+    n = nodes(spark, rows)
+    s = Store(spark).having(nodes=n, vectors=lane(spark, [(0, "active", unit(0.9)), (1, "active", unit(0.1))]))
+    got = {r.signature: r.tier for r in recall.recall(s, ask("what exact budget items were noted")).collect()}
+    episode = {x for x, t in got.items() if t == "anchor_day"}
+    assert len(episode) == 12 and episode <= {f"e{k}" for k in range(14)}
+    assert "anchor_day" not in {r.tier for r in recall.recall(s, ask("the budget")).collect()}
+    assert "anchor_day" not in {r.tier for r in recall.recall(s, ask("what exact budget items on June 20 2024")).collect()}
+
+
+def test_the_cluster_collapses_and_renders(spark):
+    rows = [("a", "the gate is shut", 0.5, {"source_day": date(2024, 5, 1)}), ("b", "The gate is shut.", 0.5, {"source_day": date(2024, 6, 1)}), ("g", "gates in general", 0.9, {"notes": "gist", "temporal_form": "recurring"})]
+    rows += [(f"d{k}", f"gate number {k} was oiled", 0.3, {"notes": "detail", "source_day": date(2024, 4, k + 1)}) for k in range(3)]
+    links = spark.createDataFrame([(f"d{k}", "g", T0) for k in range(3)], stores.SCHEMAS["detail_of"])
+    marks = spark.createDataFrame([("g", "change", 0, "d1"), ("g", "current", 0, "d2")], stores.SCHEMAS["gist_landmarks"])
+    s = Store(spark).having(nodes=nodes(spark, rows), detail_of=links, gist_landmarks=marks, vectors=lane(spark, [(k, "active", unit(0.9 - k / 10)) for k in range(3)]))
+    got = {r.signature: r for r in recall.recall(s, ask("gate")).collect()}
+    assert "a" not in got and got["b"].statements == 2 and got["b"].observed_since == date(2024, 5, 1)
+    lines = got["g"].rendered.split("\n")
+    assert lines[0].startswith("[semantic memory, recurring]") and lines[1:4] == ["gates in general", "change: gate number 1 was oiled", "current: gate number 2 was oiled"] and lines[4] == "evidence: 3 from 2024-04-01 to 2024-04-03"
+    assert got["b"].rendered is None
+    e = edges(spark, [("a", "mentions", "h"), ("g", "similar_to", "b"), ("b", "similar_to", "a")])
+    assert {(r.src, r.dst) for r in recall.in_cluster(e, spark.createDataFrame([("g",), ("b",)], "signature string")).collect()} == {("g", "b")}
+
+
+def test_landmarks_stand_before_details(spark):
+    n = nodes(spark, [("g", "gist", 0.5, {"notes": "gist"})] + [(f"d{k}", f"piece {k}", 0.2, {"notes": "detail", "source_day": date(2024, 6, k + 1)}) for k in range(8)])
+    marks = spark.createDataFrame([("g", "before", 0, "d0"), ("g", "change", 1, "d1"), ("g", "current", 0, "d2")], stores.SCHEMAS["gist_landmarks"])
+    links = spark.createDataFrame([(f"d{k}", "g", T0) for k in range(8)], stores.SCHEMAS["detail_of"])
+    parents = spark.createDataFrame([("g", 0.5, "semantic")], "signature string, activation double, axis string")
+    none = spark.createDataFrame([], "id long, cosine double")
+    s = Store(spark).having(nodes=n, detail_of=links, gist_landmarks=marks)
+    got = recall.evidence(parents, recall.axis_links(s, parents, [], ask("x")), n, none, ask("x")).orderBy("rank").collect()
+    assert [(r.signature, r.score) for r in got] == [("d1", pytest.approx(0.5 + 0.08 * 2.999)), ("d2", pytest.approx(0.66)), ("d0", pytest.approx(0.58))]
+    s = s.having(gist_landmarks=marks.limit(0))
+    got = recall.evidence(parents, recall.axis_links(s, parents, [], ask("x")), n, none, ask("x")).orderBy("rank").collect()
+    assert [r.signature for r in got] == ["d7", "d6", "d5", "d4"]
