@@ -208,8 +208,11 @@ def is_correction(c: Column) -> Column:
 def entry_score(c: Column, terms: Column) -> Column:
     """Lexical score of a calendar entry: 6 for a composed term, 1.5 for a long one, else 1, if it occurs."""
     low = F.lower(_text(c))
-    weight = lambda t: F.when(t.rlike("[- ]"), 6.0).when(F.length(t) >= 7, 1.5).otherwise(1.0)
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains(low, t), weight(t)).otherwise(0.0))
+    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains(low, t), term_weight(t)).otherwise(0.0))
+
+
+def term_weight(t: Column) -> Column:
+    return F.when(t.rlike("[- ]"), 6.0).when(F.length(t) >= 7, 1.5).otherwise(1.0)
 
 
 def entry_similarity(score: Column) -> Column:

@@ -6,27 +6,30 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Distinct terms that one automaton (about 200 bytes each) holds in a worker.
 MOST_TERMS = 200_000
 
 
-def term_pairs(texts: DataFrame, asked: DataFrame, ident: str, question: str) -> DataFrame:
-    """(ident, question, hits): how many of a question's terms a text holds anywhere, where it holds one.
+def matches(texts: DataFrame, terms: DataFrame, ident: str) -> DataFrame:
+    """(ident, t): the terms (t) that each text holds anywhere.
 
-    ``texts`` is (ident, low), lower-case; ``asked`` (question, terms). The terms go into one
-    automaton that reads each text once; what it finds is joined to the questions by term.
-    With more terms than ``MOST_TERMS`` every text is compared with every question instead.
+    ``texts`` is (ident, low), ``terms`` distinct. The terms go into one automaton that reads
+    each text once; beyond ``MOST_TERMS`` they are cut into as many automata as it takes, by
+    hash, each of which reads the texts again.
     """
-    terms = asked.select(F.explode("terms").alias("t")).distinct()
-    found = [r.t for r in terms.limit(MOST_TERMS + 1).collect()]
-    if len(found) > MOST_TERMS:
-        hit = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t))).cast("long")
-        return texts.crossJoin(asked).select(ident, question, hit.alias("hits")).filter("hits > 0")
-    shared = texts.sparkSession.sparkContext.broadcast(sorted(found))
-    kind = texts.schema[ident]
+    parts = max(1, -(-12 * terms.count() // (10 * MOST_TERMS)))
+    schema = T.StructType([texts.schema[ident], T.StructField("t", T.StringType())])
+    out = None
+    for k in range(parts):
+        own = sorted(r.t for r in (terms if parts == 1 else terms.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k)).select("t").collect())
+        one = texts.select(ident, "low").mapInArrow(_scan(texts.sparkSession.sparkContext.broadcast(own), ident), schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
+def _scan(shared, ident: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = ahocorasick.Automaton()
         for k, t in enumerate(shared.value):
@@ -40,9 +43,11 @@ def term_pairs(texts: DataFrame, asked: DataFrame, ident: str, question: str) ->
                     rows.append(shared.value[n])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(rows, pa.string())], names=[ident, "t"])
 
-    from pyspark.sql.types import StringType, StructType
+    return scan
 
-    schema = StructType([kind]).add("t", StringType())
-    seen = texts.select(ident, "low").mapInArrow(scan, schema)
+
+def term_pairs(texts: DataFrame, asked: DataFrame, ident: str, question: str) -> DataFrame:
+    """(ident, question, hits): how many of a question's terms (question, terms) a text holds, where it holds one."""
     by_term = asked.select(question, F.explode("terms").alias("t"))
+    seen = matches(texts, by_term.select("t").distinct(), ident)
     return seen.join(by_term, "t").groupBy(ident, question).agg(F.count("*").alias("hits"))

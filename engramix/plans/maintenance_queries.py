@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import temporal
 from ..functions.vector import knn_pairs
 from ..operators import chronicles, doctor, graph, ingest, projection, review, upkeep
+from ..sources.store import Store
 from .graph_queries import _MENTIONS, mentions
 from .registry import query, table
 
@@ -83,11 +84,12 @@ def demote_over_cap(spark, sf_dir):
     return upkeep.demoting(f, _protected(f), 500)
 
 
-@query("prune_hubs", "SELECT 'c:' || c_custkey AS signature FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_mktsegment <> 'BUILDING'")
+@query("prune_hubs", "SELECT 'c:' || c_custkey AS signature FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_mktsegment <> 'BUILDING'")
 def prune_hubs(spark, sf_dir):
     """DR9: hubs without mentions and facets."""
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("signature"), F.lit("entity").alias("kind"), "c_mktsegment")
-    return upkeep.unused_hubs(c, mentions(spark, sf_dir), c.filter("c_mktsegment = 'BUILDING'").select(F.col("signature").alias("entity_sig"))).select("signature")
+    open_ = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("c:"), "o_custkey").alias("dst"))
+    return upkeep.unused_hubs(c, open_, c.filter("c_mktsegment = 'BUILDING'").select(F.col("signature").alias("entity_sig"))).select("signature")
 
 
 @query("housekeeping", "SELECT event_id, event_type FROM events WHERE (event_type = 'click' AND ts >= TIMESTAMP '2024-03-15' - INTERVAL 60 DAY) OR (event_type <> 'click' AND ts >= TIMESTAMP '2024-02-14' - INTERVAL 30 DAY)")
@@ -138,9 +140,9 @@ def merge_clusters(spark, sf_dir):
     return review.merge_clusters(k.select(F.col("vec_id").alias("seed"), F.col("neighbour_id").alias("member")), lab.select(F.col("vec_id").alias("signature")))
 
 
-@query("merge_reject_reasons", """WITH m AS (SELECT l_orderkey AS decision, l_partkey AS member FROM lineitem), d AS (SELECT o_orderkey AS decision, o_custkey AS survivor, o_orderpriority AS form FROM orders)
+@query("merge_reject_reasons", """WITH m AS (SELECT l_orderkey AS decision, l_partkey AS member FROM lineitem), d AS (SELECT o_orderkey AS decision, CASE WHEN o_orderstatus = 'F' THEN coalesce(first, -1) ELSE o_custkey END AS survivor, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'recurring' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_orderpriority END AS form FROM orders LEFT JOIN (SELECT decision, min(member) AS first FROM m GROUP BY 1) f ON f.decision = o_orderkey)
 SELECT decision, 'insufficient_members' AS reason FROM d LEFT JOIN (SELECT decision, count(DISTINCT member) AS n FROM m GROUP BY 1) USING (decision) WHERE coalesce(n, 0) < 2
-UNION ALL SELECT decision, 'invalid_temporal_form' FROM d
+UNION ALL SELECT decision, 'invalid_temporal_form' FROM d WHERE form NOT IN ('atemporal', 'trajectory', 'recurring', 'period-bound')
 UNION ALL SELECT DISTINCT decision, 'stale_member' FROM m WHERE member NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)
 UNION ALL SELECT decision, 'cross_cluster' FROM m LEFT JOIN (SELECT p_partkey AS member, p_brand FROM part WHERE p_size > 5) USING (member) GROUP BY 1 HAVING count(DISTINCT p_brand) > 1 OR bool_or(p_brand IS NULL)
 UNION ALL SELECT decision, 'malformed_decision' FROM d JOIN m USING (decision) GROUP BY decision, survivor HAVING NOT bool_or(member = survivor)
@@ -148,7 +150,10 @@ UNION ALL SELECT DISTINCT decision, 'overlapping_decisions' FROM (SELECT DISTINC
 def merge_reject_reasons(spark, sf_dir):
     """RA7: why merge decisions are turned down; orders as decisions over parts."""
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision"), F.col("l_partkey").alias("member"))
-    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision"), F.col("o_custkey").alias("survivor"), F.col("o_orderpriority").alias("form"))
+    first = m.groupBy("decision").agg(F.min("member").alias("first"))
+    form = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), "recurring").when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority"))
+    d = table(spark, sf_dir, "orders").withColumn("decision", F.col("o_orderkey")).join(first, "decision", "left")
+    d = d.select("decision", F.when(F.col("o_orderstatus") == "F", F.coalesce("first", F.lit(-1).cast("long"))).otherwise(F.col("o_custkey")).alias("survivor"), form.alias("form"))
     p = table(spark, sf_dir, "part").filter("p_size > 5")
     return review.merge_faults(d, m, p.select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("member")), p.select(F.col("p_partkey").alias("signature")))
 
@@ -254,34 +259,92 @@ def chronicle_coverage(spark, sf_dir):
 _SKY = "SELECT 'd:' || CAST(d AS VARCHAR) AS node_sig, 'day' AS resolution, d AS s, d AS e FROM o UNION ALL SELECT 'm:' || CAST(CAST(date_trunc('month', d) AS DATE) AS VARCHAR), 'month', CAST(date_trunc('month', d) AS DATE), CAST(date_trunc('month', d) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) FROM o"
 
 
-@query("chronicle_skyline", f"WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), c AS (SELECT DISTINCT * FROM ({_SKY})) SELECT DISTINCT a.node_sig, a.resolution FROM c a JOIN c b ON b.s <= a.s AND b.e >= a.e AND b.resolution = 'month' AND a.resolution = 'day' WHERE date_diff('day', a.e, DATE '2001-08-01') > 14")
+@query("chronicle_skyline", """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS st FROM orders), days AS (SELECT DISTINCT d FROM o), months AS (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS m FROM days WHERE month(d) % 2 = 0),
+e AS (SELECT d, o_orderkey, bool_or(st = 'F') AS coarse FROM o GROUP BY ALL), covered AS (SELECT d FROM e GROUP BY d HAVING bool_and(coarse))
+SELECT 'd:' || d AS node_sig, 'day' AS resolution FROM days WHERE date_diff('day', d, DATE '2001-08-01') > 14 AND (date_trunc('month', d) IN (SELECT m FROM months) OR d IN (SELECT d FROM covered))""")
 def chronicle_skyline(spark, sf_dir):
-    """DR11, JN6: days that their month stands for by now."""
-    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
-    day = d.select(F.concat(F.lit("d:"), F.col("d").cast("string")).alias("node_sig"), F.lit("day").alias("resolution"), F.col("d").alias("period_start"), F.col("d").alias("period_end"))
+    """DR11, JN6: days that their month stands for by now, or coarser ones that rest on all their evidence; only even months have a chronicle, and quarters, dated after what they rest on, have the finished orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), "o_orderstatus")
+    sig = F.concat(F.lit("d:"), F.col("d").cast("string"))
+    d = o.select("d").distinct()
+    day = d.select(sig.alias("node_sig"), F.lit("day").alias("resolution"), F.col("d").alias("period_start"), F.col("d").alias("period_end"))
     start = temporal.period_start("month", F.col("d"))
-    month = d.select(F.concat(F.lit("m:"), start.cast("string")).alias("node_sig"), F.lit("month").alias("resolution"), start.alias("period_start"), temporal.period_end("month", F.col("d")).alias("period_end")).distinct()
-    c = day.unionByName(month).withColumn("salience_score", F.lit(None).cast("double"))
-    none = spark.createDataFrame([], "chronicle_sig string, evidence_sig string")
-    return upkeep.skyline(c, none, F.lit("2001-08-01").cast("date"))
-
-
-@query("doctor_audit", """SELECT 'duplicate_edges' AS invariant, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS faults FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_partkey, l_returnflag, l_suppkey HAVING count(*) > 1)
-UNION ALL SELECT 'dangling_edges', count(*) FROM (SELECT DISTINCT l_partkey, l_returnflag, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0))
-UNION ALL SELECT 'fact_islands', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
-UNION ALL SELECT 'bad_vector_dimensions', count(*) FROM embeddings WHERE len(embedding) <> 64
-UNION ALL SELECT 'facts_without_vector', count(*) FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)
-UNION ALL SELECT 'orphan_active_vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)""")
+    month = d.filter("month(d) % 2 = 0").select(F.concat(F.lit("m:"), start.cast("string")).alias("node_sig"), F.lit("month").alias("resolution"), start.alias("period_start"), temporal.period_end("month", F.col("d")).alias("period_end")).distinct()
+    quarter = F.trunc("d", "quarter")
+    name = F.concat(F.lit("q:"), quarter.cast("string"))
+    late = F.add_months(quarter, 2400)
+    coarse = d.select(name.alias("node_sig"), F.lit("quarter").alias("resolution"), late.alias("period_start"), F.last_day(F.add_months(late, 2)).alias("period_end")).distinct()
+    c = day.unionByName(month).unionByName(coarse).withColumn("salience_score", F.lit(None).cast("double"))
+    piece = F.concat(F.lit("o:"), "o_orderkey").alias("evidence_sig")
+    evidence = o.select(sig.alias("chronicle_sig"), piece).unionByName(o.filter("o_orderstatus = 'F'").select(name.alias("chronicle_sig"), piece))
+    return upkeep.skyline(c, evidence, F.lit("2001-08-01").cast("date"))
+
+
+_AUDIT = """WITH facts AS (SELECT p_partkey AS id, 'p:' || p_partkey AS signature, CASE WHEN p_size > 45 THEN 'archive' WHEN p_size <= 5 THEN 'gist' END AS notes, CASE WHEN p_size % 10 = 0 THEN p_brand ELSE '' END AS memory_id, DATE '1995-01-01' + CAST(p_partkey % 300 AS INTEGER) AS day FROM part),
+chron AS (SELECT -1000000 - n_nationkey AS id, 'n:' || n_nationkey AS signature, CASE WHEN n_regionkey = 0 THEN 'archive' ELSE 'chronicle' END AS notes, n_nationkey AS k FROM nation),
+nodes AS (SELECT id, signature FROM facts UNION ALL SELECT -s_suppkey - 1, 's:' || s_suppkey FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT id, signature FROM chron), own AS (SELECT * FROM facts WHERE notes IS NULL OR notes <> 'archive'),
+edges AS (SELECT 'p:' || l_partkey AS src, l_returnflag AS rel, 's:' || l_suppkey AS dst FROM lineitem),
+vectors AS (SELECT vec_id AS id, CASE WHEN label % 4 = 3 THEN 'archive' ELSE 'active' END AS lane, len(embedding) AS n FROM embeddings UNION ALL SELECT id, CASE k % 3 WHEN 0 THEN 'chron' WHEN 1 THEN 'chron_archive' ELSE 'active' END, 1 FROM chron),
+c AS (SELECT signature AS node_sig, k, DATE '1995-01-01' + CAST(30 * (k % 5) AS INTEGER) AS s, DATE '1995-01-30' + CAST(30 * (k % 5) AS INTEGER) AS e, k AS version, k % 4 AS covered FROM chron WHERE k <> 7 UNION ALL SELECT 'n:99', 99, DATE '1995-01-01', DATE '1995-01-30', 99, 1),
+entries AS (SELECT signature AS sig FROM chron WHERE k % 6 <> 0), facets AS (SELECT 's:' || k AS entity FROM chron),
+ev AS (SELECT DISTINCT 'n:' || (l_suppkey % 27) AS ch, 'p:' || (l_partkey * 2) AS ev FROM lineitem WHERE l_quantity > 45), marks AS (SELECT DISTINCT 'p:' || l_partkey AS g, 'p:' || (l_partkey * 2) AS ev FROM lineitem WHERE l_quantity > 48),
+moves AS (SELECT 'p:' || l_partkey AS a, 'p:' || (l_partkey * CASE WHEN l_quantity < 3 THEN 2 ELSE 1 END) AS b FROM lineitem WHERE l_quantity <= 3), under AS (SELECT DISTINCT 'p:' || l_suppkey AS g FROM lineitem WHERE l_quantity = 10),
+family AS (SELECT o_custkey % 40 AS f FROM orders), live AS (SELECT * FROM chron WHERE notes <> 'archive'), cold AS (SELECT * FROM chron WHERE notes = 'archive'), s AS (SELECT signature FROM nodes)
+SELECT 'fact_islands' AS invariant, count(*) AS faults FROM own WHERE signature NOT IN (SELECT src FROM edges)
+UNION ALL SELECT 'dangling_edges', count(*) FROM (SELECT DISTINCT * FROM edges WHERE dst NOT IN (FROM s) OR src NOT IN (FROM s))
+UNION ALL SELECT 'facts_without_vector', count(*) FROM own WHERE id NOT IN (SELECT id FROM vectors WHERE lane = 'active')
+UNION ALL SELECT 'active_facts_in_archive', count(*) FROM own WHERE id IN (SELECT id FROM vectors WHERE lane = 'archive')
+UNION ALL SELECT 'orphan_active_vectors', count(*) FROM vectors WHERE lane = 'active' AND id NOT IN (SELECT id FROM nodes)
+UNION ALL SELECT 'orphan_archive_vectors', count(*) FROM vectors WHERE lane = 'archive' AND id NOT IN (SELECT id FROM nodes)
+UNION ALL SELECT 'bad_vector_dimensions', count(*) FROM vectors WHERE n <> 64
+UNION ALL SELECT 'duplicate_edges', (SELECT count(*) FROM edges) - (SELECT count(*) FROM (SELECT DISTINCT * FROM edges))
+UNION ALL SELECT 'duplicate_memory_ids', count(*) - count(DISTINCT memory_id) FROM facts WHERE memory_id <> ''
+UNION ALL SELECT 'example_overflow', count(*) FROM (SELECT f FROM family GROUP BY f HAVING count(*) > 40)
+UNION ALL SELECT 'dangling_landmarks', count(*) FROM marks WHERE g NOT IN (FROM s) OR ev NOT IN (FROM s)
+UNION ALL SELECT 'invalid_transitions', count(*) FROM (SELECT DISTINCT * FROM moves WHERE a = b OR a NOT IN (FROM s) OR b NOT IN (FROM s))
+UNION ALL SELECT 'dangling_chronicle_evidence', count(*) FROM ev WHERE ev NOT IN (FROM s) OR ch NOT IN (SELECT node_sig FROM c)
+UNION ALL SELECT 'dangling_chronicle_entities', count(*) FROM facets WHERE entity NOT IN (FROM s)
+UNION ALL SELECT 'invalid_chronicle_metadata', (SELECT count(*) FROM chron WHERE signature NOT IN (SELECT node_sig FROM c)) + (SELECT count(*) FROM c WHERE node_sig NOT IN (SELECT signature FROM chron)) + (SELECT count(*) FROM c WHERE node_sig NOT IN (SELECT sig FROM entries))
+UNION ALL SELECT 'incomplete_coverage', count(*) FROM c WHERE covered <> (SELECT count(*) FROM ev WHERE ch = node_sig)
+UNION ALL SELECT 'derived_without_evidence', (SELECT count(*) FROM facts WHERE notes = 'gist' AND signature NOT IN (SELECT g FROM under)) + (SELECT count(*) FROM live WHERE signature NOT IN (SELECT ch FROM ev))
+UNION ALL SELECT 'out_of_period_evidence', count(*) FROM ev JOIN c ON node_sig = ch JOIN facts ON signature = ev.ev WHERE day < s OR day > e
+UNION ALL SELECT 'stale_active_versions', count(*) FROM c JOIN live ON signature = node_sig WHERE version < (SELECT max(x.version) FROM c x WHERE x.s = c.s)
+UNION ALL SELECT 'chronicle_main_lanes', (SELECT count(*) FROM live WHERE k % 3 <> 2) + (SELECT count(*) FROM cold) + (SELECT count(*) FROM cold WHERE k % 3 = 2)
+UNION ALL SELECT 'chronicle_own_lanes', (SELECT count(*) FROM live WHERE k % 3 <> 0) + (SELECT count(*) FROM live WHERE k % 3 = 1) + (SELECT count(*) FROM cold WHERE k % 3 <> 1) + (SELECT count(*) FROM cold WHERE k % 3 = 0)"""
+
+
+def _damaged(spark, sf_dir):
+    """A store with faults of every kind: parts as facts, suppliers as hubs, nations as chronicles."""
+    part, sup, nation, li = (table(spark, sf_dir, x) for x in ("part", "supplier", "nation", "lineitem"))
+    p = lambda c: F.concat(F.lit("p:"), c)
+    k, n = F.col("n_nationkey"), F.concat(F.lit("n:"), "n_nationkey")
+    size = F.col("p_size")
+    nodes = part.select(F.col("p_partkey").alias("id"), p("p_partkey").alias("signature"), F.lit("fact").alias("kind"), F.when(size > 45, "archive").when(size <= 5, "gist").alias("notes"), F.when(size % 10 == 0, F.col("p_brand")).otherwise("").alias("memory_id"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int")).alias("source_day"))
+    nodes = nodes.unionByName(sup.filter("s_acctbal > 0").select((-F.col("s_suppkey") - 1).alias("id"), F.concat(F.lit("s:"), "s_suppkey").alias("signature"), F.lit("entity").alias("kind")), allowMissingColumns=True)
+    chron = nation.select((-k - 1_000_000).cast("long").alias("id"), n.alias("signature"), F.lit("chronicle").alias("kind"), F.when(F.col("n_regionkey") == 0, "archive").otherwise("chronicle").alias("notes"), k.alias("k"))
+    lane = F.when(F.col("k") % 3 == 0, "chron").when(F.col("k") % 3 == 1, "chron_archive").otherwise("active")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 4 == 3, "archive").otherwise("active").alias("lane"), "embedding").unionByName(chron.select("id", lane.alias("lane"), F.array(F.lit(1.0).cast("float")).alias("embedding")))
+    dated = chron.filter("k <> 7").select("signature", "k").unionByName(spark.createDataFrame([("n:99", 99)], "signature string, k int"))
+    start = F.date_add(F.lit("1995-01-01").cast("date"), F.when(F.col("k") == 99, 0).otherwise(30 * (F.col("k") % 5)).cast("int"))
+    chronicles = dated.select(F.col("signature").alias("node_sig"), F.lit("month").alias("resolution"), start.alias("period_start"), F.date_add(start, 29).alias("period_end"), F.col("k").alias("version"), F.when(F.col("k") == 99, 1).otherwise(F.col("k") % 4).alias("covered_event_count"))
+    some = li.filter("l_quantity <= 3")
+    return Store(spark).having(
+        nodes=nodes.unionByName(chron.drop("k"), allowMissingColumns=True), vectors=vectors, chronicles=chronicles,
+        edges=li.select(p("l_partkey").alias("src"), F.col("l_returnflag").alias("rel"), F.concat(F.lit("s:"), "l_suppkey").alias("dst")),
+        chronicle_entries=chron.filter("k % 6 <> 0").select(F.col("signature").alias("chronicle_sig"), F.lit(0).alias("ordinal")),
+        chronicle_entry_entities=chron.select(F.col("signature").alias("chronicle_sig"), F.lit(0).alias("entry_ordinal"), F.concat(F.lit("s:"), "k").alias("entity_sig")),
+        chronicle_evidence=li.filter("l_quantity > 45").select(F.concat(F.lit("n:"), F.col("l_suppkey") % 27).alias("chronicle_sig"), F.lit(0).alias("entry_ordinal"), p(F.col("l_partkey") * 2).alias("evidence_sig")).distinct(),
+        gist_landmarks=li.filter("l_quantity > 48").select(p("l_partkey").alias("gist_sig"), F.lit("change").alias("role"), F.lit(0).alias("ordinal"), p(F.col("l_partkey") * 2).alias("evidence_sig")).distinct(),
+        evidence_transitions=some.select(p("l_partkey").alias("src_sig"), F.lit("sequence").alias("rel"), p(F.col("l_partkey") * F.when(F.col("l_quantity") < 3, 2).otherwise(1)).alias("dst_sig")),
+        detail_of=li.filter("l_quantity = 10").select(p("l_partkey").alias("detail_sig"), p("l_suppkey").alias("gist_sig")).distinct(),
+        reactivation_examples=table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).cast("string").alias("family_key"), F.col("o_orderkey").cast("string").alias("new_sig")),
+    )
+
+
+@query("doctor_audit", _AUDIT)
 def doctor_audit(spark, sf_dir):
-    """RA15: the audit's counters over parts as facts, suppliers as hubs and items as edges, with faults."""
-    part, sup, v = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "embeddings")
-    n = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("p:"), "p_partkey").alias("signature"), F.lit("fact").alias("kind"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("memory_id"))
-    hubs = sup.filter("s_acctbal > 0").select((-F.col("s_suppkey") - 1).alias("id"), F.concat(F.lit("s:"), "s_suppkey").alias("signature"), F.lit("entity").alias("kind"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("string").alias("memory_id"))
-    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p:"), "l_partkey").alias("src"), F.col("l_returnflag").alias("rel"), F.concat(F.lit("s:"), "l_suppkey").alias("dst"))
-    from ..sources.store import Store
-
-    store = Store(spark).having(nodes=n.unionByName(hubs), edges=e, vectors=v.select(F.col("vec_id").alias("id"), F.lit("active").alias("lane"), "embedding"))
-    return doctor.audit(store, 64, only=("duplicate_edges", "dangling_edges", "fact_islands", "bad_vector_dimensions", "facts_without_vector", "orphan_active_vectors"))
+    """RA15, DC1-DC21: all of the audit's counters, over a store with faults of every kind."""
+    return doctor.audit(_damaged(spark, sf_dir), 64)
 
 
 @query("pairwise_cosine", "SELECT label, count(*) AS pairs, round(avg(c), 6) AS mean, count(*) FILTER (c > 0.3) AS collapsed FROM (SELECT a.label, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) GROUP BY label")

@@ -54,17 +54,6 @@ def island_rescue(spark, sf_dir):
     return weave.rescue(pairs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("signature")), linked)
 
 
-# an order corrects an older one of the customer if it is near in price and not the same
-@query("supersede_links", "WITH p AS (SELECT a.o_orderkey AS src, b.o_orderkey AS dst, 1 - abs(a.o_totalprice - b.o_totalprice) / greatest(a.o_totalprice, b.o_totalprice) AS s FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate WHERE a.o_orderstatus = 'F'), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS k FROM p WHERE s >= 0.5 AND s <= 0.96) SELECT src, dst, 0.9 AS weight FROM r WHERE k = 1".replace("0.9 AS", "0.9::DOUBLE AS"))
-def supersede_links(spark, sf_dir):
-    """WV7: the best older candidate of each correction."""
-    o = table(spark, sf_dir, "orders")
-    near = o.alias("a").join(o.alias("b"), (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("b.o_orderdate") < F.col("a.o_orderdate"))).filter("a.o_orderstatus = 'F'")
-    sim = 1 - F.abs(F.col("a.o_totalprice") - F.col("b.o_totalprice")) / F.greatest("a.o_totalprice", "b.o_totalprice")
-    c = near.select(F.col("a.o_orderkey").alias("src"), F.col("b.o_orderkey").alias("dst"), sim.alias("cosine"), F.lit(1.0).alias("jaccard"), F.lit(False).alias("shared_hub"), F.lit(False).alias("same_scope"))
-    return weave.supersedes(c).select("src", "dst", "weight")
-
-
 @query("activation_rank", f"WITH f AS (SELECT vec_id, cosine, strength, superseded FROM (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS cosine, label / 10.0::DOUBLE AS strength, label = 3 AS superseded FROM embeddings, {_QUESTION})), a AS (SELECT vec_id, cosine, round(cosine + CASE WHEN cosine >= 0.3 THEN 0.2 * strength ELSE 0 END - CASE WHEN superseded THEN 0.15 ELSE 0 END, 6) AS activation FROM f) SELECT vec_id, cosine, activation, row_number() OVER (ORDER BY activation DESC, cosine DESC, vec_id) AS place FROM a ORDER BY place LIMIT 50")
 def activation_rank(spark, sf_dir):
     """SC29, WN3, RC18: the first fifty by activation for one question."""
@@ -99,14 +88,32 @@ def superseded_by(spark, sf_dir):
     return recall.successors(a, b)
 
 
-@query("evidence_quota", "WITH s AS (SELECT l_orderkey AS parent, l_partkey AS child, round(max(l_discount), 6) AS score FROM lineitem GROUP BY 1, 2), a AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, child) AS parent_rank FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY parent_rank, score DESC, parent) AS k FROM a WHERE parent_rank <= 4) SELECT parent, child, parent_rank FROM b WHERE k = 1")
+_LEFT = "SELECT 'o:' || l_orderkey AS parent, 'p:' || l_partkey AS child, round(max(l_discount), 6) AS axis_score, CAST(min(l_linenumber) AS INTEGER) AS depth FROM lineitem GROUP BY 1, 2"
+
+
+@query("evidence_quota", f"""WITH l AS ({_LEFT}), p AS (SELECT 'o:' || o_orderkey AS parent, round(o_totalprice / 1e6, 6) AS activation, CASE WHEN o_orderstatus = 'F' THEN 'temporal' ELSE 'semantic' END AS axis FROM orders),
+a AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY activation DESC, parent) = 1 AS f FROM p), c AS (SELECT *, row_number() OVER (ORDER BY activation DESC, axis, parent) - 1 AS place FROM (SELECT * FROM a ORDER BY f DESC, activation DESC, axis, parent LIMIT 6)),
+j AS (SELECT c.parent, child, place, axis_score, depth, round(activation + 0.15 * round(p_size / 100.0::DOUBLE, 6) + 0.08 * axis_score + CASE WHEN DATE '1995-01-01' + CAST(p_partkey % 300 AS INTEGER) BETWEEN DATE '1995-06-01' AND DATE '1995-06-30' THEN 0.08 ELSE 0 END - 0.02 * depth - 0.005 * place, 6) AS score, DATE '1995-01-01' + CAST(p_partkey % 300 AS INTEGER) AS day FROM c JOIN l USING (parent) JOIN part ON child = 'p:' || p_partkey),
+s AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY axis_score DESC, depth, day DESC, child) = 1 AS sure FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY sure DESC, score DESC, axis_score DESC, depth, child) AS parent_rank FROM s QUALIFY parent_rank <= 4)
+SELECT child AS signature, parent, score, CAST(parent_rank AS INTEGER) AS parent_rank, CAST(row_number() OVER (ORDER BY sure DESC, CASE WHEN sure THEN place END, score DESC, place, axis_score DESC, depth, child, parent) AS INTEGER) AS rank FROM r QUALIFY rank <= 24""")
 def evidence_quota(spark, sf_dir):
-    """WN6, RC17: each parent's four best pieces of evidence, each piece under its best parent."""
-    from pyspark.sql import Window
+    """WN6, RC17: the evidence reserved under the most active orders: first the best of each, then by score."""
+    o, li, p = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part"))
+    links = li.groupBy(F.concat(F.lit("o:"), "l_orderkey").alias("parent"), F.concat(F.lit("p:"), "l_partkey").alias("child")).agg(F.round(F.max("l_discount"), 6).alias("axis_score"), F.min("l_linenumber").cast("int").alias("depth"))
+    parents = o.select(F.concat(F.lit("o:"), "o_orderkey").alias("signature"), F.round(F.col("o_totalprice") / 1e6, 6).alias("activation"), F.when(F.col("o_orderstatus") == "F", "temporal").otherwise("semantic").alias("axis"))
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int"))
+    n = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("p:"), "p_partkey").alias("signature"), F.lit("fact").alias("kind"), F.col("p_name").alias("fact"), day.alias("source_day"), F.lit(None).cast("timestamp").alias("first_seen"))
+    cos = p.select(F.col("p_partkey").alias("id"), F.round(F.col("p_size") / 100.0, 6).alias("cosine"))
+    return recall.evidence(parents, links, n, cos, recall.Question("June 1995", (1.0,), date(2001, 8, 1)))
+
 
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("child")).agg(F.round(F.max("l_discount"), 6).alias("score"))
-    a = s.withColumn("parent_rank", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("score"), "child")).cast("long")).filter("parent_rank <= 4")
-    return a.withColumn("k", F.row_number().over(Window.partitionBy("child").orderBy("parent_rank", F.desc("score"), "parent"))).filter("k = 1").select("parent", "child", "parent_rank")
+@query("in_cluster_edges", "WITH c AS (SELECT l_partkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_partkey LIMIT 80), h AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 40) SELECT 'p:' || l_partkey AS src, l_returnflag AS rel, 's:' || l_suppkey AS dst, l_quantity AS weight FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM c) AND l_suppkey IN (SELECT l_suppkey FROM h)")
+def in_cluster_edges(spark, sf_dir):
+    """JN19, RC13: the edges with both ends in a cluster, here the busiest parts and suppliers."""
+    li = table(spark, sf_dir, "lineitem")
+    top = lambda c, mark, n: li.groupBy(c).count().orderBy(F.desc("count"), c).limit(n).select(F.concat(F.lit(mark), c).alias("signature"))
+    e = li.select(F.concat(F.lit("p:"), "l_partkey").alias("src"), F.col("l_returnflag").alias("rel"), F.concat(F.lit("s:"), "l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"))
+    return recall.in_cluster(e, top("l_partkey", "p:", 80).unionByName(top("l_suppkey", "s:", 40)))
 
 
 @query("viz_projection_3d", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), r AS (SELECT vec_id, sum(v * sin(i * 12.9898::DOUBLE)) AS x, sum(v * sin(i * 20.1198::DOUBLE)) AS y, sum(v * sin(i * 27.2498::DOUBLE)) AS z FROM e GROUP BY 1), w AS (SELECT vec_id, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y, (z - avg(z) OVER ()) / stddev_pop(z) OVER () AS z FROM r), m AS (SELECT max(sqrt(x * x + y * y + z * z)) AS r FROM w) SELECT vec_id, round(x * 210 / r, 3) AS x, round(y * 210 / r, 3) AS y, round(z * 210 / r, 3) AS z FROM w, m")
@@ -129,7 +136,7 @@ def document_store(spark, sf_dir) -> Store:
 def recall_cluster(spark, sf_dir):
     """RC1-RC20, entry A: one question against all documents."""
     words = table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()[0]
-    q = recall.Question(words[:200] + " last month", tuple(_question(spark, sf_dir)), date(2024, 6, 30))
+    q = recall.Question(words + " last month", tuple(_question(spark, sf_dir)), date(2024, 6, 30))
     return recall.recall(document_store(spark, sf_dir), q)
 
 

@@ -62,14 +62,14 @@ def corpus_entities(spark, sf_dir):
     return entities.new_hubs(f, none.select("signature"), none.select("sig"))
 
 
-_FORM = "SELECT DISTINCT regexp_extract(lower(text), '[a-z0-9]{4,}') AS form FROM benchmark"
+_FORM = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS form FROM benchmark"
 
 
 @query("vocabulary_mentions", f"WITH v AS ({_FORM}) SELECT 'd:' || doc_id AS src, 'topic:' || form AS dst FROM (SELECT doc_id, ' ' || {NORM.format('text')} || ' ' AS n FROM documents), v WHERE form <> '' AND contains(n, ' ' || form || ' ')")
 def vocabulary_mentions(spark, sf_dir):
     """JN18, SC17, WV3: documents that name a hub by one of its forms."""
-    form = F.regexp_extract(F.lower("text"), "[a-z0-9]{4,}", 0)
-    hubs = table(spark, sf_dir, "benchmark").select(form.alias("f")).filter("f <> ''").distinct().select(F.concat(F.lit("topic:"), "f").alias("signature"), F.array("f").alias("forms"))
+    form = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)))
+    hubs = table(spark, sf_dir, "benchmark").select(form.alias("f")).distinct().select(F.concat(F.lit("topic:"), "f").alias("signature"), F.array("f").alias("forms"))
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d:"), "doc_id").alias("signature"), F.col("text").alias("fact"))
     return weave.co_mentions(docs, weave.vocabulary(hubs), longest=1)
 

@@ -43,25 +43,26 @@ def significant_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.significant_terms(F.col("text")), " ").alias("terms"))
 
 
-_ITEM = f"SELECT item_id, ({distinct_in_order(_TERMS.format('text'))})[1:6] AS terms FROM benchmark"
+_ITEM = f"SELECT item_id, ({distinct_in_order(_TERMS.format('text'))})[1:10] AS terms FROM benchmark"
+_EIGHT = _ITEM.replace("[1:10]", "[1:8]")
 
 
 @query("lexical_hits", f"WITH q AS ({_ITEM}), hits AS (SELECT doc_id, item_id, len(list_filter(terms, lambda t: contains(lower(text), t)))::BIGINT AS hits, len(terms)::BIGINT AS terms FROM documents, q) SELECT doc_id, item_id, hits FROM hits WHERE terms >= 2 AND hits >= greatest(2, ceil(0.4 * terms))")
 def lexical_hits(spark, sf_dir):
     """FLT6, RC2: documents that hold enough of a question's terms."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", text.significant_terms(F.col("text"), 6).alias("terms"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", text.significant_terms(F.col("text")).alias("terms"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
     hits = lexical.term_pairs(docs, asked, "doc_id", "item_id").join(asked.select("item_id", F.size("terms").alias("n")), "item_id")
     return hits.filter((F.col("n") >= 2) & (F.col("hits") >= F.greatest(F.lit(2), F.ceil(0.4 * F.col("n"))))).select("doc_id", "item_id", "hits")
 
 
-@query("phrase_hits", f"WITH q AS ({_ITEM}), p AS (SELECT item_id, list_transform(generate_series(1, len(terms) - 1), lambda i: terms[i] || ' ' || terms[i + 1]) || list_transform(generate_series(1, len(terms) - 2), lambda i: terms[i] || ' ' || terms[i + 1] || ' ' || terms[i + 2]) AS phrases FROM q), h AS (SELECT doc_id, item_id, len(list_filter(phrases, lambda x: contains(m, ' ' || x || ' ')))::BIGINT AS hits FROM (SELECT doc_id, ' ' || {_MATCH.format('text')} || ' ' AS m FROM documents), p) SELECT * FROM h WHERE hits > 0")
+@query("phrase_hits", f"WITH q AS ({_EIGHT}), p AS (SELECT item_id, list_transform(generate_series(1, len(terms) - 1), lambda i: terms[i] || ' ' || terms[i + 1]) || list_transform(generate_series(1, len(terms) - 2), lambda i: terms[i] || ' ' || terms[i + 1] || ' ' || terms[i + 2]) AS phrases FROM q), h AS (SELECT doc_id, item_id, len(list_filter(phrases, lambda x: contains(m, ' ' || x || ' ')))::BIGINT AS hits FROM (SELECT doc_id, ' ' || {_MATCH.format('text')} || ' ' AS m FROM documents), p) SELECT * FROM h WHERE hits > 0")
 def phrase_hits(spark, sf_dir):
     """SC7, SC8: whole phrases of two and three terms that a document shares with a question."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", text.phrases(text.significant_terms(F.col("text"), 6)).alias("phrases"))
-    asked = F.broadcast(asked) if asked.count() <= 10_000 else asked
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.padded(F.col("text")).alias("padded"))
-    return docs.crossJoin(asked).select("doc_id", "item_id", text.phrase_hits(F.col("padded"), F.col("phrases")).alias("hits")).filter("hits > 0")
+    sought = text.phrases(text.significant_terms(F.col("text"), 8))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.transform(sought, lambda p: F.concat(F.lit(" "), p, F.lit(" "))).alias("terms"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.padded(F.col("text")).alias("low"))
+    return lexical.term_pairs(docs, asked, "doc_id", "item_id")
 
 
 _PAIRS = f"WITH w AS (SELECT conv_id, turn, {CONTENT.format('text')} AS c, {NORM.format('text')} AS n FROM conversations), p AS (SELECT a.conv_id, a.turn, a.c AS x, b.c AS y FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
@@ -184,13 +185,14 @@ def reactivation_effect(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scoring.promotion_threshold(fit).alias("needed"), F.round(scoring.reactivation_boost(fit, F.col("l_quantity")), 6).alias("boost"), F.round(scoring.vagueness(dropped, F.col("l_quantity"), F.col("l_discount"), F.col("l_quantity")), 6).alias("vagueness"))
 
 
-@query("entry_scores", f"WITH q AS (SELECT ({distinct_in_order(_TERMS.format('text'))})[1:6] AS terms, item_id FROM benchmark), s AS (SELECT turn, conv_id, item_id, list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(text), t) THEN CASE WHEN contains(t, '-') THEN 6.0 WHEN length(t) >= 7 THEN 1.5 ELSE 1.0 END ELSE 0.0 END))::DOUBLE AS score FROM conversations, q) SELECT conv_id, turn, item_id, score, round(0.45 + least(0.35, 0.03 * score), 6) AS similarity FROM s WHERE score >= 3")
+@query("entry_scores", f"WITH q AS (SELECT ({distinct_in_order(_TERMS.format('text'))})[1:10] AS terms, item_id FROM benchmark), s AS (SELECT turn, conv_id, item_id, list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(text), t) THEN CASE WHEN contains(t, '-') THEN 6.0 WHEN length(t) >= 7 THEN 1.5 ELSE 1.0 END ELSE 0.0 END))::DOUBLE AS score FROM conversations, q) SELECT conv_id, turn, item_id, score, round(0.45 + least(0.35, 0.03 * score), 6) AS similarity FROM s WHERE score >= 3")
 def entry_scores(spark, sf_dir):
     """SC42: lexical scores of calendar entries, and the cosine they stand for."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", text.significant_terms(F.col("text"), 6).alias("terms"))
-    asked = F.broadcast(asked) if asked.count() <= 10_000 else asked
-    s = table(spark, sf_dir, "conversations").crossJoin(asked).select("conv_id", "turn", "item_id", text.entry_score(F.col("text"), F.col("terms")).alias("score")).filter("score >= 3")
-    return s.withColumn("similarity", F.round(text.entry_similarity(F.col("score")), 6))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.significant_terms(F.col("text"))).alias("t"))
+    said = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("entry"), F.lower("text").alias("low"))
+    seen = lexical.matches(said, asked.select("t").distinct(), "entry").join(asked, "t")
+    s = seen.groupBy("entry", "item_id").agg(F.sum(text.term_weight(F.col("t"))).alias("score")).filter("score >= 3")
+    return s.select("entry.conv_id", "entry.turn", "item_id", "score", F.round(text.entry_similarity(F.col("score")), 6).alias("similarity"))
 
 
 @query("categorize_texts", r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(decid(?:ed|es|ing|e)|decision|agreed|approved|chose|committed to|will (?:use|adopt|go with))\b') THEN 'decision' ELSE 'fact' END AS category FROM conversations")
@@ -199,15 +201,17 @@ def categorize_texts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.categorize(F.col("text")).alias("category"))
 
 
-_RANGES = ["what happened last week", "in late June", "June 24-29", "on 2/27", "2024-01-05 to now", "recently", "in the past 3 days", "this quarter"]
+#: What each question's window is on 2024-01-30, by hand.
+_RANGES = {"what happened last week": ("d - 7", "d"), "in late June": ("DATE '2024-06-21'", "DATE '2024-06-30'"), "June 24-29": ("DATE '2024-06-24'", "DATE '2024-06-29'"), "on 2/27": ("DATE '2024-02-27'", "DATE '2024-02-27'"), "2024-01-05 to now": ("DATE '2024-01-05'", "DATE '2024-01-05'"), "recently": ("d - 10", "d"), "in the past 3 days": ("d - 3", "d"), "this quarter": ("d - 92", "d"), "yesterday": ("d - 1", "d - 1")}
 
 
-@query("asked_windows", "SELECT q, event_id FROM events JOIN (VALUES " + ", ".join(f"('{q}', DATE '{w[0]}', DATE '{w[1]}')" for q in _RANGES for w in [temporal.parse_date_range(q, date(2024, 1, 30))]) + ") AS w(q, lo, hi) ON CAST(ts AS DATE) BETWEEN lo AND hi")
+@query("asked_windows", "SELECT q, event_id FROM events JOIN (" + " UNION ALL ".join(f"SELECT '{q}' AS q, {lo} AS lo, {hi} AS hi FROM (SELECT DATE '2024-01-30' AS d)" for q, (lo, hi) in _RANGES.items()) + ") w ON CAST(ts AS DATE) BETWEEN lo AND hi")
 def asked_windows(spark, sf_dir):
-    """SC21, FLT5: events in the windows that questions name. The windows are literals, so each prunes the scan."""
+    """SC21, FLT5: events in the windows that questions name, joined by day."""
     days = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day"))
     named = spark.createDataFrame([(q, *temporal.parse_date_range(q, date(2024, 1, 30))) for q in _RANGES], "q string, lo date, hi date")
-    return days.join(F.broadcast(named), F.col("day").between(F.col("lo"), F.col("hi"))).select("q", "event_id")
+    named = named.select("q", F.explode(F.sequence("lo", "hi")).alias("day"))
+    return days.join(F.broadcast(named), "day").select("q", "event_id")
 
 
 @query("age_resolution", "SELECT o_orderkey, CASE WHEN d <= 14 THEN 'day' WHEN d <= 90 THEN 'week' WHEN d <= 730 THEN 'month' WHEN d <= 1460 THEN 'quarter' ELSE 'year' END AS resolution FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-02') AS d FROM orders)")
