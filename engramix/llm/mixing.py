@@ -15,6 +15,8 @@ from .shared import col, small_rows, spare_name
 #: Weights of sources that are named; all others get ``default_weight``.
 PRODUCTION_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 SEED = 17
+#: Keys that the rows of one source have where rates are joined by shuffle.
+SALTS = 64
 
 
 def token_count(text: Column) -> Column:
@@ -74,7 +76,8 @@ def mix_sources(
 
     Only one row per source is aggregated, with partial sums on the map side; texts are never
     shuffled while there are at most ``most_broadcast_sources`` sources, whose rates (some 50
-    bytes each) are then broadcast. With more, rates are joined by shuffle.
+    bytes each) are then broadcast. With more, rates are joined by shuffle, each source's rows
+    spread over ``SALTS`` keys by a hash of their ids.
 
     Defined results: null text has no tokens but is repeated at its source's rate; a null id
     draws by its text; rows repeated in the input (same id) draw alike, so all of them get the
@@ -87,8 +90,14 @@ def mix_sources(
     key, rate, copies = (spare_name(docs, x) for x in ("mix_source", "mix_rate", "mix_copies"))
     named = docs.sparkSession.createDataFrame(rows, rates.schema) if rows is not None else rates
     named = named.select(F.col("source").alias(key), F.col("rate").alias(rate))
-    joined = docs.join(F.broadcast(named) if rows is not None else named, col(docs, source).cast("string").eqNullSafe(F.col(key)))
     identity = F.coalesce(col(docs, doc_id).cast("string"), F.concat(F.lit("text:"), F.coalesce(col(docs, text), F.lit(""))))
+    same = col(docs, source).cast("string").eqNullSafe(F.col(key))
+    if rows is not None:
+        joined = docs.join(F.broadcast(named), same)
+    else:
+        salt = spare_name(docs, "mix_salt")
+        named = named.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.join(named, same & (F.pmod(F.xxhash64(identity), F.lit(SALTS)).cast("int") == F.col(salt)))
     whole = F.floor(F.col(rate))
     n = (whole + (draw(identity, seed) < F.col(rate) - whole).cast("long")).cast("int")
     counted = joined.withColumn(copies, n).filter(F.col(copies) > 0)
