@@ -26,8 +26,8 @@ def top_k(vectors: DataFrame, query: list[float], k: int, *, vec_id: str = "vec_
     return vectors.select(F.col(vec_id).alias("vec_id"), F.round(dot(F.col(embedding), q), 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
-def knn_pairs(vectors: DataFrame, k: int, least: float | None = None, *, of: DataFrame | None = None, vec_id: str = "vec_id", embedding: str = "embedding", blocks: int | None = None) -> DataFrame:
-    """(vec_id, neighbour_id, cosine, rank) of the k nearest others of every unit vector, exact; with ``of`` (vec_id) only of those rows, against all.
+def knn_pairs(vectors: DataFrame, k: int | None, least: float | None = None, *, of: DataFrame | None = None, vec_id: str = "vec_id", embedding: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, cosine, rank) of the k nearest others of every unit vector, exact; with ``of`` (vec_id) only of those rows, against all; without ``k`` every pair of at least ``least``, unranked.
 
     Every pair of blocks is one group: B blocks give B(B+1)/2 groups of two blocks each, so a
     task holds two blocks and multiplies them in numpy; per block and vector only k rows go
@@ -63,6 +63,10 @@ def knn_pairs(vectors: DataFrame, k: int, least: float | None = None, *, of: Dat
                 rows = left[lo : lo + 1024]
                 sim = np.round(v[rows] @ v[right].T, 6)
                 sim[ids[rows][:, None] == ids[right][None, :]] = -np.inf
+                if k is None:
+                    r, c = np.nonzero(sim >= least)
+                    out.append(pa.table({"vec_id": ids[rows][r], "neighbour_id": ids[right][c], "cosine": sim[r, c]}))
+                    continue
                 top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
                 s = np.take_along_axis(sim, top, axis=1)
                 ok = np.isfinite(s) if least is None else s >= least
@@ -71,6 +75,8 @@ def knn_pairs(vectors: DataFrame, k: int, least: float | None = None, *, of: Dat
         return pa.concat_tables(out) if out else pa.table({"vec_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
 
     found = sent.groupBy("i", "j").applyInArrow(best, "vec_id long, neighbour_id long, cosine double")
+    if k is None:
+        return found
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "neighbour_id", "cosine", "rank")
 

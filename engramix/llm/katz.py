@@ -290,6 +290,9 @@ def fit(docs: DataFrame, most_words: int | None = None, *, text: str = "text", l
 
 
 def _backoff(bigrams: DataFrame, v: Vocabulary, d: np.ndarray) -> Weights:
+    """Each bucket sends on, for every slice of the contexts' ids, its sums for those contexts in one row; a context of several buckets is added up where its slice is written."""
+    size = min(_CHUNK, -(-len(v.counts) // shuffle_partitions(bigrams.sparkSession)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = v.p
         for batch in batches:
@@ -297,30 +300,32 @@ def _backoff(bigrams: DataFrame, v: Vocabulary, d: np.ndarray) -> Weights:
                 key, n = unplanes(keys).view(np.int64), np.frombuffer(counts, dtype=np.int64)
                 if not len(key):
                     continue
-                ctx, size = _runs(key >> BITS)
-                at = np.cumsum(size) - size
+                ctx, times = _runs(key >> BITS)
+                at = np.cumsum(times) - times
                 mass = np.add.reduceat(np.where(n <= K, d[np.minimum(n, K)], 1.0) * n, at)
                 low = np.add.reduceat(p[key & (1 << BITS) - 1], at)
-                yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(mass), pa.array(low)], names=["ctx", "mass", "low"])
-
-    size = min(_CHUNK, -(-len(v.counts) // shuffle_partitions(bigrams.sparkSession)))
+                part, n = _runs(ctx // size)
+                ends = np.cumsum(n)
+                own = [slice(b - k, b) for b, k in zip(ends, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array([f(x[s]) for s in own], pa.binary()) for f, x in ((lambda y: planes(y.view(np.uint64)), ctx), (np.ndarray.tobytes, mass), (np.ndarray.tobytes, low))]], names=["part", "ctx", "mass", "low"])
 
     def weights(part: int, ctx: np.ndarray, its_mass: np.ndarray, its_low: np.ndarray) -> dict[str, np.ndarray]:
         counts = v.counts[part * size : (part + 1) * size]
-        mass, low = np.zeros(len(counts)), np.zeros(len(counts))
-        mass[ctx - part * size], low[ctx - part * size] = its_mass, its_low
+        mass, low = (np.bincount(ctx - part * size, weights=x, minlength=len(counts)) for x in (its_mass, its_low))
         total = np.maximum(counts, 1).astype(np.float64)
         total = np.where(1 - mass / total <= _TINY, total + 1, total)
         return {"alpha": np.log((1 - mass / total) / np.maximum(1 - low, _TINY)), "total": total}
 
     def write(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        for name, x in weights(part, *(table.column(c).to_numpy() for c in ("ctx", "mass", "low"))).items():
+        ctx = np.concatenate([unplanes(x).view(np.int64) for x in table.column("ctx").to_pylist()])
+        for name, x in weights(part, ctx, *(np.concatenate([np.frombuffer(x, dtype=np.float64) for x in table.column(c).to_pylist()]) for c in ("mass", "low"))).items():
             files.write_whole(f"{v.folder}/{name}-{part}", lambda stream, x=x: stream.write(x.tobytes()))
         return pa.table({"part": pa.array([part])})
 
-    sums = bigrams.select("keys", "counts").mapInArrow(frugal(run), "ctx long, mass double, low double").groupBy("ctx").agg(F.sum("mass").alias("mass"), F.sum("low").alias("low"))
-    made = {r.part for r in sums.withColumn("part", F.floor(F.col("ctx") / size).cast("long")).groupBy("part").applyInArrow(frugal_group(write), "part long").collect()}
+    sums = bigrams.select("keys", "counts").mapInArrow(frugal(run), "part long, ctx binary, mass binary, low binary")
+    made = {r.part for r in sums.groupBy("part").applyInArrow(frugal_group(write), "part long").collect()}
+    free_shuffles(bigrams.sparkSession)
     nothing = np.empty(0, dtype=np.int64)
     for name in ("alpha", "total"):
         parts = range(-(-len(v.counts) // size))

@@ -94,7 +94,7 @@ def woven(store: Store, seq: int, likeness: float = weave.LEAST, high: float = w
         new = new.unionByName(store.spark.createDataFrame([(x,) for x in hub_sigs], "sig string")).distinct()
         old = facts.join(changed.select("signature"), "signature", "left_anti").select(facts.columns)
         mentions = mentions.unionByName(weave.co_mentions(old, forms.join(new, "sig", "left_semi").select("form", "sig")))
-    mentions = mentions.select("src", F.lit("mentions").alias("rel"), "dst", F.lit(0.8).alias("weight"))
+    mentions = cut(mentions.select("src", F.lit("mentions").alias("rel"), "dst", F.lit(0.8).alias("weight")))
     if embedder is not None:
         store = store.having(vectors=cut(reembedded(store, unembedded(store), embedder)))
     edges = store["edges"]

@@ -10,9 +10,10 @@ FORMS = tuple("atemporal trajectory recurring period-bound".split())
 
 
 def report_id(rows: DataFrame, columns: list[str]) -> str:
-    """A hash of a report that doesn't depend on the order of its rows: each row is hashed, and the sorted hashes are."""
-    each = rows.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).first()[0]
+    """A hash of a report that doesn't depend on the order of its rows: of their number and of the sums of four parts of each row's hash. No task sees more than partial sums."""
+    h = F.sha2(F.to_json(F.struct(*columns)), 256)
+    part = lambda k: F.sum(F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return rows.select(h.alias("h")).agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *[F.coalesce(part(k), F.lit("0")) for k in range(4)]), 256)).first()[0]
 
 
 def merge_clusters(pairs: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scoring, text
+from . import lexical
 
 K, LEAST, HIGH = 3, 0.45, 0.62
 
@@ -20,11 +21,11 @@ def vocabulary(hubs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
 
 
 def co_mentions(facts: DataFrame, forms: DataFrame, longest: int = 4) -> DataFrame:
-    """(src, dst): facts and the hubs whose form they hold as whole words. A fact's word runs are joined to the forms by equality, so nothing is compared with everything."""
-    w = text.words(F.col("fact"))
-    runs = facts.select("signature", w.alias("w")).filter(F.size("w") > 0)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    return runs.select(F.col("signature").alias("src"), F.explode(F.array_distinct(grams)).alias("form")).join(forms, "form").select("src", F.col("sig").alias("dst")).distinct()
+    """(src, dst): facts and the hubs whose form, of up to ``longest`` words, they hold as whole words. One pass over each text, whatever the number of forms."""
+    space = F.lit(" ")
+    sought = forms.filter(F.size(F.split("form", " ")) <= longest).select(F.concat(space, "form", space).alias("t"), F.col("sig").alias("dst"))
+    said = facts.select("signature", F.concat(space, F.array_join(text.words(F.col("fact")), " "), space).alias("low"))
+    return lexical.matches(said, sought.select("t").distinct(), "signature").join(sought, "t").select(F.col("signature").alias("src"), "dst").distinct()
 
 
 def specific_caps(facts: int) -> tuple[int, int]:

@@ -78,8 +78,7 @@ def similarity_components(spark, sf_dir):
     """JN17, RA9: groups of vectors chained by likeness."""
     from ..functions.vector import knn_pairs
 
-    v = table(spark, sf_dir, "embeddings")
-    near = knn_pairs(v, v.count(), 0.35)
+    near = knn_pairs(table(spark, sf_dir, "embeddings"), None, 0.35)
     return graph.components(near.select(F.col("vec_id").alias("src"), F.col("neighbour_id").alias("dst")))
 
 

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,26 +60,30 @@ def publish_batches(stream: DataFrame, root: str, apply: Callable[[Store, DataFr
     return stores.load(spark, root)
 
 
-def strengths(stream: DataFrame, half_life_days: float = 3.0, boost: float = 0.1) -> DataFrame:
+def strengths(stream: DataFrame, half_life_days: float = 3.0, boost: float = 0.1, ttl_days: float = 60.0) -> DataFrame:
     """(user_id, strength, cues) after each batch: a key's strength decays with time and is lifted by every cue; the state is two numbers and a time a key.
 
-    Cues that are older than the key's last one lift without decay, so a late row is still counted.
+    Cues that are older than the key's last one lift without decay, so a late row is still
+    counted. A key without a cue for ``ttl_days`` of processing is forgotten.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         strength, cues, last = state.get if state.exists else (0.0, 0, None)
-        rows = pd.concat(list(frames))
-        for ts in sorted(rows["ts"]):
-            at = ts.timestamp()
+        times = np.sort(pd.concat([f["ts"] for f in frames]).astype("datetime64[us]").to_numpy().astype(np.int64)) / 1e6
+        for at in times.tolist():
             if last is not None and at > last:
                 strength *= 2 ** (-(at - last) / 86_400 / half_life_days)
             strength = min(1.0, strength + boost)
             last = at if last is None else max(last, at)
             cues += 1
         state.update((strength, cues, last))
+        state.setTimeoutDuration(int(ttl_days * 86_400_000))
         yield pd.DataFrame({"user_id": [key[0]], "strength": [strength], "cues": [cues]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, strength double, cues long", "strength double, cues long, last double", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, strength double, cues long", "strength double, cues long, last double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rolling(events: DataFrame, now: datetime, days: int) -> DataFrame:
