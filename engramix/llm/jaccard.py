@@ -7,19 +7,25 @@ so
 1. one exchange by gram finds the inverted lists of two documents or more; each such list
    names a centre, its first document. A set with fewer listed grams than t|x| has no partner
    and goes.
-2. A set keeps centres until fewer than half of t|x| of its listed grams are uncovered: first
-   those of lists that aren't long, the ones that most of its grams name before others, then
-   the long lists' (a license line's, say) from the shortest on. Two partners can't leave all
-   their shared grams uncovered, so they meet at a centre.
+2. Lists have one order for all sets, from the shortest on. Of its listed grams a set puts
+   aside the last in this order, at most three quarters of t|x|. Of the grams that two partners
+   share, all that either puts aside, one of them does, so they still share a quarter. Of the other grams it keeps centres until fewer than half of that quarter
+   are uncovered: first those of lists that aren't long, the ones that most of its grams name
+   before others, then the long lists' (a license line's, say) from the shortest on. Two
+   partners can't leave all their shared grams uncovered, so they meet at a centre. In a large
+   corpus many grams are shared by chance, and each would name a centre of its own: a group's
+   lists that a stranger has joined are longer than its others, so they are put aside.
 3. The sets of a centre are searched by DivideSkip: with sets in order of size, the partners of
    x that are no smaller share T = 2t/(1+t)|x| grams or more. The longest lists (at most T-1)
    are put aside, the short ones are merged, and what occurs often enough in them is probed in
    the long ones by binary search. A centre with more than ``HEAVY`` grams is searched by
-   pairs of blocks of its sets, so that no task holds more than two blocks.
+   pairs of blocks of its sets, so that no task holds more than two blocks. If the sets that go
+   to the centres have more than ``PASS`` times the bytes of the texts, the centres take turns.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,15 +46,19 @@ _BLOCK = 1_500_000
 _MU = 0.0085
 #: Lists of at most 2 to this power documents aren't long.
 _LONG = 12
+#: Of the grams that a set shares with any partner, the part that counts in the choice of centres; the rest is put aside.
+SHARE = 0.25
+#: Bytes of sets that one turn sends to its centres, for each byte of text; and the fewest for which it is worth a turn.
+PASS, LEAST_PASS = 1.0, 200_000_000
 #: Grams of the sets that one task searches at a time.
 HEAVY = 1_000_000
 #: A table of up to so many bytes, by its own count, is broadcast; beyond, it is joined by shuffle.
 MOST_BROADCAST = 32_000_000
 
 
-def least(t: float, size: int | np.ndarray) -> int | np.ndarray:
-    """The fewest grams that a set of this size shares with any partner."""
-    return np.maximum(1, np.ceil(t * size - 1e-9)).astype(np.int64)
+def least(t: float, size: int | np.ndarray, share: float = 1.0) -> int | np.ndarray:
+    """The fewest grams that a set of this size shares with any partner, or a share of them, one at least."""
+    return np.maximum(1, np.ceil(share * np.maximum(1, np.ceil(t * size - 1e-9)) - 1e-9)).astype(np.int64)
 
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -131,8 +141,18 @@ def _ints(x: bytes, kind: type = np.int64) -> np.ndarray:
     return np.frombuffer(x, dtype=kind)
 
 
+def _length(n: np.ndarray) -> np.ndarray:
+    """A list's length in one byte, in its order: up to 128 itself, then eight steps for each doubling."""
+    return np.minimum(255, np.where(n <= 128, n, 128 + 8 * np.log2(np.maximum(n, 128) / 128))).astype(np.uint8)
+
+
+def _excess(length: np.ndarray) -> np.ndarray:
+    """By how much a list is long, from its :func:`_length`."""
+    return (np.maximum(0, length.astype(np.int64) - (128 + 8 * (_LONG - 7))) + 7) // 8
+
+
 def _listed(table: pa.Table) -> pa.Table:
-    """For one bucket of grams: back to every block, the numbers (a) of its documents with a listed gram, the centre (b) that the gram names and by how much its list is long (c). Rows of other kinds pass."""
+    """For one bucket of grams: back to every block, the numbers (a) of its documents with a listed gram, the centre (b) that the gram names and its list's length (c, as :func:`_length`). Rows of other kinds pass."""
     rows = table.to_pylist()
     out = [{k: r[k] for k in ("kind", "block", "a", "b", "c")} for r in rows if r["kind"]]
     rows = [r for r in rows if r["kind"] == 0]
@@ -147,7 +167,7 @@ def _listed(table: pa.Table) -> pa.Table:
         n = np.diff(np.append(start, len(gram)))
         listed = np.repeat(low < high, n)
         where, centre = order[listed], np.repeat(low, n)[listed]
-        long_ = np.repeat(np.maximum(0, np.ceil(np.log2(n)) - _LONG).astype(np.uint8), n)[listed]
+        long_ = np.repeat(_length(n), n)[listed]
         place = np.argsort(where)
         where, centre, long_ = where[place], centre[place], long_[place]
         edge = np.searchsorted(where, np.cumsum([0] + [len(k) for k in keys]))
@@ -164,8 +184,20 @@ _BACK_DDL = "kind int, block long, a binary, b binary, c binary"
 _BACK = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def cover(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, long_: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(set, centre) that are kept, from the (set, size, centre, excess length) of all listed grams of some sets."""
+def foremost(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, lengths: np.ndarray, t: float, share: float) -> np.ndarray:
+    """Places of the listed grams that aren't put aside. The order is by length of the list and centre; grams alike in both stay or go together, so it is the same for all sets."""
+    order = np.lexsort((centres, lengths, names))
+    s, c, length = names[order], centres[order], lengths[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    run = np.flatnonzero(first | np.concatenate([[True], (c[1:] != c[:-1]) | (length[1:] != length[:-1])]))
+    ends = np.append(np.flatnonzero(first)[1:], len(s))
+    size = sizes[order][run]
+    after = ends[np.cumsum(first)[run] - 1] - run  # its grams from this run on
+    return order[np.repeat(after > least(t, size) - least(t, size, share), np.diff(np.append(run, len(s))))]
+
+
+def cover(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, long_: np.ndarray, t: float, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(set, centre) that are kept, from the (set, size, centre, excess length) of all listed grams of some sets, or of those that :func:`foremost` leaves at this share."""
     if not len(names):
         return names, centres
     order = np.lexsort((centres, names))
@@ -180,7 +212,7 @@ def cover(names: np.ndarray, sizes: np.ndarray, centres: np.ndarray, long_: np.n
     total = np.repeat(np.add.reduceat(n, first), k)
     before = np.cumsum(n) - n
     uncovered = total - (before - np.repeat(before[first], k))
-    need = least(t, size)
+    need = least(t, size, share)
     kept = (total >= need) & (uncovered > (need - 1) // 2)
     return s[kept], c[kept]
 
@@ -195,7 +227,9 @@ def _centres(t: float):
         local = np.concatenate([_ints(r["a"], np.uint16) for r in rows]).astype(np.int64)
         centre = np.concatenate([unplanes(r["b"]).view(np.int64) for r in rows])
         long_ = np.concatenate([_ints(r["c"], np.uint8) for r in rows])
-        doc, c = cover(local, _ints(meta["c"])[local], centre, long_, t)
+        size = _ints(meta["c"])[local]
+        ahead = foremost(local, size, centre, long_, t, SHARE)
+        doc, c = cover(local[ahead], size[ahead], centre[ahead], _excess(long_[ahead]), t, SHARE)
         return pa.table({"set_id": pa.array(_ints(meta["b"])[doc], pa.int64()), "centre": pa.array(c, pa.int64())})
 
     return run
@@ -288,8 +322,10 @@ def _matches(docs: DataFrame, n: int, threshold: float, doc_id: str, text: str)
     chosen = keep(centres.groupBy("set_id").agg(F.collect_list("centre").alias("centres")).join(nodes, "set_id"), "jaccard-centres")
     drop(back)
     free_shuffles(spark)
-    heavy = keep(chosen.select(F.explode("centres").alias("centre"), "size").groupBy("centre").agg(F.sum("size").alias("grams")).filter(F.col("grams") > HEAVY).select("centre", F.ceil(F.col("grams") / HEAVY).cast("long").alias("blocks")), "jaccard-heavy")
-    picked = _light(chosen, F.size("centres") * 8 + 48)
+    heavy = keep(chosen.select(F.explode("centres").alias("centre"), "size").groupBy("centre").agg(F.sum("size").alias("grams")).filter(F.col("grams") > HEAVY).select("centre", "grams", F.ceil(F.col("grams") / HEAVY).cast("long").alias("blocks")), "jaccard-heavy")
+    none_heavy = heavy.isEmpty()
+    sent = (chosen.agg(F.sum(F.size("centres") * F.col("size")).alias("n")).first().n or 0) + (heavy.agg(F.sum(F.col("grams") * (F.col("blocks") - 1)).alias("n")).first().n or 0)
+    turns = max(1, math.ceil(8 * sent / max(LEAST_PASS, PASS * (given.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,16 +336,37 @@ def _matches(docs: DataFrame, n: int, threshold: float, doc_id: str, text: str)
                 at = pa.array(ok, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in (0, 1, 2, 4)), pa.array([found[k].tobytes() for k in ok], pa.binary())], names=["set_id", "rep", "n", "centres", "grams"])
 
-    searched = given.filter("text IS NOT NULL").join(picked, given["id"] == picked["rep"]).select("set_id", "rep", "n", "text", "centres").mapInArrow(frugal(sets), "set_id long, rep long, n long, centres array<long>, grams binary")
-    each = searched.select("set_id", "rep", "n", "grams", F.explode("centres").alias("centre"))
-    if heavy.isEmpty():
-        placed = each.select("*", F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-    else:
-        blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-        mine = F.pmod("set_id", "blocks")
-        placed = each.join(_light(heavy, F.lit(16)), "centre", "left").withColumn("blocks", blocks).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("set_id", "rep", "n", "grams", "centre", "blocks", F.least(mine, "to").alias("i"), F.greatest(mine, "to").alias("j"))
-    best = placed.groupBy("centre", "i", "j").applyInArrow(frugal_group(_search(threshold)), _FOUND_DDL).groupBy("left_set", "right_set").agg(*[F.max(c).alias(c) for c in _FOUND.names[2:]])
-    return members, nodes, keep(best, "jaccard-pairs")
+    def turn(k: int) -> DataFrame:
+        """Pairs found at the centres whose turn it is; those of heavy ones by block."""
+        mine = lambda *c: F.pmod(F.xxhash64(*c), F.lit(turns).cast("long")) == k
+        own = chosen if turns == 1 or not none_heavy else chosen.withColumn("centres", F.filter("centres", lambda c: mine(c))).filter(F.size("centres") > 0)
+        picked = _light(own, F.size("centres") * 8 + 48)
+        searched = given.filter("text IS NOT NULL").join(picked, given["id"] == picked["rep"]).select("set_id", "rep", "n", "text", "centres").mapInArrow(frugal(sets), "set_id long, rep long, n long, centres array<long>, grams binary")
+        each = searched.select("set_id", "rep", "n", "grams", F.explode("centres").alias("centre"))
+        if none_heavy:
+            placed = each.select("*", F.lit(1).cast("long").alias("blocks"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+        else:
+            blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+            block = F.pmod("set_id", "blocks")
+            placed = each.join(_light(heavy.select("centre", "blocks"), F.lit(16)), "centre", "left").withColumn("blocks", blocks).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("set_id", "rep", "n", "grams", "centre", "blocks", F.least(block, "to").alias("i"), F.greatest(block, "to").alias("j"))
+            if turns > 1:
+                placed = placed.filter(mine("centre", "i", "j"))
+        return best(placed.groupBy("centre", "i", "j").applyInArrow(frugal_group(_search(threshold)), _FOUND_DDL))
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.groupBy("left_set", "right_set").agg(*[F.max(c).alias(c) for c in _FOUND.names[2:]])
+
+    if turns == 1:
+        pairs = keep(turn(0), "jaccard-pairs")
+        drop(chosen, heavy)
+        return members, nodes, pairs
+    parts = []
+    for k in range(turns):
+        parts.append(keep(turn(k), "jaccard-turn"))
+        free_shuffles(spark)
+    pairs = keep(best(functools.reduce(DataFrame.unionByName, parts)), "jaccard-pairs")
+    drop(*parts, chosen, heavy)
+    return members, nodes, pairs
 
 
 def _light(kept: DataFrame, row_bytes: Column) -> DataFrame:

@@ -79,6 +79,44 @@ def test_cover_leaves_less_than_half_of_the_least_overlap():
     assert c.tolist() == [1]
 
 
+def test_grams_shared_by_chance_send_a_set_to_few_centres():
+    """A third of a group's lists have a stranger as well, each another one. Without the order of lists, the set goes to strangers' centres too."""
+    centres = np.concatenate([np.full(160, 500), np.arange(80)])  # of 240 grams
+    lengths = np.concatenate([np.full(160, 5), np.full(80, 6)]).astype(np.uint8)
+    names, sizes = np.zeros(240, dtype=np.int64), np.full(240, 240)
+    ahead = jaccard.foremost(names, sizes, centres, lengths, 0.5, jaccard.SHARE)
+    _, c = jaccard.cover(names[ahead], sizes[ahead], centres[ahead], np.zeros(len(ahead), dtype=np.int64), 0.5, jaccard.SHARE)
+    assert c.tolist() == [500]
+    _, c = jaccard.cover(names, sizes, centres, np.zeros(240, dtype=np.int64), 0.5)
+    assert len(c) > 10
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.9])
+def test_partners_meet_at_a_centre(t):
+    """Sets with many grams that they share by chance: every pair of partners keeps a centre in common."""
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(40):
+        base = [rng.integers(0, 90, int(rng.integers(3, 40))) for _ in range(5)]
+        sets = [np.unique(np.where(rng.random(len(b)) < rng.choice([0, 0.1, 0.3]), rng.integers(0, 90, len(b)), b)) for b in base for _ in range(3)]
+        lists = {}
+        for k, s in enumerate(sets):
+            for g in s:
+                lists.setdefault(g, []).append(k)
+        rows = np.array([(k, len(s), lists[g][0], len(lists[g])) for k, s in enumerate(sets) for g in rng.permutation(s) if len(lists[g]) > 1], dtype=np.int64).T
+        ahead = jaccard.foremost(*rows[:3], jaccard._length(rows[3]), t, jaccard.SHARE)
+        names, sizes, centres, n = rows[:, ahead]
+        s, c = jaccard.cover(names, sizes, centres, jaccard._excess(jaccard._length(n)), t, jaccard.SHARE)
+        own = [set(c[s == k]) for k in range(len(sets))]
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                o = len(np.intersect1d(sets[a], sets[b]))
+                if o and o / (len(sets[a]) + len(sets[b]) - o) >= t:
+                    met += 1
+                    assert own[a] & own[b]
+    assert met > 100
+
+
 def test_short_and_long_texts():
     words = ["x", "y z", "a b c d", "", None, "q " * 50_000]
     found = jaccard.gram_sets(pa.array(words, pa.string()), 3)
@@ -174,3 +212,17 @@ def test_each_text_of_a_repeated_id_is_judged_by_itself(spark):
     kept = jaccard.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.id) for r in kept.collect()) == [(1, "a"), (5, "c"), (7, "e"), (7, "f"), (8, "g")]
+
+
+@pytest.mark.parametrize("heavy", [jaccard.HEAVY, 150])
+def test_centres_in_turns_find_the_same(spark, monkeypatch, heavy):
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "PASS", 0.4)
+    monkeypatch.setattr(jaccard, "LEAST_PASS", 1)
+    turns = []
+    keep = jaccard.keep
+    monkeypatch.setattr(jaccard, "keep", lambda df, name: turns.append(name) or keep(df, name))
+    rows = corpus(random.Random(9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.left_id, r.right_id): (r.shared, r.jaccard) for r in jaccard.jaccard_join(docs).collect()}
+    assert found == brute(rows, 3, 0.5) and turns.count("jaccard-turn") > 1
