@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import files
-from .shared import WORD, byte_slices, coded_words, col, drop, enough_parts, free_shuffles, fresh_path, frugal, frugal_group, keep, mix64, planes, settled, shuffle_partitions, spare_name, unplanes
+from .shared import WORD, byte_slices, coded_words, col, drop, enough_parts, free_shuffles, fresh_path, frugal, frugal_group, frugal_pair, keep, mix64, planes, settled, shuffle_partitions, spare_name, unplanes
 
 #: Of a word's id; ids 0, 1, 2 are <unk>, </s> and <s>. Two ids make a bigram's key.
 BITS = 31
@@ -39,7 +39,7 @@ K = 5
 LEAST_COUNT = 1
 _TINY = 1e-12
 #: Words that a mapper gathers before it sends their bigrams on.
-_BLOCK = 1_000_000
+_BLOCK = 500_000
 #: Ids whose entries one task writes, or the driver at once.
 _CHUNK = 1 << 20
 
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
     """Columns ``carry``, then n_tokens, logprob (natural) and perplexity of every row; without ``model``, that of ``docs`` itself.
 
     Each mapper scores its tokens as if all backed off; the buckets of the stored bigrams send
-    back, for each text, what their tokens have above that. Neither the texts nor the bigrams
+    back, for each block of texts in one row, what their tokens have above that. Neither the texts nor the bigrams
     nor the vocabulary are broadcast.
 
     Defined results: null text gives nulls; a text without a word has one token, its end;
@@ -383,7 +383,10 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
                     block += len(part)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = [left.select(["key", "base", "n", *names]).filter(left.column("key").is_valid())]
+        own = left.filter(left.column("key").is_valid())
+        nothing = pa.nulls(own.num_rows, pa.binary())
+        tables = [pa.Table.from_arrays([*(own.column(c) for c in ("block", "key", "base", "n")), nothing, nothing, *(own.column(c) for c in names)], names=out.names)]
+        found: list[tuple[int, bytes, bytes]] = []
         stored = [unplanes(x).view(np.int64) for x in right.column("keys").to_pylist()]
         if stored and len(stored[0]):
             stored, n = stored[0], np.frombuffer(right.column("counts")[0].as_py(), dtype=np.int64)
@@ -398,14 +401,30 @@ def score(docs: DataFrame, model: KatzModel | None = None, *, text: str = "text"
                 of = np.frombuffer(of, dtype=np.uint16).astype(np.int64)
                 used = np.unique(of[gain != 0])
                 sums = np.bincount(of, weights=gain, minlength=65536)[used]
-                tables.append(pa.Table.from_arrays([pa.array(block + used), pa.array(sums), pa.nulls(len(used), pa.int64()), *[pa.nulls(len(used), left.schema.field(c).type) for c in names]], schema=tables[0].schema))
+                found.append((block, used.astype(np.uint16).tobytes(), sums.tobytes()))
+        if found:
+            block, of, sums = zip(*found)
+            null = lambda t: pa.nulls(len(found), t)
+            tables.append(pa.Table.from_arrays([pa.array(block, pa.int64()), null(pa.int64()), null(pa.float64()), null(pa.int64()), pa.array(of, pa.binary()), pa.array(sums, pa.binary()), *[null(left.schema.field(c).type) for c in names]], schema=tables[0].schema))
         return pa.concat_tables(tables)
 
-    out = docs.sparkSession.createDataFrame([], "key long, base double, n long").schema
+    def add(table: pa.Table) -> pa.Table:
+        """For one block of texts: what they have by backoff, and what the buckets found above that."""
+        own = table.filter(table.column("key").is_valid())
+        found = table.filter(table.column("texts").is_valid())
+        base = own.column("base").to_numpy(zero_copy_only=False)
+        at = own.column("key").to_numpy() - own.column("block").to_numpy()
+        if found.num_rows:
+            of, sums = (np.concatenate([np.frombuffer(x, dtype=t) for x in found.column(c).to_pylist()]) for c, t in (("texts", np.uint16), ("sums", np.float64)))
+            base = base + np.bincount(of, weights=sums, minlength=own.num_rows)[at]
+        logprob = pa.array(base, mask=np.array(own.column("base").combine_chunks().is_null()))
+        return pa.Table.from_arrays([logprob, own.column("n"), *(own.column(c) for c in names)], names=["logprob", "n_tokens", *names])
+
+    out, total = (docs.sparkSession.createDataFrame([], x).schema for x in ("block long, key long, base double, n long, texts binary, sums binary", "logprob double, n_tokens long"))
     for f in ddl:
-        out = out.add(f.name, f.dataType, True)
-    parts = own.mapInArrow(frugal(run), schema).groupBy("bucket").cogroup(model.bigrams.groupBy("bucket")).applyInArrow(join, out)
-    summed = parts.groupBy("key").agg(F.sum("base").alias("logprob"), F.max("n").alias("n_tokens"), *[F.first(c, ignorenulls=True).alias(c) for c in names])
+        out, total = out.add(f.name, f.dataType, True), total.add(f.name, f.dataType, True)
+    parts = own.mapInArrow(frugal(run), schema).groupBy("bucket").cogroup(model.bigrams.groupBy("bucket")).applyInArrow(frugal_pair(join), out)
+    summed = parts.groupBy("block").applyInArrow(frugal_group(add), total)
     carried = docs.select(*[col(docs, c) for c in carry])
     count, sum_, each = (spare_name(carried, c) for c in ("n_tokens", "logprob", "perplexity"))
     return summed.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], F.col("n_tokens").alias(count), F.round("logprob", 4).alias(sum_), F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 4).alias(each))

@@ -115,3 +115,9 @@ def test_bigrams_seen_once_are_stored_and_discounted(spark, texts):
     found = {r.doc_id: r.logprob for r in katz.score(docs).collect()}
     for i, s in enumerate(seqs):
         assert found[i] == pytest.approx(sum(math.log(mass[k] / t[k[0]]) for k in zip(s, s[1:])), abs=1e-3)
+
+
+def test_no_row_for_each_text_and_bucket(spark, texts):
+    """What the buckets find for a block of texts comes in one row each; before, the JVM added up a row for each text and bucket."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert "HashAggregate" not in katz.score(docs)._jdf.queryExecution().executedPlan().toString()
