@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from engramix.llm import bpe, jaccard, langid, mixing
-from engramix.llm.shared import keep
+from engramix.llm.shared import drop, keep
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, docs = docs, keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)

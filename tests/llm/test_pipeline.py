@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 
 import pytest
@@ -70,3 +71,11 @@ def test_stages_keep_the_columns(spark, corpus):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, corpus[0]).columns == docs.columns
         assert stage(spark, docs.limit(0), corpus[0]).count() == 0
+
+
+def test_run_holds_the_texts_of_one_stage_at_a_time(spark, corpus):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in shared.rglob("pipeline-*")}
+    assert corpus_pipeline.run(spark, corpus[0]).count() > 0
+    left = [p.name for p in shared.rglob("pipeline-*") if p.name not in before and p.is_dir()]
+    assert len(left) == 1 and left[0].startswith("pipeline-mix_sources")
