@@ -60,19 +60,27 @@ def publish_batches(stream: DataFrame, root: str, apply: Callable[[Store, DataFr
     return stores.load(spark, root)
 
 
+#: How far a clock may be set back between batches without a row being taken for a late one.
+_CLOCK = 86_400_000
+
+
 def strengths(stream: DataFrame, half_life_days: float = 3.0, boost: float = 0.1, ttl_days: float = 60.0) -> DataFrame:
     """(user_id, strength, cues) after each batch: a key's strength decays with time and is lifted by every cue; the state is two numbers and a time a key.
 
     Cues that are older than the key's last one lift without decay, so a late row is still
-    counted. A key without a cue for ``ttl_days`` of processing is forgotten.
+    counted. A key without a cue for ``ttl_days`` of processing is forgotten. The time of
+    processing is a column with a watermark: a timeout by Spark's own clock asks for one empty
+    batch after another, so that a run over what is there would never end.
     """
+    ttl = int(ttl_days * 86_400_000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         strength, cues, last = state.get if state.exists else (0.0, 0, None)
-        times = np.sort(pd.concat([f["ts"] for f in frames]).astype("datetime64[us]").to_numpy().astype(np.int64)) / 1e6
+        rows = pd.concat(list(frames))
+        times = np.sort(rows["ts"].astype("datetime64[us]").to_numpy().astype(np.int64)) / 1e6
         for at in times.tolist():
             if last is not None and at > last:
                 strength *= 2 ** (-(at - last) / 86_400 / half_life_days)
@@ -80,10 +88,11 @@ def strengths(stream: DataFrame, half_life_days: float = 3.0, boost: float = 0.1
             last = at if last is None else max(last, at)
             cues += 1
         state.update((strength, cues, last))
-        state.setTimeoutDuration(int(ttl_days * 86_400_000))
+        state.setTimeoutTimestamp(max(int(rows["__ms"].max()) + ttl - _CLOCK, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "strength": [strength], "cues": [cues]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, strength double, cues long", "strength double, cues long, last double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    seen = stream.withColumn("__seen", F.current_timestamp()).withColumn("__ms", F.unix_millis("__seen")).withWatermark("__seen", f"{_CLOCK} milliseconds")
+    return seen.groupBy("user_id").applyInPandasWithState(step, "user_id long, strength double, cues long", "strength double, cues long, last double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def rolling(events: DataFrame, now: datetime, days: int) -> DataFrame:

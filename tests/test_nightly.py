@@ -139,6 +139,26 @@ def test_streams(spark, tmp_path):
     assert last[2] == (pytest.approx(0.2), 2) and last[1] == (pytest.approx(0.1 * 0.5 + 0.1 + 0.1), 3)
 
 
+def test_strengths_end_and_forget(spark, tmp_path):
+    for k, user in enumerate((1, 2, 2, 1)):
+        spark.createDataFrame([(user, datetime(2024, 1, 1 + k))], "user_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    def cues(ttl_days):
+        out = []
+        stream = spark.readStream.schema("user_id long, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = runs.strengths(stream, ttl_days=ttl_days).writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend((n, r.user_id, r.cues) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/state-{ttl_days}").trigger(availableNow=True).start()
+        try:
+            assert q.awaitTermination(120)
+        finally:
+            q.stop()
+        return {u: c for _, u, c in sorted(out)}
+
+    # all that is there is counted, and the run ends by itself
+    assert cues(60.0) == {1: 2, 2: 2}
+    # a key whose time ran out while others had cues begins anew
+    assert cues(1e-8) == {1: 1, 2: 2}
+
+
 def test_batches_publish_versions(spark, tmp_path):
     spark.createDataFrame([("a", "x"), ("b", "y")], "memory_id string, fact string").coalesce(1).write.parquet(f"{tmp_path}/in/0")
     read = lambda: spark.readStream.schema("memory_id string, fact string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
