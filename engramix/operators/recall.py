@@ -119,10 +119,11 @@ def chains(facts: DataFrame, edges: DataFrame, transitions: DataFrame, seeds: Da
     return near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_chain).orderBy("chain", "k").limit(total).select(F.col("node").alias("signature"), "chain")
 
 
-def collapse(rows: DataFrame) -> DataFrame:
-    """Restatements (equal texts but for scope, dates and punctuation) as their latest one, with statements and observed_since; rows need fact, day, signature and hops. Empty texts don't collapse."""
-    key = text.normalize_for_match(F.col("fact"))
-    keyed = rows.withColumn("__key", F.when(key == "", F.concat(F.lit("empty:"), "signature")).otherwise(key))
+def collapse(rows: DataFrame, empty: bool = False) -> DataFrame:
+    """Restatements (equal texts but for scope, dates and punctuation) as their latest one, with statements and observed_since; rows need fact, day, signature and hops. Empty texts collapse only with ``empty``."""
+    keyed = rows.withColumn("__key", text.normalize_for_match(F.col("fact")))
+    if not empty:
+        keyed = keyed.withColumn("__key", F.when(F.col("__key") == "", F.concat(F.lit("empty:"), "signature")).otherwise(F.col("__key")))
     best = F.max_by(F.struct(*[c for c in rows.columns if c != "hops"]), F.struct("day", "signature"))
     g = keyed.groupBy("__key").agg(best.alias("b"), F.min("hops").alias("hops"), F.count("*").alias("statements"), F.min("day").alias("observed_since"))
     return g.select("b.*", "hops", "statements", "observed_since")
