@@ -2,37 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session without one gets its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="engramix-cut-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without lineage: a Parquet table in the shared folder, so that a lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import cut, cut_folder, shared_folder  # noqa: F401
 
 
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:

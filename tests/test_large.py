@@ -1,5 +1,8 @@
 """What larger and odd tables brought out: queries against their SQL, or against brute force, on tables made for it."""
 
+import numpy as np
+
+from engramix.functions import vector
 from engramix.plans import registry
 
 from .oracles import connect, same
@@ -26,3 +29,33 @@ def test_odd_texts_collapse_as_in_sql(spark, tmp_path):
     texts = ["", "...", "\u4f60\u597d", "[a] It is up", "it is up!", "\u00e92024-01-02 due", "\u00e9 due", "x\u0130y", "xiy", "\u000b[b] odd", "odd"]
     docs = spark.createDataFrame([(k, t, "en", "s", 7 * k + 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     check(spark, tables(spark, tmp_path, documents=docs), "restatement_collapse", "normalize_for_match")
+
+
+def test_searches_hold_a_block_and_a_slab(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 16))
+    v[200:] = v[rng.integers(0, 200, 100)]  # equal vectors, so that ranks end in ties
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(int(k) * 3, v[k].astype(np.float32).tolist(), int(k % 7 == 0) + 3) for k in range(300)], "vec_id long, embedding array<float>, label int")
+    sf_dir = tables(spark, tmp_path, embeddings=rows)
+    con, sizes = connect(sf_dir), []
+    for name in ("knn_pairs_rank", "knn_threshold_edges", "island_rescue", "merge_clusters", "neighbours_of_changed", "similarity_components", "pairwise_cosine"):
+        found = registry.QUERIES[name](spark, sf_dir)
+        same(found, registry.ORACLES[name], con)
+        sizes.append(found._jdf.queryExecution().toString())
+    # a search sends each vector once, and no row of it to a ranking or a join of all pairs
+    assert "Window" not in sizes[0] and "BroadcastNestedLoop" not in sizes[-1] and "SortMergeJoin" not in sizes[-1]
+
+
+def test_search_in_small_pieces(monkeypatch):
+    monkeypatch.setattr(vector, "_ROWS", 7)
+    rng = np.random.default_rng(3)
+    v, ids = rng.normal(size=(90, 8)).astype(np.float32), np.arange(90, dtype=np.int64) * 5
+    v[60:] = v[:30]
+    best = vector._Best(ids, v, 4, None)
+    for lo in range(0, 90, 11):
+        best.meet(ids[lo : lo + 11], v[lo : lo + 11])
+    near = np.round(v.astype(np.float64) @ v.astype(np.float64).T, 6)
+    want = [(int(ids[k]), int(ids[j]), r + 1) for k in range(90) for r, j in enumerate(sorted((j for j in range(90) if j != k), key=lambda j: (-near[k, j], ids[j]))[:4])]
+    got = best.table().to_pydict()
+    assert list(zip(got["vec_id"], got["neighbour_id"], got["rank"])) == want
