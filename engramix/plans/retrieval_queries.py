@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, vector
 from ..operators import recall, weave
+from ..sources.shared import cut
 from ..sources.store import Store
 from .graph_queries import mentions
 from .maintenance_queries import FACTS, facts
@@ -49,7 +50,8 @@ def knn_threshold_edges(spark, sf_dir):
 @query("island_rescue", f"WITH n AS ({_EDGE}) SELECT src, 'similar_to' AS rel, dst, round(c, 3) AS weight FROM n WHERE k = 1 AND src NOT IN (SELECT src FROM n WHERE c >= 0.35)")
 def island_rescue(spark, sf_dir):
     """WV9: the nearest fact of those without an edge."""
-    pairs = vector.knn_pairs(table(spark, sf_dir, "embeddings"), 11)
+    # both the links and the rescue read the pairs
+    pairs = cut(vector.knn_pairs(table(spark, sf_dir, "embeddings"), 11))
     linked = pairs.filter("cosine >= 0.35").select(F.col("vec_id").alias("src"), F.col("neighbour_id").alias("dst"))
     return weave.rescue(pairs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("signature")), linked)
 
