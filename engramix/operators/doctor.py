@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vector import dot
+from ..functions.vector import pair_sums
 from ..sources.store import Store, active
 from .graph import dangling, degree
 from .periods import latest
@@ -107,10 +107,13 @@ def gate(store: Store, dimensions: int) -> None:
 
 
 def pairwise(vectors: DataFrame, collapsed_above: float = 0.9) -> DataFrame:
-    """(grp, pairs, mean, collapsed) over all pairs of a group; ``vectors`` is (grp, id, embedding), groups of a few hundred at most."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    c = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.grp").alias("grp"), F.round(dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("c"))
-    return c.groupBy("grp").agg(F.count("*").alias("pairs"), F.round(F.avg("c"), 6).alias("mean"), F.count(F.when(F.col("c") > collapsed_above, 1)).alias("collapsed"))
+    """(grp, pairs, mean, collapsed) over all pairs of a group; ``vectors`` is (grp, id, embedding).
+
+    Every pair is counted, as products of blocks: a task has a block of one group's rows and
+    reads that group from the shared folder slab by slab, so that its memory doesn't grow.
+    """
+    found = pair_sums(vectors, collapsed_above).filter("pairs > 0")
+    return found.select("grp", "pairs", F.round(F.col("total") / F.col("pairs"), 6).alias("mean"), "collapsed")
 
 
 def chronicle_dispersion(store: Store, newest: int = 60) -> DataFrame:
