@@ -28,7 +28,8 @@ CONTENT = "list_distinct(list_filter(string_split(" + _NORM + ", ' '), lambda w:
 @query("normalize_slug", f"SELECT doc_id, md5(n) AS normal, substr(replace(n, ' ', '-'), 1, 48) AS slug, substr(CASE WHEN len(w) = 0 THEN 'fact' ELSE array_to_string(w[1:5], '-') END, 1, 48) AS signature FROM (SELECT doc_id, {_NORM.format('text')} AS n, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x NOT IN ({_S}) AND length(x) > 2) AS w FROM documents)")
 def normalize_slug(spark, sf_dir):
     """SC1-SC3: normal form, slug and signature of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"), text.slug(F.col("text")).alias("slug"), text.derive_slug(F.col("text")).alias("signature"))
+    d, n = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("n")), F.col("n")
+    return d.select("doc_id", F.md5(n).alias("normal"), text.slug_of(n).alias("slug"), text.signature_of(n).alias("signature"))
 
 
 @query("normalize_for_match", f"SELECT doc_id, md5({_MATCH.format('text')}) AS matched, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::BIGINT AS tokens FROM documents")

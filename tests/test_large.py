@@ -59,3 +59,13 @@ def test_search_in_small_pieces(monkeypatch):
     want = [(int(ids[k]), int(ids[j]), r + 1) for k in range(90) for r, j in enumerate(sorted((j for j in range(90) if j != k), key=lambda j: (-near[k, j], ids[j]))[:4])]
     got = best.table().to_pydict()
     assert list(zip(got["vec_id"], got["neighbour_id"], got["rank"])) == want
+
+
+def test_a_text_is_normalized_once(spark, tmp_path):
+    """Long texts go through the patterns once; words that tell something may come late."""
+    texts = ["the of a " * 30 + "Alpha beta gamma 12 delta epsilon zeta", "One, two  three\n\u00e9four five six seven", "a b c", "", " .- ", "x" * 60]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sf_dir = tables(spark, tmp_path, documents=docs)
+    check(spark, sf_dir, "normalize_slug")
+    plan = registry.QUERIES["normalize_slug"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
