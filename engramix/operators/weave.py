@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scoring, text
 from . import lexical
+from .graph import cut
 
 K, LEAST, HIGH = 3, 0.45, 0.62
 
@@ -51,16 +52,21 @@ def versions(pairs: DataFrame, facts: DataFrame, mentions: DataFrame, total: int
     of_hub, of_scope = specific_caps(total)
     specific = mentions.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") <= of_hub).select("dst")
     hubs = mentions.join(specific, "dst").groupBy(F.col("src").alias("signature")).agg(F.collect_set("dst").alias("hubs"))
-    scope = text.scope_of(F.col("fact"))
-    scopes = facts.select(scope.alias("scope")).filter("scope <> ''").groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") <= of_scope).select("scope", F.lit(True).alias("narrow"))
-    own = facts.select("signature", "first_seen", text.content_words(F.col("fact")).alias("w"), scope.alias("scope"), text.is_correction(F.col("fact")).alias("correction"))
-    own = own.join(hubs, "signature", "left").join(scopes, "scope", "left")
+    # both sides of the pairs and the count of scopes read the words: they are made once
+    own = cut(facts.select("signature", "first_seen", text.content_words(F.col("fact")).alias("w"), text.scope_of(F.col("fact")).alias("scope"), text.is_correction(F.col("fact")).alias("correction")))
+    scopes = cut(own.filter("scope <> ''").groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") <= of_scope).select(F.col("scope").alias("__scope"), F.lit(True).alias("narrow")))
+    # most facts have no scope: they must not meet in one task
+    key = F.when(F.col("scope") == "", F.concat(F.lit(" "), F.pmod(F.xxhash64("signature"), F.lit(4096)).cast("string"))).otherwise(F.col("scope"))
+    own = own.withColumn("__scope", key).join(F.broadcast(scopes) if scopes.count() <= 100_000 else scopes, "__scope", "left").drop("__scope")
+    own = own.join(hubs, "signature", "left")
     side = lambda s: own.select(F.col("signature").alias({"a": "src", "b": "dst"}[s]), *[F.col(c).alias(f"{s}_{c}") for c in ("first_seen", "w", "scope", "correction", "hubs", "narrow")])
     j = pairs.join(side("a"), "src").join(side("b"), "dst").filter("b_first_seen < a_first_seen")
-    words = (F.col("a_w"), F.col("b_w"))
-    return j.select(
-        "src", "dst", "rank", "cosine", text.jaccard(*words).alias("jaccard"), F.size(F.array_intersect(*words)).alias("shared"), text.containment(*words).alias("containment"),
-        F.coalesce(F.arrays_overlap("a_hubs", "b_hubs"), F.lit(False)).alias("shared_hub"), (F.coalesce("a_narrow", F.lit(False)) & (F.col("a_scope") == F.col("b_scope"))).alias("same_scope"),
+    # the words of a pair are compared once; text.jaccard and text.containment say the same of two columns
+    sized = j.withColumns({"__n": F.size(F.array_intersect("a_w", "b_w")), "__a": F.size("a_w"), "__b": F.size("b_w")}).drop("a_w", "b_w")
+    n, a, b = F.col("__n"), F.col("__a"), F.col("__b")
+    return sized.select(
+        "src", "dst", "rank", "cosine", F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(n / (a + b - n)).alias("jaccard"), n.alias("shared"), (n / F.greatest(F.lit(1), F.least(a, b))).alias("containment"),
+        F.coalesce(F.arrays_overlap("a_hubs", "b_hubs"), F.lit(False)).alias("shared_hub"), (F.coalesce(F.col("a_narrow"), F.lit(False)) & (F.col("a_scope") == F.col("b_scope"))).alias("same_scope"),
         F.col("a_correction").alias("correction"), F.col("b_first_seen").alias("at"),
     )
 

@@ -33,10 +33,11 @@ def _versions(spark, sf_dir) -> DataFrame:
     end = F.when(F.col("o_orderstatus") == "F", ", changed meanwhile").when(F.col("o_orderstatus") == "P", " pending items").otherwise("")
     said = o.select(sig.alias("signature"), F.concat(scope, F.lit("Order for "), "c_mktsegment", F.lit(" at price"), F.col("o_orderkey") % 7, F.lit(" with priority "), "o_orderpriority", end).alias("fact"), F.col("o_orderdate").alias("first_seen"))
     hubs = o.select(sig.alias("src"), F.concat(F.lit("c:"), "o_custkey").alias("dst"))
-    a, b = (o.select("o_custkey", F.col("o_orderkey").alias(f"{s}_key"), F.col("o_totalprice").alias(f"{s}_price")) for s in "ab")
+    a, b = (o.select("o_custkey", F.col("o_orderkey").alias(f"{s}_key"), F.col("o_totalprice").alias(f"{s}_price"), F.col("o_orderdate").alias(f"{s}_date")) for s in "ab")
     like = F.round(1 - F.abs(F.col("a_price") - F.col("b_price")) / F.greatest("a_price", "b_price"), 6)
-    pairs = a.join(b, "o_custkey").filter("a_key <> b_key").withColumn("cosine", like)
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a_key").orderBy(F.desc("cosine"), "b_key"))).filter(F.col("rank") <= nightly.NEAR)
+    # within a customer, so that the join's exchange serves the ranks; those that aren't older count in the ranks and go no further
+    w = Window.partitionBy("o_custkey", "a_key").orderBy(F.desc("cosine"), "b_key")
+    pairs = a.join(b, "o_custkey").filter("a_key <> b_key").withColumn("cosine", like).withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= nightly.NEAR) & (F.col("b_date") < F.col("a_date")))
     return weave.versions(pairs.select(F.concat(F.lit("o:"), "a_key").alias("src"), F.concat(F.lit("o:"), "b_key").alias("dst"), "cosine", "rank"), said, hubs, said.count())
 
 

@@ -1,5 +1,7 @@
 """What larger and odd tables brought out: queries against their SQL, or against brute force, on tables made for it."""
 
+from datetime import datetime
+
 import numpy as np
 
 from engramix.functions import vector
@@ -69,3 +71,15 @@ def test_a_text_is_normalized_once(spark, tmp_path):
     check(spark, sf_dir, "normalize_slug")
     plan = registry.QUERIES["normalize_slug"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1
+
+
+def test_ranks_of_versions_share_the_exchange_of_their_customers(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    orders = spark.createDataFrame([(k, int(rng.integers(0, 12)), "FOP"[k % 3], float(rng.integers(100, 120)), datetime(2000, 1, 1 + k % 20), f"{k % 5}-X") for k in range(600)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    sf_dir = tables(spark, tmp_path, orders=orders)
+    # about 50 orders a customer: more than may be ranked, with ties
+    check(spark, sf_dir, "version_pairs", "correction_links", "sequence_links")
+    plan = registry.QUERIES["version_pairs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    head = plan[plan.index("Window [") :]
+    assert "Exchange hashpartitioning(o_custkey" in head and "hashpartitioning(a_key" not in plan
+    assert plan.count("array_intersect") == 1
