@@ -47,10 +47,41 @@ def schema_fit(mentions: DataFrame, active_facts: int) -> DataFrame:
     return mentions.join(hub_degree(mentions).filter(F.col("degree") < hub_cap(active_facts)), "dst").groupBy("src").agg(fit.alias("fit"))
 
 
+#: Rows of one task that sorts or adds up what an exchange brings it.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by its keys over as many tasks as ``rows`` ask for: the session's number of partitions is a fixed one, and a task's memory would grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-int(rows or 0) // TASK_ROWS)), *keys)
+
+
+def specific_mentions(mentions: DataFrame, cap: int) -> tuple[DataFrame, int]:
+    """(src, dst), each once, of the hubs of at most ``cap`` mentions; and how many mentions there are."""
+    degree = cut(hub_degree(mentions))
+    rows = degree.agg(F.sum("degree")).first()[0] or 0
+    return spread(mentions.select("src", "dst"), rows, "dst").join(degree.filter(F.col("degree") <= cap).select("dst"), "dst").select("src", "dst").distinct(), rows
+
+
 def co_mentions(mentions: DataFrame, cap: int) -> DataFrame:
-    """(left, right, hubs): pairs of facts that share specific hubs. Hubs above the cap go before the join, so no key is larger than the cap."""
-    own = mentions.join(hub_degree(mentions).filter(F.col("degree") <= cap).select("dst"), "dst").select("src", "dst").distinct()
-    return own.alias("a").join(own.alias("b"), "dst").filter("a.src < b.src").groupBy(F.col("a.src").alias("left"), F.col("b.src").alias("right")).agg(F.count("*").alias("hubs"))
+    """(left, right, hubs): pairs of facts that share specific hubs. Hubs above the cap go before the join, so no key is larger than the cap.
+
+    A fact of one hub shares no more than that with any other, so its pairs are whole as the
+    join gives them; only pairs of facts of several hubs are added up.
+    """
+    own, rows = specific_mentions(mentions, cap)
+    own = cut(spread(own, rows, "src").withColumn("n", F.count("*").over(Window.partitionBy("src"))))
+    of = lambda some: some.groupBy("dst").agg(F.count("*").alias("d")).agg(F.sum(F.col("d") * (F.col("d") - 1) / 2)).first()[0] or 0
+
+    def pairs(some: DataFrame, found: int) -> DataFrame:
+        by_hub = spread(some, max(found, rows), "dst")
+        return by_hub.alias("a").join(by_hub.alias("b"), "dst").filter("a.src < b.src").select(F.col("a.src").alias("left"), F.col("b.src").alias("right"), (F.least("a.n", "b.n") == 1).alias("alone"))
+
+    one = pairs(own, of(own)).filter("alone").select("left", "right", F.lit(1).cast("long").alias("hubs"))
+    several = own.filter("n > 1")
+    found = of(several)
+    return one.unionByName(spread(pairs(several, found).drop("alone"), found, "left", "right").groupBy("left", "right").agg(F.count("*").alias("hubs"))) if found else one
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime
 import numpy as np
 
 from engramix.functions import vector
+from engramix.operators import graph, upkeep
 from engramix.plans import registry
 
 from .oracles import connect, same
@@ -83,3 +84,26 @@ def test_ranks_of_versions_share_the_exchange_of_their_customers(spark, tmp_path
     head = plan[plan.index("Window [") :]
     assert "Exchange hashpartitioning(o_custkey" in head and "hashpartitioning(a_key" not in plan
     assert plan.count("array_intersect") == 1
+
+
+def test_shared_hubs_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 20)
+    rng = np.random.default_rng(11)
+    rows = sorted({(f"f{int(f):02}", f"h{int(h)}") for f, h in zip(rng.integers(0, 40, 120), rng.integers(0, 9, 120) ** 2 % 60)} | {(f"g{k}", "h0") for k in range(5)})
+    m = spark.createDataFrame(rows + rows[:7], "src string, dst string")
+    facts = {}
+    for f, h in rows:
+        facts.setdefault(f, set()).add(h)
+    size = {h: sum(h in x for x in facts.values()) + sum(r[1] == h for r in rows[:7]) for h in {h for _, h in rows}}
+    cap = sorted(size.values())[-2]
+    kept = {f: {h for h in x if size[h] <= cap} for f, x in facts.items()}
+    want = {(a, b): len(kept[a] & kept[b]) for a in facts for b in facts if a < b and kept[a] & kept[b]}
+    found = graph.co_mentions(m, cap)
+    assert {(r.left, r.right): r.hubs for r in found.collect()} == want and found.count() == len(want)
+    # pairs are added up by both names in tasks of their own number, not the session's
+    assert found.rdd.getNumPartitions() > 4
+    new = spark.createDataFrame([(f, 100 + k) for k, f in enumerate(list(facts)[::6])], "signature string, seq long")
+    cues = {r.signature for r in new.collect()}
+    triggers, _ = upkeep.reactivate(new, m, cap)
+    back = {f: sum(bool(kept[f] & kept[c]) for c in cues) for f in facts if f not in cues}
+    assert {r.signature: r.triggers for r in triggers.collect()} == {f: n for f, n in back.items() if n}
