@@ -33,11 +33,16 @@ def reactivate(new: DataFrame, mentions: DataFrame, cap: int) -> tuple[DataFrame
     ``mentions`` is (src, dst) of all facts. Gives (signature, triggers), with the number of
     new facts that cued it, and (signature, hub, cues, seq) for the families' counters.
     """
-    specific = graph.hub_degree(mentions).filter(F.col("degree") <= cap).select("dst")
-    own = mentions.join(specific, "dst").select("src", "dst").distinct()
-    fresh = own.join(new.select(F.col("signature").alias("src"), "seq"), "src").select("dst", F.col("src").alias("cue"), "seq")
-    old = own.join(new.select(F.col("signature").alias("src")), "src", "left_anti").select(F.col("src").alias("signature"), "dst")
-    met = old.join(fresh, "dst")
+    own, rows = graph.specific_mentions(mentions, cap)
+    own = graph.cut(own)
+    cues = new.select(F.col("signature").alias("src"), "seq")
+    fresh = graph.cut(graph.spread(own, rows, "src").join(cues, "src").select("dst", F.col("src").alias("cue"), "seq"))
+    # only what shares a hub with something new can come back
+    hit = fresh.groupBy("dst").agg(F.count("*").alias("n"))
+    near = graph.cut(graph.spread(own, rows, "dst").join(hit, "dst"))
+    close, found = near.agg(F.count("*"), F.sum("n")).first()
+    old = graph.spread(near, close, "src").join(cues.select("src").distinct(), "src", "left_anti").select(F.col("src").alias("signature"), "dst")
+    met = graph.spread(graph.spread(old, max(close, found or 0), "dst").join(fresh, "dst"), found, "signature")
     triggers = met.groupBy("signature").agg(F.countDistinct("cue").alias("triggers"))
     evidence = met.groupBy("signature", F.col("dst").alias("hub")).agg(F.count("*").alias("cues"), F.max("seq").alias("seq"))
     return triggers, evidence
