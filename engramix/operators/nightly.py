@@ -107,7 +107,8 @@ def woven(store: Store, seq: int, likeness: float = weave.LEAST, high: float = w
     sib = weave.siblings(by_rank, mentioned, least=likeness, high=high)
     bad = cut(weave.pruned(edges.filter("rel = 'supersedes'").select("src", "rel", "dst"), facts))
     kept = edges.join(bad, ["src", "rel", "dst"], "left_anti")
-    old = cut(weave.versions(near, facts, mentioned, facts.count()))
+    paired = cut(near.select(F.explode(F.array("src", "dst")).alias("signature")).distinct())
+    old = cut(weave.versions(near, facts, mentioned, facts.count(), paired))
     sup = cut(weave.corrections(old, kept.filter("rel = 'supersedes'")))
     seq_ = weave.lineage(old, kept.filter("rel = 'sequence'"))
     more = mentions.unionByName(sib.select("src", "rel", "dst", "weight")).unionByName(sup.select("src", F.lit("supersedes").alias("rel"), "dst", "weight")).unionByName(seq_.select("src", F.lit("sequence").alias("rel"), "dst", "weight"))

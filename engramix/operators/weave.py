@@ -43,18 +43,21 @@ def evidence_window(facts: DataFrame, changed: DataFrame, tier2: int) -> DataFra
     return changed.unionByName(rest.orderBy(F.desc(F.coalesce("dirty_seq", F.lit(0))), "signature").limit(fill))
 
 
-def versions(pairs: DataFrame, facts: DataFrame, mentions: DataFrame, total: int) -> DataFrame:
+def versions(pairs: DataFrame, facts: DataFrame, mentions: DataFrame, total: int, among: DataFrame | None = None) -> DataFrame:
     """Each fact (src) with its older neighbours (dst): (src, dst, rank, cosine, jaccard, shared, containment, shared_hub, same_scope, correction, at).
 
     ``pairs`` is (src, dst, cosine, rank), ``facts`` (signature, fact, first_seen). Hubs and
     scopes that many of the ``total`` facts have are no sign of one subject and are left out.
+    ``among`` (signature) holds the facts of the pairs, if they are few: only their words are made.
     """
     of_hub, of_scope = specific_caps(total)
     specific = mentions.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") <= of_hub).select("dst")
     hubs = mentions.join(specific, "dst").groupBy(F.col("src").alias("signature")).agg(F.collect_set("dst").alias("hubs"))
-    # both sides of the pairs and the count of scopes read the words: they are made once
-    own = cut(facts.select("signature", "first_seen", text.content_words(F.col("fact")).alias("w"), text.scope_of(F.col("fact")).alias("scope"), text.is_correction(F.col("fact")).alias("correction")))
-    scopes = cut(own.filter("scope <> ''").groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") <= of_scope).select(F.col("scope").alias("__scope"), F.lit(True).alias("narrow")))
+    # both sides of the pairs read the words: they are made once
+    paired = facts if among is None else facts.join(among.select("signature"), "signature", "left_semi")
+    own = cut(paired.select("signature", "first_seen", text.content_words(F.col("fact")).alias("w"), text.scope_of(F.col("fact")).alias("scope"), text.is_correction(F.col("fact")).alias("correction")))
+    each = own if among is None else facts.select(text.scope_of(F.col("fact")).alias("scope"))
+    scopes = cut(each.filter("scope <> ''").groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") <= of_scope).select(F.col("scope").alias("__scope"), F.lit(True).alias("narrow")))
     # most facts have no scope: they must not meet in one task
     key = F.when(F.col("scope") == "", F.concat(F.lit(" "), F.pmod(F.xxhash64("signature"), F.lit(4096)).cast("string"))).otherwise(F.col("scope"))
     own = own.withColumn("__scope", key).join(F.broadcast(scopes) if scopes.count() <= 100_000 else scopes, "__scope", "left").drop("__scope")
@@ -112,7 +115,8 @@ def siblings(pairs: DataFrame, hubs: DataFrame, k: int = K, least: float = LEAST
 
 def pruned(supersedes: DataFrame, facts: DataFrame, least: float = 0.12) -> DataFrame:
     """Corrections whose facts have too few words in common to be about one thing."""
-    c = facts.select("signature", text.content_words(F.col("fact")).alias("c"))
+    ends = supersedes.select(F.explode(F.array("src", "dst")).alias("signature")).distinct()
+    c = facts.join(ends, "signature", "left_semi").select("signature", text.content_words(F.col("fact")).alias("c"))
     j = supersedes.join(c.select(F.col("signature").alias("src"), F.col("c").alias("a")), "src").join(c.select(F.col("signature").alias("dst"), F.col("c").alias("b")), "dst")
     return j.filter(text.jaccard(F.col("a"), F.col("b")) < least).select(supersedes.columns)
 

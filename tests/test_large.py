@@ -3,9 +3,10 @@
 from datetime import datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from engramix.functions import vector
-from engramix.operators import graph, upkeep
+from engramix.operators import graph, upkeep, weave
 from engramix.plans import registry
 
 from .oracles import connect, same
@@ -107,3 +108,17 @@ def test_shared_hubs_in_small_tasks(spark, monkeypatch):
     triggers, _ = upkeep.reactivate(new, m, cap)
     back = {f: sum(bool(kept[f] & kept[c]) for c in cues) for f in facts if f not in cues}
     assert {r.signature: r.triggers for r in triggers.collect()} == {f: n for f, n in back.items() if n}
+
+
+def test_words_are_made_of_paired_facts_alone(spark):
+    said = {"a": "[Desk] pumps deliver water again", "b": "[Desk] pumps deliver water", "c": "[Desk] valves rusted", "d": "[Other] pumps deliver water"} | {f"x{k}": "[Wide] something else" for k in range(6)}
+    f = spark.createDataFrame([(s, t, datetime(2024, 1, 30 - k)) for k, (s, t) in enumerate(said.items())], "signature string, fact string, first_seen timestamp")
+    m = spark.createDataFrame([("a", "h"), ("b", "h"), ("d", "g")], "src string, dst string")
+    pairs = spark.createDataFrame([("a", "b", 0.9, 1), ("a", "d", 0.8, 2), ("x0", "x1", 0.9, 1), ("b", "a", 0.9, 1)], "src string, dst string, cosine double, rank int")
+    among = pairs.select(F.explode(F.array("src", "dst")).alias("signature")).distinct()
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    whole, some = weave.versions(pairs, f, m, 10), weave.versions(pairs, f, m, 10, among)
+    assert rows(whole) == rows(some) and {(r.src, r.dst): (r.shared, r.shared_hub, r.same_scope) for r in some.collect()} == {("a", "b"): (3, True, True), ("a", "d"): (3, False, False), ("x0", "x1"): (1, False, False)}
+    assert sum(spark.read.parquet(t).count() for t in some.inputFiles() if "correction" in spark.read.parquet(t).columns) == 5
+    gone = weave.pruned(spark.createDataFrame([("c", "supersedes", "a"), ("a", "supersedes", "b")], "src string, rel string, dst string"), f)
+    assert rows(gone) == [("c", "supersedes", "a")]
